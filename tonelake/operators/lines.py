@@ -113,9 +113,9 @@ def _robust_small(rows: DataFrame, group: Sequence[str], ys: Sequence[str], tria
             F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_x", "_w", *ys)))
         ).alias("_p")
     )
+    # A field of an array of structs is the array of that field.
     arrays = points.select(
-        *group, F.transform("_p", lambda p: p["_x"]).alias("x"), F.transform("_p", lambda p: p["_w"]).alias("w"),
-        *[F.transform("_p", lambda p, c=c: p[c]).alias(c) for c in ys],
+        *group, F.col("_p._x").alias("x"), F.col("_p._w").alias("w"), *[F.col(f"_p.{c}").alias(c) for c in ys]
     )
 
     @F.pandas_udf("slope double, intercept double")

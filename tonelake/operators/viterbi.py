@@ -30,6 +30,10 @@ from tonelake.session import checkpoint
 
 FOLD_CHUNK = 100_000  # frames per fold group (500 s at 5 ms)
 
+# Scores this close (relative) count as equal. Path scores tie by design whenever a
+# pitch lies between two others, so rounding must not decide between them.
+TIE = 1e-9
+
 # Factors on candidates 0 and 2 in noisy and in creaky frames,
 # and the octave variant's factors in creaky frames.
 NOISE_FACTOR = 2.5
@@ -124,11 +128,12 @@ def _step(v: np.ndarray, t: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarra
     p = v[:, None] * t
     n = len(v)
     if r == 1.0:
-        ptr = n - 1 - np.argmax(p[::-1], axis=0)
+        near = p >= p.max(axis=0) * (1 - TIE)
+        ptr = n - 1 - np.argmax(near[::-1], axis=0)
         return p[ptr, np.arange(n)], ptr
     best, ptr = np.zeros(n), np.zeros(n, dtype=int)
     for k in range(n):
-        take = p[k] >= best
+        take = p[k] >= best * (1 - TIE)
         gain = p[k].copy()
         gain[k] *= r
         best, ptr = np.where(take, gain, best), np.where(take, k, ptr)
@@ -163,6 +168,11 @@ def _forward(cand, emis, entry, vup, r):
     return v, log, ptrs
 
 
+def _best_state(v: np.ndarray) -> int:
+    """First of the best states."""
+    return int(np.argmax(v >= v.max() * (1 - TIE)))
+
+
 def _trace(ptrs: np.ndarray, last: int) -> np.ndarray:
     states = np.empty(len(ptrs), dtype=np.int64)
     states[-1] = last
@@ -192,7 +202,7 @@ def _whole_file(vup: float, r: float):
         pdf = pdf.sort_values("frame_idx")
         cand, emis = _matrix(pdf["cand"]), _matrix(pdf["emis"])
         v, log, ptrs = _forward(cand, emis, None, vup, r)
-        states = _trace(ptrs, int(np.argmax(v)))
+        states = _trace(ptrs, _best_state(v))
         return _path_rows(pdf["file"].iloc[0], pdf["frame_idx"].to_numpy(), cand, states, log)
 
     return run
@@ -283,7 +293,7 @@ def _origins(vup: float, r: float):
                 "file": [own["file"].iloc[0]],
                 "_chunk": [int(own["_chunk"].iloc[0])],
                 "origin": [at.tolist()],
-                "best": [int(np.argmax(v))],
+                "best": [_best_state(v)],
                 "log": [log],
             }
         )

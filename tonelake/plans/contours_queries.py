@@ -154,8 +154,8 @@ def path_sql(head, source, reinforcement, vup):
     ) + f" from ({inner})"
     for k in range(1, N):
         level = f"select {keep}, {ps}, " + ", ".join(
-            f"case when p{k}{l} >= b{l} then p{k}{l}{f' * {reinforcement}' if l == k else ''} else b{l} end as b{l}, "
-            f"case when p{k}{l} >= b{l} then {k} else q{l} end as q{l}"
+            f"case when p{k}{l} >= b{l} * (1 - 1e-9) then p{k}{l}{f' * {reinforcement}' if l == k else ''} else b{l} end as b{l}, "
+            f"case when p{k}{l} >= b{l} * (1 - 1e-9) then {k} else q{l} end as q{l}"
             for l in range(N)
         ) + f" from ({level})"
     raw = f"select file, frame_idx, log, {', '.join(f'b{l} * e{l} as r{l}, q{l}' for l in range(N))} from ({level})"
@@ -163,7 +163,7 @@ def path_sql(head, source, reinforcement, vup):
     scaled = f"select file, frame_idx, {', '.join(f'r{l} / {top} as v{l}' for l in range(N))}, {', '.join(f'q{l}' for l in range(N))}, log + ln({top}) as log"
     first = f"greatest({', '.join(f'e{l}' for l in range(N))})"
     best = "case " + " ".join(
-        f"when {' and '.join(f'v{l} >= v{k}' for k in range(N) if k != l)} then {l}" for l in range(N)
+        f"when v{l} >= 1 - 1e-9 then {l}" for l in range(N)
     ) + " end"
     pick = "case state " + " ".join(f"when {l} then q{l}" for l in range(N)) + " end"
     return (

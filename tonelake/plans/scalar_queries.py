@@ -411,9 +411,9 @@ def _(spark, sf):
 
 @query(
     "key_difference",
-    "select user_id, event_type from events where value > 250 except all select user_id, event_type from events where value <= 250",
+    "select user_id, event_type from events where value > 40 except all select user_id, event_type from events where value <= 40",
 )
 def _(spark, sf):
     e = tb.table(spark, sf, "events")
     cols = ["user_id", "event_type"]
-    return ops.key_difference(e.filter("value > 250").select(*cols), e.filter("value <= 250").select(*cols))
+    return ops.key_difference(e.filter("value > 40").select(*cols), e.filter("value <= 40").select(*cols))

@@ -25,10 +25,11 @@ FRAME_EXPRS = {
     "event_id": "event_id",
     "frame_idx": "frame_idx",
     "t": "frame_idx * 5e-3",
-    "c0": "value",
-    "c1": "value * (1e0 + (event_id % 7) * 1e-2)",
-    "c2": "case when event_id % 11 = 0 then value * 2e0 else value * 1.005e0 end",
-    "c3": "case when event_id % 5 = 0 then null else value * 9.9e-1 end",
+    # Pitch between 2 and 443 Hz; a root is exact to the last bit in both engines.
+    "c0": "sqrt(value) * 2e1",
+    "c1": "sqrt(value) * 2e1 * (1e0 + (event_id % 7) * 1e-2)",
+    "c2": "case when event_id % 11 = 0 then sqrt(value) * 4e1 else sqrt(value) * 2.01e1 end",
+    "c3": "case when event_id % 5 = 0 then null else sqrt(value) * 1.98e1 end",
     "hnr": "cast(event_id % 13 - 3 as double)",
     "creaky": "case when event_type = 'error' then 1 else 0 end",
     "intensity": "cast(40 + event_id % 30 as double)",
@@ -270,27 +271,27 @@ words0 as (select file, turn, base, s, length(trim(sentence, ' ')) < 3 as pause,
     unnest(generate_series(0, len(string_split(sentence, ' ')) - 1)) as w,
     unnest(string_split(sentence, ' ')) as text from sent),
 words_all as (select *, base + coalesce(sum(length(text) + 1) over (partition by file, turn order by s, w
-    rows between unbounded preceding and 1 preceding), 0) as at, length(text) as n from words0),
+    rows between unbounded preceding and 1 preceding), 0) as pos0, length(text) as n from words0),
 tiers as (
   select file, 'Trans' as tier, turn as idx, cast(base as double) as start_t,
     cast(base + len - 1 as double) as end_t, role as text from turns
   union all
-  select file, 'UTtag', turn * 100000 + s, cast(min(at) as double), cast(max(at + n) as double),
+  select file, 'UTtag', turn * 100000 + s, cast(min(pos0) as double), cast(max(pos0 + n) as double),
     case when pause then 'pp' else 'COM' end from words_all group by file, turn, s, pause
   union all
-  select file, 'Sil', (turn * 100000 + s) * 100000 + w, cast(at as double), cast(at + n as double), text from words_all
+  select file, 'Sil', (turn * 100000 + s) * 100000 + w, cast(pos0 as double), cast(pos0 + n as double), text from words_all
   union all
-  select file, 'duv', (turn * 100000 + s) * 100000 + w, cast(at as double), cast(at + n as double), lower(text)
+  select file, 'duv', (turn * 100000 + s) * 100000 + w, cast(pos0 as double), cast(pos0 + n as double), lower(text)
     from words_all where contains(text, 'an')
   union all
-  select file, 'Zsil', (turn * 100000 + s) * 100000 + w, cast(at as double), cast(at + n as double), cast(n as varchar)
+  select file, 'Zsil', (turn * 100000 + s) * 100000 + w, cast(pos0 as double), cast(pos0 + n as double), cast(n as varchar)
     from words_all
   union all
-  select file, 'Msil', (turn * 100000 + s) * 100000 + w, cast(at as double), cast(at + n as double),
+  select file, 'Msil', (turn * 100000 + s) * 100000 + w, cast(pos0 as double), cast(pos0 + n as double),
     cast(n * 2 as varchar) from words_all where n > 4
   union all
-  select file, 'Vsil', ((turn * 100000 + s) * 100000 + w) * 2, cast(at as double), cast(at + 1 as double), '1'
+  select file, 'Vsil', ((turn * 100000 + s) * 100000 + w) * 2, cast(pos0 as double), cast(pos0 + 1 as double), '1'
     from words_all where n > 4
   union all
-  select file, 'Vsil', ((turn * 100000 + s) * 100000 + w) * 2 + 1, cast(at + 1 as double), cast(at + n as double),
+  select file, 'Vsil', ((turn * 100000 + s) * 100000 + w) * 2 + 1, cast(pos0 + 1 as double), cast(pos0 + n as double),
     cast(n - 1 as varchar) from words_all where n > 4)"""
