@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("scalar", "joins", "tiers", "stats", "contours")
+GROUPS = ("scalar", "joins", "tiers", "stats", "contours", "sampling", "selection", "learning", "sources")
 
 
 def load():
