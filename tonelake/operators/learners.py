@@ -64,7 +64,7 @@ def random_forest(train, test, label, feats, id="id", trees: int = 100, depth: i
 def gradient_boosting(train, test, label, feats, id="id", rounds: int = 1000, depth: int = 3, seed: int = 42):
     """Boosted trees, one class against the rest at a time (the learner itself is binary)."""
     base = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, checkpointInterval=10)
-    return _learn(train, test, label, feats, id, OneVsRest(classifier=base))
+    return _learn(train, test, label, feats, id, OneVsRest(classifier=base, parallelism=4))
 
 
 def logistic_regression(train, test, label, feats, id="id", c: float = 1.0, rounds: int = 100) -> DataFrame:
@@ -75,7 +75,7 @@ def logistic_regression(train, test, label, feats, id="id", c: float = 1.0, roun
 
 def linear_svm(train, test, label, feats, id="id", c: float = 1.0, rounds: int = 100) -> DataFrame:
     reg = 1.0 / (c * max(train.count(), 1))
-    return _learn(train, test, label, feats, id, OneVsRest(classifier=LinearSVC(maxIter=rounds, regParam=reg)))
+    return _learn(train, test, label, feats, id, OneVsRest(classifier=LinearSVC(maxIter=rounds, regParam=reg), parallelism=4))
 
 
 def mlp_classify(train, test, label, feats, id="id", hidden: Sequence[int] = (100,), rounds: int = 100, seed: int = 42):

@@ -208,6 +208,10 @@ def _whole_file(vup: float, r: float):
     return run
 
 
+def _no_rows(*cols: str) -> pd.DataFrame:
+    return pd.DataFrame(columns=list(cols), dtype=object)
+
+
 def _chunk_arrays(pdf: pd.DataFrame):
     """Candidates (led by the frame before, if any) and emissions of one chunk."""
     pdf = pdf.sort_values("frame_idx")
@@ -267,7 +271,7 @@ def _entry_of(state: pd.DataFrame):
 def _next_entry(vup: float, r: float):
     def run(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 0:
-            return pd.DataFrame({"file": [], "_chunk": [], "v": [], "log": []})
+            return _no_rows("file", "_chunk", "v", "log")
         own, cand, emis = _chunk_arrays(pdf)
         v, log, _ = _forward(cand, emis, _entry_of(state), vup, r)
         return pd.DataFrame(
@@ -282,7 +286,7 @@ def _origins(vup: float, r: float):
 
     def run(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 0:
-            return pd.DataFrame({"file": [], "_chunk": [], "origin": [], "best": [], "log": []})
+            return _no_rows("file", "_chunk", "origin", "best", "log")
         own, cand, emis = _chunk_arrays(pdf)
         v, log, ptrs = _forward(cand, emis, _entry_of(state), vup, r)
         at = np.arange(len(v))
@@ -314,7 +318,7 @@ def _scan_exits(pdf: pd.DataFrame) -> pd.DataFrame:
 def _trace_chunk(vup: float, r: float):
     def run(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 0:
-            return _path_rows("", np.zeros(0, dtype=int), np.zeros((0, 1)), np.zeros(0, dtype=int), 0.0)
+            return _no_rows("file", "frame_idx", "state", "candidate", "log_prob")
         own, cand, emis = _chunk_arrays(pdf)
         first = int(own["_chunk"].iloc[0]) == 0
         entry = None if first else _entry_of(state)

@@ -115,15 +115,23 @@ def _learner(name, fn, d=8, **params):
         return fn(*_vectors(spark, sf, d), "label", tb.xs(d), **params)
 
 
-_learner("decision_tree", ml.decision_tree)
+def _row_learner(name, fn, **params):
+    """A learner over the order lines' three classes."""
+
+    @query(name)
+    def _(spark, sf):
+        return fn(*_split(tb.features(spark, sf).select("id", "label", *D3)), "label", D3, **params)
+
+
+_row_learner("decision_tree", ml.decision_tree)
 _learner("decision_tree_depth3", ml.decision_tree, depth=3)
 _learner("random_forest", ml.random_forest, trees=20)
-_learner("gradient_boosting", ml.gradient_boosting, d=4, rounds=2)
+_row_learner("gradient_boosting", ml.gradient_boosting, rounds=2)
 _learner("bagging", ml.bagging, bags=20)
 _learner("bagging_lda", ml.bagging, bags=20, base="lda")
 _learner("adaboost", ml.adaboost, rounds=5)
-_learner("logistic_regression", ml.logistic_regression, rounds=20)
-_learner("linear_svm", ml.linear_svm, d=4, rounds=5)
+_row_learner("logistic_regression", ml.logistic_regression, rounds=20)
+_row_learner("linear_svm", ml.linear_svm, rounds=5)
 _learner("mlp_classify", ml.mlp_classify, hidden=(16,), rounds=20)
 
 # ---- votes, cascades, validation ----------------------------------------------------
@@ -190,8 +198,8 @@ def _(spark, sf):
 
 @query("grid_search")
 def _(spark, sf):
-    grid = {"regParam": [0.001, 0.1], "elasticNetParam": [0.0, 1.0]}
-    return ml.grid_search(tb.vectors(spark, sf, 4), "logistic", grid, "label", tb.xs(4), folds=3)
+    rows = tb.features(spark, sf).select("id", "label", *D3)
+    return ml.grid_search(rows, "logistic", {"regParam": [0.01, 0.1], "maxIter": [10]}, "label", D3, folds=3)
 
 
 @query("grid_search_knn")

@@ -17,15 +17,15 @@ def _line_lengths(raw: bytes):
     return [i * 0.005 for i in range(len(lines))], [float(len(x)) for x in lines], None
 
 
-def _needs_link(raw: bytes):
-    if b"<a " not in raw:
-        raise ValueError("no link")
-    return [0.0], [float(raw.count(b"<a "))], [1.0]
+def _needs_lines(raw: bytes):
+    if b"\n" not in raw:
+        raise ValueError("one line")
+    return [0.0], [float(raw.count(b"<p"))], [1.0]
 
 
 def _extract(spark, sf):
     pages = tb.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
-    return extract_from(pages, {"lines": _line_lengths, "links": _needs_link})
+    return extract_from(pages, {"lines": _line_lengths, "paragraphs": _needs_lines})
 
 
 @query(
@@ -33,7 +33,7 @@ def _extract(spark, sf):
     "select cast(page_id as varchar) as file, 'lines' as algo, i as frame_idx, round(i * 5e-3, 6) as timeframe, "
     "cast(length(line) as double) as value, cast(null as double) as prob from (select page_id, unnest(string_split(html, chr(10))) as line, "
     "unnest(generate_series(0, len(string_split(html, chr(10))) - 1)) as i from pages) union all "
-    "select cast(page_id as varchar), 'links', 0, 0, cast((length(html) - length(replace(html, '<a ', ''))) // 3 as double), 1 from pages where contains(html, '<a ')",
+    "select cast(page_id as varchar), 'paragraphs', 0, 0, cast((length(html) - length(replace(html, '<p', ''))) // 2 as double), 1 from pages where contains(html, chr(10))",
 )
 def _(spark, sf):
     return _extract(spark, sf)[0].withColumn("timeframe", F.round("timeframe", 6))
@@ -41,7 +41,7 @@ def _(spark, sf):
 
 @query(
     "error_log",
-    "select cast(page_id as varchar) as path, 'links' as algo, 'ValueError: no link' as message from pages where not contains(html, '<a ')",
+    "select cast(page_id as varchar) as path, 'paragraphs' as algo, 'ValueError: one line' as message from pages where not contains(html, chr(10))",
 )
 def _(spark, sf):
     return _extract(spark, sf)[1].drop("at")
