@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.operators.aggregates import unit_intensity
 from tonelake.operators.joins import SLOT, unit_frames
 from tonelake.operators.ordering import _join_summary, number_rows
 from tonelake.operators.quantiles import exact_quantiles
@@ -106,16 +105,20 @@ def _r2(left, total):
     return np.round(np.where(flat, exact, 1 - left / np.where(flat, 1.0, total)), 6)
 
 
-def _robust_small(rows: DataFrame, group: Sequence[str], ys: Sequence[str], trials: int) -> DataFrame:
+def _robust_small(
+    rows: DataFrame, group: Sequence[str], ys: Sequence[str], trials: int, extra: dict[str, Column]
+) -> DataFrame:
     """One array of points per group, fitted in Arrow batches."""
     points = rows.groupBy(*group).agg(
         F.array_sort(
             F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_x", "_w", *ys)))
-        ).alias("_p")
+        ).alias("_p"),
+        *[agg.alias(name) for name, agg in extra.items()],
     )
     # A field of an array of structs is the array of that field.
     arrays = points.select(
-        *group, F.col("_p._x").alias("x"), F.col("_p._w").alias("w"), *[F.col(f"_p.{c}").alias(c) for c in ys]
+        *group, F.col("_p._x").alias("x"), F.col("_p._w").alias("w"), *[F.col(f"_p.{c}").alias(c) for c in ys],
+        *extra,
     )
 
     @F.pandas_udf("slope double, intercept double")
@@ -127,7 +130,7 @@ def _robust_small(rows: DataFrame, group: Sequence[str], ys: Sequence[str], tria
             out.append(_robust_line(np.asarray(xi, dtype=float)[ok], yi[ok], wi[ok], trials))
         return pd.DataFrame(out, columns=["slope", "intercept"])
 
-    return arrays.select(*group, *[fit("x", c, "w").alias(c) for c in ys])
+    return arrays.select(*group, *[fit("x", c, "w").alias(c) for c in ys], *extra)
 
 
 def _robust_large(rows: DataFrame, group: Sequence[str], trials: int) -> DataFrame:
@@ -186,9 +189,12 @@ def _robust_large(rows: DataFrame, group: Sequence[str], trials: int) -> DataFra
     return _join_summary(every, fitted, group, "left")
 
 
-def _robust(df: DataFrame, group, x, ys, z, w, trials, limit) -> DataFrame:
-    """One struct (slope, intercept) per y; groups beyond ``limit`` rows go the distributed way."""
-    group = list(group)
+def _robust(df: DataFrame, group, x, ys, z, w, trials, limit, extra: dict[str, Column] | None = None) -> DataFrame:
+    """One struct (slope, intercept) per y; groups beyond ``limit`` rows go the distributed way.
+
+    ``extra`` names further aggregates, over the points' columns.
+    """
+    group, extra = list(group), extra or {}
     weight = F.col(w).cast("double") if w else F.lit(1.0)
     rows = df.select(
         *group,
@@ -199,11 +205,11 @@ def _robust(df: DataFrame, group, x, ys, z, w, trials, limit) -> DataFrame:
     )
     sizes = rows.groupBy(*group).agg(F.count("_x").alias("_n"))
     if (sizes.agg(F.max("_n")).first()[0] or 0) <= limit:
-        return _robust_small(rows, group, ys, trials)
+        return _robust_small(rows, group, ys, trials, extra)
     sized = _join_summary(rows, sizes, group)
-    out = _robust_small(sized.filter(F.col("_n") <= limit).drop("_n"), group, ys, trials)
+    out = _robust_small(sized.filter(F.col("_n") <= limit).drop("_n"), group, ys, trials, extra)
     big = sized.filter(F.col("_n") > limit).drop("_n")
-    fits = big.select(*group).distinct()
+    fits = big.groupBy(*group).agg(F.lit(1).alias("_one"), *[a.alias(k) for k, a in extra.items()]).drop("_one")
     for c in ys:
         clean = big.select(*group, "_x", "_w", F.col(c).alias("_y")).filter(
             "_x IS NOT NULL AND _y IS NOT NULL AND _w IS NOT NULL"
@@ -242,11 +248,14 @@ def unit_slopes(
     keys = ["file", "n_ut"]
     need = frames.select("file", "t", "creaky", "intensity", *trackers)
     cut = unit_frames(units.select(*keys), bounds, need, order_col, width)
-    fits = _robust(cut, keys, "t", list(trackers), "creaky", "intensity", trials, limit)
+    # Mean intensity is over all frames of the unit, so it shares the fits' grouping.
+    fits = _robust(
+        cut, keys, "t", list(trackers), "creaky", "intensity", trials, limit, {"mean_se": F.avg("_w")}
+    )
     wide: list[Column] = []
     for c in trackers:
         wide += [F.col(f"{c}.slope").alias(f"{c}_slope"), F.col(f"{c}.intercept").alias(f"{c}_intercept")]
-    return fits.select(*keys, *wide).join(unit_intensity(cut), keys)
+    return fits.select(*keys, *wide, "mean_se")
 
 
 def predict_line(frames: DataFrame, coefs: DataFrame, on: Sequence[str], x: str = "t") -> DataFrame:

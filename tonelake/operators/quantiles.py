@@ -38,55 +38,46 @@ def exact_quantiles(
         F.percentile_approx("_v", grid, accuracy).alias("_g"),
     )
     small = F.col("n") <= 2 * accuracy
-
-    def bracket(i, lo, hi):
-        return F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"))
-
-    whole = F.array(bracket(0, F.col("_mn"), F.col("_mx")))
-    parts = F.array(
-        *[
-            bracket(
-                i,
-                F.col("_mn") if grid[2 * i] == 0.0 else F.col("_g")[2 * i],
-                F.col("_mx") if grid[2 * i + 1] == 1.0 else F.col("_g")[2 * i + 1],
-            )
-            for i in range(len(probs))
-        ]
-    )
-    brackets = stats.select(*keys, "n", F.when(small, whole).otherwise(parts).alias("_br"))
+    edges = []
+    for i in range(len(probs)):
+        lo = F.col("_mn") if grid[2 * i] == 0.0 else F.when(small, F.col("_mn")).otherwise(F.col("_g")[2 * i])
+        hi = F.col("_mx") if grid[2 * i + 1] == 1.0 else F.when(small, F.col("_mx")).otherwise(F.col("_g")[2 * i + 1])
+        edges += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
+    brackets = stats.select(*keys, "n", *edges)
+    names_of = [f"_{e}{i}" for i in range(len(probs)) for e in ("lo", "hi")]
     if keys:
-        joined = _join_summary(rows, brackets.drop("n"), keys)
+        joined = _join_summary(rows, brackets, keys)
     else:
         only = brackets.first()
         if only["n"] == 0:
             return brackets.select("n", *[F.lit(None).cast("double").alias(x) for x in names])
-        lits = F.array(*[bracket(b["i"], F.lit(b["lo"]), F.lit(b["hi"])) for b in only["_br"]])
-        joined = rows.withColumn("_br", lits)
-    inside = F.transform(
-        F.filter("_br", lambda b: F.col("_v") <= b["hi"]),
-        # Every value below a bracket shares one row: NULL sorts first.
-        lambda b: F.struct(b["i"].alias("_i"), F.when(F.col("_v") >= b["lo"], F.col("_v")).alias("_bv")),
-    )
-    counts = joined.select(*keys, F.inline(inside)).groupBy(*keys, "_i", "_bv").agg(
-        F.count(F.lit(1)).alias("_c")
+        joined = rows.select("_v", *[F.lit(only[c]).alias(c) for c in ["n", *names_of]])
+    # Probabilities ascend, so the first bracket whose end is not below a value is the
+    # value's segment. All values of a segment before its bracket share one NULL row.
+    order = sorted(range(len(probs)), key=lambda i: probs[i])
+    segment, value_in = None, None
+    for rank, i in enumerate(order):
+        inside = F.when(F.col("_v") >= F.col(f"_lo{i}"), F.col("_v"))
+        upto = F.col("_v") <= F.col(f"_hi{i}")
+        segment = F.when(upto, rank) if segment is None else segment.when(upto, rank)
+        value_in = F.when(upto, inside) if value_in is None else value_in.when(upto, inside)
+    counts = (
+        joined.select(*keys, "n", segment.alias("_i"), value_in.alias("_bv"))
+        .filter("_i IS NOT NULL")
+        .groupBy(*keys, "n", "_i", "_bv")
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
     w = (
-        Window.partitionBy(*keys, "_i")
-        .orderBy(F.col("_bv").asc_nulls_first())
+        Window.partitionBy(*keys)
+        .orderBy("_i", F.col("_bv").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     ranked = counts.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    if keys:
-        ranked = _join_summary(ranked, brackets.drop("_br"), keys)
-    else:
-        ranked = ranked.withColumn("n", F.lit(only["n"]))
     picks = []
     for j, p in enumerate(probs):
         at = (F.col("n") - 1) * F.lit(float(p))
-        k0 = F.floor(at)
-        here = F.col("_i") == F.when(F.col("n") <= 2 * accuracy, 0).otherwise(j)
-        for t, k in (("a", k0), ("b", F.ceil(at))):
-            hit = here & (F.col("_lo") <= k) & (k < F.col("_hi"))
+        for t, k in (("a", F.floor(at)), ("b", F.ceil(at))):
+            hit = (F.col("_lo") <= k) & (k < F.col("_hi"))
             picks.append(F.max(F.when(hit, F.col("_bv"))).alias(f"_{t}{j}"))
     out = ranked.groupBy(*keys, "n").agg(*picks)
     cols = []

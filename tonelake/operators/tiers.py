@@ -72,11 +72,11 @@ def boundary_class(syl: DataFrame) -> DataFrame:
 
 def mark_stress(syl: DataFrame, intervals: DataFrame, margin: float = 0.010, width: float = SLOT) -> DataFrame:
     """Flags the syllable around its unit's last non-empty stress interval."""
-    units = syl.select("file", "n_ut", "iu_start", "iu_end").distinct()
+    units = _tier(intervals, UNIT, "iu").drop("iu_text")
     stress = _tier(intervals, STRESS, "str").filter(F.length("str_text") > 0)
     last = (
         contained_in(stress, units, "str_start", "str_end", "iu_start", "iu_end", width)
-        .groupBy("file", "n_ut")
+        .groupBy("file", "iu_idx")
         .agg(
             F.max_by(
                 F.struct("str_start", "str_end", "str_text"), F.struct("str_start", "str_idx")
@@ -86,7 +86,7 @@ def mark_stress(syl: DataFrame, intervals: DataFrame, margin: float = 0.010, wid
     inside = (F.col("_s.str_start") >= F.col("syl_start") - F.lit(margin)) & (
         F.col("_s.str_end") <= F.col("syl_end") + F.lit(margin)
     )
-    flagged = syl.join(last, ["file", "n_ut"], "left").withColumn("stressed", F.coalesce(inside, F.lit(False)))
+    flagged = syl.join(last, ["file", "iu_idx"], "left").withColumn("stressed", F.coalesce(inside, F.lit(False)))
     return (
         flagged.withColumn("vowel_start", F.when(F.col("stressed"), F.col("_s.str_start")))
         .withColumn("vowel_end", F.when(F.col("stressed"), F.col("_s.str_end")))
@@ -100,7 +100,7 @@ def syllable_measures(
 ) -> DataFrame:
     """Text of each tier's last interval inside the syllable, as a number; none is NULL."""
     keys = ["file", "syl_idx"]
-    parents = syl.select(*keys, "syl_start", "syl_end")
+    parents = _tier(intervals, SYLLABLE, "syl").drop("syl_text")
     marks = intervals.filter(F.col("tier").isin(list(tiers))).select(
         "file", "tier", "idx", "start_t", "end_t", "text"
     )

@@ -310,7 +310,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     fr = tb.frames(spark, sf)
-    un = tb.units(fr)
+    un = tb.units(spark, sf)
     out = lines.unit_slopes(tb.asked_units(un), tb.bounds(un), fr, tb.CANDS)
     return _rounded(_rounded(out, ["mean_se"]), [f"{c}_{p}" for c in tb.CANDS for p in ("slope", "intercept")], 4)
 

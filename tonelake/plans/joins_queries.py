@@ -26,7 +26,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     fr = tb.frames(spark, sf)
-    un = tb.units(fr)
+    un = tb.units(spark, sf)
     cut = ops.unit_frames(tb.asked_units(un), tb.bounds(un), fr.select("file", "frame_idx", "t", "c0"))
     return cut.select("file", "n_ut", F.round("iu_start", 9).alias("iu_start"), "frame_idx", F.round("t", 9).alias("t"), "c0")
 
@@ -39,7 +39,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     fr = tb.frames(spark, sf)
-    return ops.tag_frames(fr.select("file", "frame_idx", "t", "c0"), tb.units(fr), "n_ut", ["iu", "n_ut", "text"]).drop("t")
+    return ops.tag_frames(fr.select("file", "frame_idx", "t", "c0"), tb.units(spark, sf), "n_ut", ["iu", "n_ut", "text"]).drop("t")
 
 
 def _changes(un):
@@ -62,7 +62,7 @@ def _changes(un):
     "case when iu = 'COM' then concat('x', n_ut) else '' end as text from units",
 )
 def _(spark, sf):
-    un = tb.units(tb.frames(spark, sf))
+    un = tb.units(spark, sf)
     return ops.relabel_update(un.drop("text"), _changes(un), ["file", "n_ut"], "change_order").select("file", "n_ut", "iu", "text")
 
 
@@ -84,7 +84,7 @@ def _(spark, sf):
     "select file, n_ut, iu, round(centre, 9) as centre, near_n_ut, near_iu, round(distance, 9) as distance from m where rn = 1",
 )
 def _(spark, sf):
-    un = tb.units(tb.frames(spark, sf))
+    un = tb.units(spark, sf)
     out = ops.nearest_unit(un, F.col("iu").isin("ALL", "CNT", "INP"))
     return out.withColumn("centre", F.round("centre", 9)).withColumn("distance", F.round("distance", 9))
 

@@ -295,7 +295,7 @@ def _(spark, sf):
 
 @query("time_grid_mid", f"with {tb.UNITS_SQL} select file, n_ut, round((start_t + end_t) / 2, 9) as timeframe from units")
 def _(spark, sf):
-    f = ops.time_grid(tb.units(tb.frames(spark, sf)), "mid")
+    f = ops.time_grid(tb.units(spark, sf), "mid")
     return f.select("file", "n_ut", F.round("timeframe", 9).alias("timeframe"))
 
 

@@ -86,7 +86,7 @@ def _(spark, sf):
 
 def cut(spark, sf, cols):
     fr = tb.frames(spark, sf)
-    un = tb.units(fr)
+    un = tb.units(spark, sf)
     return unit_frames(tb.asked_units(un), tb.bounds(un), fr.select("file", *cols))
 
 

@@ -67,8 +67,12 @@ UNIT_EXPRS = {
 }
 
 
-def units(fr: DataFrame) -> DataFrame:
-    ks = fr.select("file", F.floor(F.col("frame_idx") / 12).cast("long").alias("k")).distinct()
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    ks = n.select(
+        F.concat(F.lit("u"), "user_id").alias("file"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 12))).alias("k"),
+    )
     return ks.select(*[F.expr(e).alias(c) for c, e in UNIT_EXPRS.items()])
 
 
@@ -244,19 +248,24 @@ def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = spans.select(
         "file", item("UTtag", s_idx, at, F.col("stop"), F.when(F.col("pause"), "pp").otherwise("COM")).alias("r")
     )
-    long = n > 4
-    marks = F.array_compact(
-        F.array(
-            item("Sil", w_idx, at, at + n, F.col("text")),
-            F.when(F.contains("text", F.lit("an")), item("duv", w_idx, at, at + n, F.lower("text"))),
-            item("Zsil", w_idx, at, at + n, n),
-            F.when(long, item("Msil", w_idx, at, at + n, n * 2)),
-            F.when(long, item("Vsil", w_idx * 2, at, at + 1, F.lit(1))),
-            F.when(long, item("Vsil", w_idx * 2 + 1, at + 1, at + n, n - 1)),
-        )
-    )
-    word = words.select("file", F.explode(marks).alias("r"))
-    return utt.unionByName(unit).unionByName(word).select("file", "r.*")
+    words = words.select("file", "at", n.alias("n"), "text", w_idx.alias("w_idx"))
+    at, n, long = F.col("at"), F.col("n"), F.col("n") > 4
+    w_idx = F.col("w_idx")
+    # One branch per tier: a filter on the tier leaves only its own branch in the plan.
+    marks = [
+        words.select("file", item("Sil", w_idx, at, at + n, F.col("text")).alias("r")),
+        words.filter(F.contains("text", F.lit("an"))).select(
+            "file", item("duv", w_idx, at, at + n, F.lower("text")).alias("r")
+        ),
+        words.select("file", item("Zsil", w_idx, at, at + n, n).alias("r")),
+        words.filter(long).select("file", item("Msil", w_idx, at, at + n, n * 2).alias("r")),
+        words.filter(long).select("file", item("Vsil", w_idx * 2, at, at + 1, F.lit(1)).alias("r")),
+        words.filter(long).select("file", item("Vsil", w_idx * 2 + 1, at + 1, at + n, n - 1).alias("r")),
+    ]
+    out = utt.unionByName(unit)
+    for m in marks:
+        out = out.unionByName(m)
+    return out.select("file", "r.*")
 
 
 # The same in SQL: words_all holds every word with its offset.
