@@ -30,15 +30,9 @@ def describe_by(df: DataFrame, cols: Sequence[str], grouping_sets: Sequence[Sequ
     )
     rows = long.select("feature", "value", F.inline(sets))
     keys = ["set_no", *every, "feature"]
-    basic = rows.groupBy(*keys).agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    q = exact_quantiles(rows, keys, "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"]).drop("n")
-    return _join_summary(basic, q, keys)
+    names = ["p25", "p50", "p75"]
+    q = exact_quantiles(rows, keys, "value", [0.25, 0.5, 0.75], names, moments=True)
+    return q.withColumnRenamed("n", "count")
 
 
 def box_stats(df: DataFrame, group: Sequence[str], cols: Sequence[str], whis: float = 1.5) -> DataFrame:

@@ -13,13 +13,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.operators.moments import Moments, centre_of, grouped_moments, total
+from tonelake.operators.moments import Moments, grouped_moments, total
 from tonelake.operators.neighbours import nearest_rows
 
 # Fixed value: share of the largest feature variance added to every variance in naive Bayes.
 NB_SMOOTHING = 1e-9
 
-MODEL_TYPE = "array<struct<label:string,b:double,rows:array<struct<w:array<double>,c:double>>,sign:double>>"
+# A class's score is b plus its one linear term (linear) or minus half the squares of
+# its terms; each term is a row of weights times the features less ``at``.
+MODEL_TYPE = "array<struct<label:string,b:double,at:array<double>,rows:array<array<double>>,linear:boolean>>"
 
 
 def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -32,55 +34,46 @@ def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(a) @ b
 
 
-def lda_weights(parts: dict[str, Moments]) -> dict[str, tuple[np.ndarray, float]]:
-    """Per class the linear score's weights and constant, for centred features."""
-    n = sum(m.n for m in parts.values())
-    pooled = sum(m.scatter for m in parts.values()) / (n - len(parts))
+def lda_weights(parts: dict[str, Moments]) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, float]]]:
+    """Overall mean, and per class the weights and constant for features around it."""
+    every = total(parts.values())
+    pooled = sum(m.scatter for m in parts.values()) / (every.n - len(parts))
     out = {}
     for label, m in sorted(parts.items()):
-        w = _solve(pooled, m.mean)
-        out[label] = (w, float(-0.5 * w @ m.mean + np.log(m.n / n)))
-    return out
+        gap = m.mean - every.mean
+        w = _solve(pooled, gap)
+        out[label] = (w, float(-0.5 * w @ gap + np.log(m.n / every.n)))
+    return every.mean, out
 
 
-def _row(w: np.ndarray, c: float) -> dict:
-    return {"w": [float(x) for x in w], "c": float(c)}
+def _class(label: str, b: float, at: np.ndarray, rows: np.ndarray, linear: bool) -> dict:
+    return {"label": label, "b": float(b), "at": at.tolist(), "rows": rows.tolist(), "linear": linear}
 
 
-def lda_model(parts: dict[str, Moments], centre: np.ndarray) -> list[dict]:
-    return [
-        {"label": k, "b": b - float(w @ centre), "rows": [_row(w, 0.0)], "sign": 1.0}
-        for k, (w, b) in lda_weights(parts).items()
-    ]
+def lda_model(parts: dict[str, Moments]) -> list[dict]:
+    centre, fits = lda_weights(parts)
+    return [_class(k, b, centre, w[None, :], True) for k, (w, b) in fits.items()]
 
 
-def qda_model(parts: dict[str, Moments], centre: np.ndarray) -> list[dict]:
+def qda_model(parts: dict[str, Moments]) -> list[dict]:
     n = sum(m.n for m in parts.values())
     out = []
     for label, m in sorted(parts.items()):
-        cov = m.scatter / (m.n - 1)
-        values, vectors = np.linalg.eigh(cov)
+        values, vectors = np.linalg.eigh(m.scatter / (m.n - 1))
         values = np.maximum(values, 1e-300)
         axes = vectors / np.sqrt(values)  # squared lengths along these give the Mahalanobis distance
-        mean = m.mean + centre
-        b = float(np.log(m.n / n) - 0.5 * np.log(values).sum())
-        rows = [_row(axes[:, r], float(axes[:, r] @ mean)) for r in range(len(values))]
-        out.append({"label": label, "b": b, "rows": rows, "sign": 0.0})
+        out.append(_class(label, np.log(m.n / n) - 0.5 * np.log(values).sum(), m.mean, axes.T, False))
     return out
 
 
-def nb_model(parts: dict[str, Moments], centre: np.ndarray) -> list[dict]:
+def nb_model(parts: dict[str, Moments]) -> list[dict]:
     every = total(parts.values())
     floor = NB_SMOOTHING * float(np.max(np.diag(every.scatter) / every.n))
     out = []
     for label, m in sorted(parts.items()):
         var = np.maximum(np.diag(m.scatter), 0.0) / m.n + floor
-        mean = m.mean + centre
-        b = float(np.log(m.n / every.n) - 0.5 * np.log(2 * np.pi * var).sum())
-        scale = 1 / np.sqrt(var)
-        eye = np.diag(scale)
-        rows = [_row(eye[r], scale[r] * mean[r]) for r in range(len(mean))]
-        out.append({"label": label, "b": b, "rows": rows, "sign": 0.0})
+        b = np.log(m.n / every.n) - 0.5 * np.log(2 * np.pi * var).sum()
+        out.append(_class(label, b, m.mean, np.diag(1 / np.sqrt(var)), False))
     return out
 
 
@@ -91,16 +84,16 @@ def _best_label(models: Column, feats: Sequence[str]) -> Column:
     """Label of the highest score; equal scores go to the smallest label."""
     x = F.array(*[F.col(c).cast("double") for c in feats])
 
-    def along(row):
-        dot = F.aggregate(F.zip_with(row["w"], x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        return dot - row["c"]
+    def along(gap, row):
+        return F.aggregate(F.zip_with(row, gap, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
     def score(m):
-        linear = along(F.get(m["rows"], F.lit(0)))
+        gap = F.zip_with(x, m["at"], lambda a, b: a - b)
+        linear = along(gap, F.get(m["rows"], F.lit(0)))
         square = F.aggregate(
-            F.transform(m["rows"], along), F.lit(0.0), lambda s, v: s - F.lit(0.5) * v * v
+            F.transform(m["rows"], lambda row: along(gap, row)), F.lit(0.0), lambda s, v: s - F.lit(0.5) * v * v
         )
-        return m["b"] + F.when(m["sign"] == 1.0, linear).otherwise(square)
+        return m["b"] + F.when(m["linear"], linear).otherwise(square)
 
     scored = F.transform(models, lambda m, i: F.struct(score(m).alias("s"), (-i).alias("i"), m["label"].alias("label")))
     return F.array_max(scored)["label"]
@@ -128,9 +121,8 @@ def predict_each(models: dict[str, list[dict]], feats: Sequence[str]) -> Column:
 
 
 def _fit_predict(kind: str, train: DataFrame, test: DataFrame, label: str, feats: Sequence[str], id: str):
-    centre = centre_of(train, feats)
-    parts = {k[0]: m for k, m in grouped_moments(train, [label], feats, centre).items()}
-    out = predict_label(test, MODELS[kind](parts, centre), feats)
+    parts = {k[0]: m for k, m in grouped_moments(train, [label], feats).items()}
+    out = predict_label(test, MODELS[kind](parts), feats)
     return out.select(id, F.col(label).alias("label"), "prediction")
 
 
@@ -173,11 +165,10 @@ def cross_val_predict(
     """Every row predicted by a fit on the other folds.
 
     One pass gives the moments of every (fold, class); a fold's training
-    moments are the total less its own.
+    moments are those of all other folds together.
     """
-    centre = centre_of(df, feats)
-    parts = grouped_moments(df, [fold, label], feats, centre)
-    models = {f: MODELS[model](train, centre) for f, train in training_parts(parts).items()}
+    parts = grouped_moments(df, [fold, label], feats)
+    models = {f: MODELS[model](train) for f, train in training_parts(parts).items()}
     return predict_by_fold(df, models, feats, fold).select(id, F.col(label).alias("label"), fold, "prediction")
 
 
@@ -205,14 +196,13 @@ def sequential_one_vs_rest(
     """
     from tonelake.operators.selection import subset_table
 
-    centre = centre_of(df, feats)
-    parts = {k[0]: m for k, m in grouped_moments(df, [label], feats, centre).items()}
+    parts = {k[0]: m for k, m in grouped_moments(df, [label], feats).items()}
     every = total(parts.values())
     jobs = []
     for c, own in sorted(parts.items()):
-        rest = every - own
+        rest = total(m for k, m in parts.items() if k != c)
         best = (
-            subset_table(df.sparkSession, every, own.n, own.s, list(feats), nbest, len(feats))
+            subset_table(df.sparkSession, every, own, list(feats), nbest, len(feats))
             .orderBy(F.round("cp", 6), "size", "cand_id")
             .first()
         )
@@ -222,6 +212,6 @@ def sequential_one_vs_rest(
     claims = []
     for i, (_, c, cols, pair) in enumerate(sorted(jobs, key=lambda j: (j[0], j[1]))):
         names = [feats[j] for j in cols]
-        out = predict_label(out, lda_model(pair, centre[cols]), names, f"_c{i}")
+        out = predict_label(out, lda_model(pair), names, f"_c{i}")
         claims.append(F.when(F.col(f"_c{i}") == c, F.lit(c)))
     return out.select(id, F.col(label).alias("label"), F.coalesce(*claims).alias("prediction"))

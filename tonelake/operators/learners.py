@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tonelake.operators.classify import cross_val_predict, knn_classify, lda_model, predict_each
 from tonelake.operators.evaluate import overall_scores
-from tonelake.operators.moments import centre_of, grouped_moments
+from tonelake.operators.moments import grouped_moments
 from tonelake.operators.sampling import sample_frames, stratified_folds
 from tonelake.session import checkpoint
 
@@ -116,14 +116,13 @@ def bagging(train, test, label, feats, id="id", bags: int = 1000, base: str = "t
         forest = RandomForestClassifier(numTrees=bags, maxDepth=depth, featureSubsetStrategy="all", seed=seed)
         return _learn(train, test, label, feats, id, forest)
     if base == "lda":
-        centre = centre_of(train, feats)
         weights = F.transform(F.sequence(F.lit(0), F.lit(bags - 1)), lambda b: _bag_weight(id, b, seed))
-        parts = grouped_moments(train.withColumn("_w", weights), [label], feats, centre, weights="_w")
+        parts = grouped_moments(train.withColumn("_w", weights), [label], feats, weights="_w")
         labels = sorted({k[0] for k in parts})
         models = {}
         for b in range(bags):
             mine = {c: m for (c, s), m in parts.items() if s == b and m.n > 1}
-            models[str(b)] = lda_model(mine, centre)
+            models[str(b)] = lda_model(mine)
         preds = predict_each(models, feats)
         return test.select(id, F.col(label).alias("label"), _vote(preds, labels).alias("prediction"))
     if base in ("logistic", "knn"):

@@ -61,41 +61,49 @@ def fit_line_weighted(df: DataFrame, group: Sequence[str], x: str, y: str, z: st
 # ---- robust lines ------------------------------------------------------------------
 
 
-def _picks(n: np.ndarray | int, t: np.ndarray):
-    """The two points of trial ``t`` among ``n`` ordered points (a fixed draw)."""
+def _picks(n: int, t: np.ndarray):
+    """The two points of each trial among ``n`` ordered points (a fixed draw)."""
     i = (7919 * t + 13) % n
     j = (i + 1 + (104729 * t + 7) % (n - 1)) % n
     return np.minimum(i, j), np.maximum(i, j)
 
 
-def _robust_line(x: np.ndarray, y: np.ndarray, w: np.ndarray, trials: int):
-    """Slope and intercept of one unit's points, ordered by x; (nan, nan) if none fits."""
-    n = len(x)
+def _robust_lines(x: np.ndarray, y: np.ndarray, w: np.ndarray, trials: int) -> np.ndarray:
+    """(slope, intercept) of units that all have n points ordered by x; nan where none fits."""
+    units, n = x.shape
+    out = np.full((units, 2), np.nan)
     if n < 2:
-        return np.nan, np.nan
-    limit = np.round(np.median(np.abs(y - np.median(y))), 9)
+        return out
+    dev = np.abs(y - np.median(y, axis=1, keepdims=True))
+    limit = np.round(np.median(dev, axis=1), 9)
     i, j = _picks(n, np.arange(trials))
-    valid = x[i] != x[j]
-    i, j = i[valid], j[valid]
-    if len(i) == 0:
-        return np.nan, np.nan
-    a = (y[j] - y[i]) / (x[j] - x[i])
-    b = y[i] - a * x[i]
-    resid = y[None, :] - (a[:, None] * x[None, :] + b[:, None])
-    inlier = np.round(np.abs(resid), 9) <= limit
-    count = inlier.sum(axis=1)
-    mean = np.where(count > 0, (inlier * y).sum(axis=1) / np.maximum(count, 1), 0.0)
-    total = (inlier * (y[None, :] - mean[:, None]) ** 2).sum(axis=1)
-    left = (inlier * resid**2).sum(axis=1)
-    r2 = _r2(left, total)
-    best = np.lexsort((np.arange(len(i)), -r2, -count))[0]
-    keep = inlier[best]
-    x, y, w = x[keep], y[keep], w[keep]
-    if len(x) < 2 or x.min() == x.max():
-        return np.nan, np.nan
-    xm, ym = np.average(x, weights=w), np.average(y, weights=w)
-    slope = (w * (x - xm) * (y - ym)).sum() / (w * (x - xm) ** 2).sum()
-    return slope, ym - slope * xm
+    run = x[:, j] - x[:, i]
+    valid = run != 0
+    a = (y[:, j] - y[:, i]) / np.where(valid, run, 1.0)
+    b = y[:, i] - a * x[:, i]
+    resid = y[:, None, :] - (a[:, :, None] * x[:, None, :] + b[:, :, None])
+    inlier = (np.round(np.abs(resid), 9) <= limit[:, None, None]) & valid[:, :, None]
+    count = inlier.sum(axis=2)
+    mean = (inlier * y[:, None, :]).sum(axis=2) / np.maximum(count, 1)
+    total = (inlier * (y[:, None, :] - mean[:, :, None]) ** 2).sum(axis=2)
+    left = (inlier * resid**2).sum(axis=2)
+    # Most inliers, then highest R squared, then the earliest trial.
+    top = count == count.max(axis=1, keepdims=True)
+    r2 = np.where(top, _r2(left, total), -np.inf)
+    best = np.argmax(r2 == r2.max(axis=1, keepdims=True), axis=1)
+    keep = inlier[np.arange(units), best]
+    w = w * keep
+    weight = w.sum(axis=1)
+    lo = np.where(keep, x, np.inf).min(axis=1)
+    hi = np.where(keep, x, -np.inf).max(axis=1)
+    ok = (hi > lo) & (weight != 0)
+    safe = np.where(ok, weight, 1.0)
+    xm, ym = (w * x).sum(axis=1) / safe, (w * y).sum(axis=1) / safe
+    dx = x - xm[:, None]
+    sxx = np.where(ok, (w * dx * dx).sum(axis=1), 1.0)
+    slope = (w * dx * (y - ym[:, None])).sum(axis=1) / sxx
+    out[ok] = np.column_stack([slope, ym - slope * xm])[ok]
+    return out
 
 
 def _r2(left, total):
@@ -105,6 +113,24 @@ def _r2(left, total):
     return np.round(np.where(flat, exact, 1 - left / np.where(flat, 1.0, total)), 6)
 
 
+def _fit_all(x: pd.Series, y: pd.Series, w: pd.Series, trials: int) -> np.ndarray:
+    """Fits of every unit of a batch; units with equally many points go together."""
+    points, by_size = [], {}
+    for pos, (xi, yi, wi) in enumerate(zip(x, y, w)):
+        p = np.array([xi, yi, wi], dtype=float)
+        p = p[:, ~np.isnan(p).any(axis=0)]
+        points.append(p)
+        by_size.setdefault(p.shape[1], []).append(pos)
+    out = np.full((len(points), 2), np.nan)
+    for n, members in by_size.items():
+        step = max(1, 2_000_000 // (trials * max(n, 1)))
+        for lo in range(0, len(members), step):
+            part = members[lo : lo + step]
+            block = np.stack([points[m] for m in part])
+            out[part] = _robust_lines(block[:, 0], block[:, 1], block[:, 2], trials)
+    return out
+
+
 def _robust_small(
     rows: DataFrame, group: Sequence[str], ys: Sequence[str], trials: int, extra: dict[str, Column]
 ) -> DataFrame:
@@ -123,12 +149,7 @@ def _robust_small(
 
     @F.pandas_udf("slope double, intercept double")
     def fit(x: pd.Series, y: pd.Series, w: pd.Series) -> pd.DataFrame:
-        out = []
-        for xi, yi, wi in zip(x, y, w):
-            yi, wi = np.asarray(yi, dtype=float), np.asarray(wi, dtype=float)
-            ok = ~np.isnan(yi) & ~np.isnan(wi)
-            out.append(_robust_line(np.asarray(xi, dtype=float)[ok], yi[ok], wi[ok], trials))
-        return pd.DataFrame(out, columns=["slope", "intercept"])
+        return pd.DataFrame(_fit_all(x, y, w, trials), columns=["slope", "intercept"])
 
     return arrays.select(*group, *[fit("x", c, "w").alias(c) for c in ys], *extra)
 

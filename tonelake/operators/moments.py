@@ -1,7 +1,8 @@
-"""Counts, sums and cross products per group: one pass serves every linear fit.
+"""Counts, means and scatter matrices per group: one pass serves every linear fit.
 
-Tasks add up numpy blocks; only d*d numbers per group and task are shuffled,
-and the driver sees d*d numbers per group (a checked total).
+A task sums up numpy blocks around its own means and sends d*d numbers per
+group. The parts are merged in two steps, so neither a task nor the driver
+meets the parts of all tasks; the driver sees d*d numbers per group (checked).
 """
 
 from __future__ import annotations
@@ -11,38 +12,51 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DRIVER_VALUES = 20_000_000  # doubles of moments the driver takes (160 MB)
+MERGE_WAYS = 64
 
 
 @dataclass
 class Moments:
-    """Weighted count, sum and cross-product matrix of centred rows."""
+    """Weighted count, mean and scatter (cross products around the mean) of rows."""
 
     n: float
-    s: np.ndarray
-    g: np.ndarray
+    mean: np.ndarray
+    scatter: np.ndarray
 
     def __add__(self, o: "Moments") -> "Moments":
-        return Moments(self.n + o.n, self.s + o.s, self.g + o.g)
-
-    def __sub__(self, o: "Moments") -> "Moments":
-        return Moments(self.n - o.n, self.s - o.s, self.g - o.g)
+        n = self.n + o.n
+        if n == 0:
+            return self
+        gap = o.mean - self.mean
+        return Moments(
+            n, self.mean + gap * (o.n / n), self.scatter + o.scatter + np.outer(gap, gap) * (self.n * o.n / n)
+        )
 
     def take(self, cols: Sequence[int]) -> "Moments":
         i = np.asarray(cols)
-        return Moments(self.n, self.s[i], self.g[np.ix_(i, i)])
+        return Moments(self.n, self.mean[i], self.scatter[np.ix_(i, i)])
+
+    def packed(self) -> list[float]:
+        return [self.n, *self.mean, *self.scatter.ravel()]
 
-    @property
-    def mean(self) -> np.ndarray:
-        return self.s / self.n
+    @staticmethod
+    def unpacked(values, d: int) -> "Moments":
+        v = np.asarray(values, dtype=float)
+        return Moments(float(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d))
 
-    @property
-    def scatter(self) -> np.ndarray:
-        """Cross products around the group's own mean."""
-        return self.g - np.outer(self.s, self.s) / self.n
+    @staticmethod
+    def of(x: np.ndarray, w: np.ndarray) -> "Moments":
+        n = float(w.sum())
+        if n == 0:
+            return Moments(0.0, np.zeros(x.shape[1]), np.zeros((x.shape[1],) * 2))
+        mean = w @ x / n
+        dx = x - mean
+        return Moments(n, mean, (dx * w[:, None]).T @ dx)
 
 
 def total(parts) -> Moments:
@@ -53,15 +67,10 @@ def total(parts) -> Moments:
     return out
 
 
-def centre_of(df: DataFrame, feats: Sequence[str]) -> np.ndarray:
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(feats)]).first()
-    return np.array([x or 0.0 for x in row], dtype=float)
-
-
 def grouped_moments(
-    df: DataFrame, keys: Sequence[str], feats: Sequence[str], centre: np.ndarray, weights: str | None = None
+    df: DataFrame, keys: Sequence[str], feats: Sequence[str], weights: str | None = None
 ) -> dict[tuple, Moments]:
-    """Moments of ``feats - centre`` per group; rows with a missing feature are left out.
+    """Moments of ``feats`` per group; rows with a missing feature are left out.
 
     ``weights`` names an array column: entry b weighs the row in the b-th of that
     many sets, and b is appended to the group key.
@@ -75,39 +84,43 @@ def grouped_moments(
     rows = df.select(*cols).dropna(subset=[f"x{i}" for i in range(d)] + [f"k{i}" for i in range(len(keys))])
     key_names = [f"k{i}" for i in range(len(keys))]
     x_names = [f"x{i}" for i in range(d)]
+    group = [*key_names, "s"]
+
+    def table(acc: dict[tuple, Moments], way) -> pd.DataFrame:
+        out = pd.DataFrame([[*key, way, m.packed()] for key, m in acc.items()], columns=[*group, "way", "v"])
+        return out
 
     def add_up(batches):
-        acc: dict[tuple, np.ndarray] = {}
+        acc: dict[tuple, Moments] = {}
         for b in batches:
             if not len(b):
                 continue
             groups = b.groupby(key_names, sort=False).indices if key_names else {(): np.arange(len(b))}
-            x_all = np.concatenate([np.ones((len(b), 1)), b[x_names].to_numpy(dtype=float) - centre], axis=1)
-            w_all = np.stack(b["w"].to_numpy()) if weights else None
+            x_all = b[x_names].to_numpy(dtype=float)
+            w_all = np.stack(b["w"].to_numpy()) if weights else np.ones((len(b), 1))
             for key, idx in groups.items():
                 key = key if isinstance(key, tuple) else (key,)
-                x = x_all[idx]
-                if w_all is None:
-                    acc[(*key, 0)] = acc.get((*key, 0), 0.0) + x.T @ x
-                else:
-                    for s in range(w_all.shape[1]):
-                        acc[(*key, s)] = acc.get((*key, s), 0.0) + (x * w_all[idx, s : s + 1]).T @ x
-        for key, m in acc.items():
-            out = pd.DataFrame({"pos": np.arange(m.size, dtype="int32"), "v": m.ravel()})
-            for name, value in zip([*key_names, "s"], key):
-                out[name] = value
-            yield out[[*key_names, "s", "pos", "v"]]
-
-    schema = "".join(f"{k} string, " for k in key_names) + "s int, pos int, v double"
-    sums = rows.mapInPandas(add_up, schema).groupBy(*key_names, "s", "pos").agg(F.sum("v").alias("v"))
-    found = sums.limit(DRIVER_VALUES + 1).toPandas()
-    if len(found) > DRIVER_VALUES:
+                for s in range(w_all.shape[1]):
+                    m = Moments.of(x_all[idx], w_all[idx, s])
+                    name = (*key, s)
+                    acc[name] = acc[name] + m if name in acc else m
+        if acc:
+            # By partition, so a task that runs again sends its part the same way.
+            yield table(acc, TaskContext.get().partitionId() % MERGE_WAYS)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = total(Moments.unpacked(v, d) for v in pdf["v"])
+        key = tuple(pdf[c].iloc[0] for c in group)
+        return table({key: m}, int(pdf["way"].iloc[0]))
+
+    schema = "".join(f"{k} string, " for k in key_names) + "s int, way int, v array<double>"
+    parts = rows.mapInPandas(add_up, schema).groupBy(*group, "way").applyInPandas(merge, schema)
+    limit = DRIVER_VALUES // (d * d + d + 1)
+    found = parts.limit(limit + 1).toPandas()
+    if len(found) > limit:
         raise ValueError("too many groups for moments: group by fewer keys")
     out = {}
-    for key, part in found.groupby([*key_names, "s"], sort=True):
-        m = np.zeros((d + 1) * (d + 1))
-        m[part["pos"].to_numpy()] = part["v"].to_numpy()
-        m = m.reshape(d + 1, d + 1)
+    for key, part in found.groupby(group, sort=True):
         name = tuple(key[:-1]) + ((int(key[-1]),) if weights else ())
-        out[name] = Moments(m[0, 0], m[0, 1:], m[1:, 1:])
+        out[name] = total(Moments.unpacked(v, d) for v in part["v"])
     return out

@@ -23,8 +23,12 @@ def exact_quantiles(
     probs: Sequence[float],
     names: Sequence[str],
     accuracy: int = 10_000,
+    moments: bool = False,
 ) -> DataFrame:
-    """``keys``, ``n`` and one linearly interpolated quantile column per name."""
+    """``keys``, ``n`` and one linearly interpolated quantile column per name.
+
+    ``moments`` adds mean, std (sample), min and max from the same passes.
+    """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
     # A sketch rank is off by at most n/accuracy, so 3/accuracy on both sides
@@ -61,12 +65,19 @@ def exact_quantiles(
         upto = F.col("_v") <= F.col(f"_hi{i}")
         segment = F.when(upto, rank) if segment is None else segment.when(upto, rank)
         value_in = F.when(upto, inside) if value_in is None else value_in.when(upto, inside)
-    counts = (
-        joined.select(*keys, "n", segment.alias("_i"), value_in.alias("_bv"))
-        .filter("_i IS NOT NULL")
-        .groupBy(*keys, "n", "_i", "_bv")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
+    sums = [F.count(F.lit(1)).alias("_c")]
+    const = ["n"]
+    if moments:
+        # Sums around a value near the middle lose no digits.
+        middle = f"_lo{order[len(order) // 2]}"
+        gap = F.col("_v") - F.col(middle)
+        sums += [F.sum(gap).alias("_s"), F.sum(gap * gap).alias("_ss"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
+        const.append(middle)
+        segment = segment.otherwise(len(probs))
+    cells = joined.select(*keys, *const, segment.alias("_i"), value_in.alias("_bv"), "_v")
+    if not moments:
+        cells = cells.filter("_i IS NOT NULL")
+    counts = cells.groupBy(*keys, *const, "_i", "_bv").agg(*sums)
     w = (
         Window.partitionBy(*keys)
         .orderBy("_i", F.col("_bv").asc_nulls_first())
@@ -79,8 +90,13 @@ def exact_quantiles(
         for t, k in (("a", F.floor(at)), ("b", F.ceil(at))):
             hit = (F.col("_lo") <= k) & (k < F.col("_hi"))
             picks.append(F.max(F.when(hit, F.col("_bv"))).alias(f"_{t}{j}"))
-    out = ranked.groupBy(*keys, "n").agg(*picks)
     cols = []
+    if moments:
+        picks += [F.sum("_s").alias("_s"), F.sum("_ss").alias("_ss"), F.min("_min").alias("min"), F.max("_max").alias("max")]
+        n, s = F.col("n"), F.col("_s")
+        var = F.greatest(F.try_divide(F.col("_ss") - s * s / n, n - 1), F.lit(0.0))
+        cols = [(F.col(middle) + s / n).alias("mean"), F.when(n > 1, F.sqrt(var)).alias("std"), "min", "max"]
+    out = ranked.groupBy(*keys, *const).agg(*picks)
     for j, (p, name) in enumerate(zip(probs, names)):
         at = (F.col("n") - 1) * F.lit(float(p))
         frac = at - F.floor(at)

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from tonelake.operators.classify import lda_model, lda_weights, predict_by_fold, training_parts
 from tonelake.operators.evaluate import class_metrics_11, overall_scores
 from tonelake.operators.frames import standardize, unpivot_features
-from tonelake.operators.moments import Moments, centre_of, grouped_moments, total
+from tonelake.operators.moments import Moments, grouped_moments, total
 
 
 def anova_f(df: DataFrame, label: str, feats: Sequence[str]) -> DataFrame:
@@ -80,8 +80,7 @@ def k_sweep(
     src = df.withColumn("_y", F.col(label).cast("string"))
     if target is not None:
         src = src.withColumn("_y", F.when(F.col("_y") == target, target).otherwise("OTHER"))
-    centre = centre_of(src, feats)
-    parts = grouped_moments(src, [fold, "_y"], feats, centre)
+    parts = grouped_moments(src, [fold, "_y"], feats)
     labels = sorted({c for _, c in parts})
     whole = {c: total(m for (_, l), m in parts.items() if l == c) for c in labels}
     train = training_parts(parts)
@@ -92,7 +91,7 @@ def k_sweep(
         models = {}
         for f, t in train.items():
             cols = ranks[f][:k]
-            wide = lda_model({c: m.take(cols) for c, m in t.items()}, centre[cols])
+            wide = lda_model({c: m.take(cols) for c, m in t.items()})
             models[f] = [_widen(m, cols, len(feats)) for m in wide]
         out = predict_by_fold(out, models, feats, fold).withColumnRenamed("prediction", f"_p{k}")
     long = out.select(
@@ -113,13 +112,13 @@ def k_sweep(
 
 def _widen(model: dict, cols: Sequence[int], d: int) -> dict:
     """The same model over all features, with zero weights outside ``cols``."""
-    rows = []
-    for r in model["rows"]:
-        w = [0.0] * d
-        for j, x in zip(cols, r["w"]):
-            w[j] = x
-        rows.append({"w": w, "c": r["c"]})
-    return {**model, "rows": rows}
+    at = [0.0] * d
+    rows = [[0.0] * d for _ in model["rows"]]
+    for j, col in enumerate(cols):
+        at[col] = model["at"][j]
+        for wide, row in zip(rows, model["rows"]):
+            wide[col] = row[j]
+    return {**model, "at": at, "rows": rows}
 
 
 def rfe(df: DataFrame, label: str, feats: Sequence[str], keep: int = 8) -> DataFrame:
@@ -128,13 +127,12 @@ def rfe(df: DataFrame, label: str, feats: Sequence[str], keep: int = 8) -> DataF
     One data pass; every refit is a sub-block of the same moments.
     """
     feats = list(feats)
-    centre = centre_of(df, feats)
-    parts = {k[0]: m for k, m in grouped_moments(df, [label], feats, centre).items()}
+    parts = {k[0]: m for k, m in grouped_moments(df, [label], feats).items()}
     left, dropped = list(range(len(feats))), []
     while len(left) > keep:
         sub = {c: m.take(left) for c, m in parts.items()}
         n = sum(m.n for m in sub.values())
-        weights = lda_weights(sub)
+        _, weights = lda_weights(sub)
         mean = sum(w * sub[c].n / n for c, (w, _) in weights.items())
         power = np.round(sum((w - mean) ** 2 for w, _ in weights.values()), 12)
         dropped.append(left.pop(int(np.argmin(power))))
@@ -146,12 +144,10 @@ def rfe(df: DataFrame, label: str, feats: Sequence[str], keep: int = 8) -> DataF
 # ---- subsets -------------------------------------------------------------------------
 
 
-def subset_table(
-    spark: SparkSession, every: Moments, y_n: float, y_s: np.ndarray, feats: list[str], nbest: int, nvmax: int
-) -> DataFrame:
-    """Best subsets per size for a 0/1 target whose ones have count ``y_n`` and sums ``y_s``."""
-    yy = y_n - y_n * y_n / every.n
-    xy = y_s - every.s * y_n / every.n
+def subset_table(spark: SparkSession, every: Moments, ones: Moments, feats: list[str], nbest: int, nvmax: int):
+    """Best subsets per size for a 0/1 target; ``ones`` are the moments of its rows of value 1."""
+    yy = ones.n - ones.n * ones.n / every.n
+    xy = ones.n * (ones.mean - every.mean)
     return _search(spark, every.scatter, xy, yy, every.n, feats, nbest, nvmax)
 
 
@@ -217,13 +213,12 @@ def subset_cp(df: DataFrame, label: str, feats: Sequence[str], nbest: int = 60,
     moments; the 2^d subsets are shared out over the tasks.
     """
     feats = list(feats)
-    centre = centre_of(df, feats)
-    parts = {k[0]: m for k, m in grouped_moments(df, [label], feats, centre).items()}
+    parts = {k[0]: m for k, m in grouped_moments(df, [label], feats).items()}
     every = total(parts.values())
     codes = {c: i + 1.0 for i, c in enumerate(sorted(parts))}
     y = sum(codes[c] * m.n for c, m in parts.items())
-    yy = sum(codes[c] ** 2 * m.n for c, m in parts.items()) - y * y / every.n
-    xy = sum(codes[c] * m.s for c, m in parts.items()) - every.s * y / every.n
+    yy = sum((codes[c] - y / every.n) ** 2 * m.n for c, m in parts.items())
+    xy = sum(codes[c] * m.n * (m.mean - every.mean) for c, m in parts.items())
     return _search(df.sparkSession, every.scatter, xy, yy, every.n, feats, nbest, nvmax)
 
 
@@ -256,17 +251,17 @@ def subset_lda_scores(
     picked = cands.select("cand_id", "size", "features").limit(CANDIDATES_MAX + 1).collect()
     if len(picked) > CANDIDATES_MAX:
         raise ValueError("too many candidate subsets")
-    centre = centre_of(df, feats)
-    parts = {k[0]: m for k, m in grouped_moments(df, [label], feats, centre).items()}
+    parts = {k[0]: m for k, m in grouped_moments(df, [label], feats).items()}
     labels = sorted(parts)
     ids = np.array([r["cand_id"] for r in picked])
     weights = np.zeros((len(picked), len(labels), len(feats)))
     consts = np.zeros((len(picked), len(labels)))
     for i, r in enumerate(picked):
         cols = [feats.index(f) for f in r["features"]]
-        fits = lda_weights({c: m.take(cols) for c, m in parts.items()})
+        _, fits = lda_weights({c: m.take(cols) for c, m in parts.items()})
         for j, c in enumerate(labels):
             weights[i, j, cols], consts[i, j] = fits[c]
+    middle = total(parts.values()).mean
     model = df.sparkSession.sparkContext.broadcast((ids, weights, consts))
     rows = df.select(F.col(label).cast("string").alias("label"), *[F.col(c).cast("double").alias(c) for c in feats])
 
@@ -277,7 +272,7 @@ def subset_lda_scores(
             b = b.dropna()
             if not len(b):
                 continue
-            x = b[feats].to_numpy(dtype=float) - centre
+            x = b[feats].to_numpy(dtype=float) - middle
             y = np.searchsorted(labels, b["label"].to_numpy())
             for i in range(len(ids)):
                 p = np.argmax(x @ weights[i].T + consts[i], axis=1)
@@ -323,12 +318,11 @@ def _signed(axis: np.ndarray) -> np.ndarray:
 
 def pca_axes(df: DataFrame, feats: Sequence[str], k: int):
     """Mean, the first ``k`` axes, their variances and shares, from one pass of moments."""
-    centre = centre_of(df, feats)
-    m = grouped_moments(df, [], feats, centre)[()]
+    m = grouped_moments(df, [], feats)[()]
     values, vectors = np.linalg.eigh(m.scatter / (m.n - 1))
     order = np.argsort(values)[::-1][:k]
     axes = np.array([_signed(vectors[:, i]) for i in order])
-    return m.mean + centre, axes, values[order], values[order] / values.sum()
+    return m.mean, axes, values[order], values[order] / values.sum()
 
 
 def pca(df: DataFrame, feats: Sequence[str], k: int) -> DataFrame:
@@ -358,8 +352,7 @@ def lda_coefficients(df: DataFrame, label: str, feats: Sequence[str], scaled: bo
     """
     feats = list(feats)
     src = standardize(df, feats, ddof=1) if scaled else df
-    centre = centre_of(src, feats)
-    parts = {k[0]: m for k, m in grouped_moments(src, [label], feats, centre).items()}
+    parts = {k[0]: m for k, m in grouped_moments(src, [label], feats).items()}
     every = total(parts.values())
     within = sum(m.scatter for m in parts.values()) / (every.n - len(parts))
     between = sum(m.n * np.outer(m.mean - every.mean, m.mean - every.mean) for m in parts.values()) / (len(parts) - 1)

@@ -1,8 +1,8 @@
 """Best pitch-candidate path per file.
 
 Emissions and voicing are column expressions. The path itself is a fold over a
-file's frames. Files up to ``chunk`` frames are folded as one group. Longer ones are
-cut into chunks so that no task holds a whole file:
+file's frames; files up to ``chunk`` frames are folded side by side, many to a
+group. Longer ones are cut into chunks so that no task holds a whole file:
 
 1. each chunk's transfer (best score from every entry state to every exit
    state) is computed on its own; a short scan over chunks gives each
@@ -28,7 +28,8 @@ from tonelake.operators.ordering import with_halo
 from tonelake.operators.windows import CHUNK, voice_fallback
 from tonelake.session import checkpoint
 
-FOLD_CHUNK = 100_000  # frames per fold group (500 s at 5 ms)
+FOLD_CHUNK = 100_000  # frames folded as one run (500 s at 5 ms); longer files are cut
+BIN_FRAMES = 200_000  # frames of whole files folded as one group
 
 # Scores this close (relative) count as equal. Path scores tie by design whenever a
 # pitch lies between two others, so rounding must not decide between them.
@@ -192,18 +193,64 @@ def _path_rows(file, idx, cand, states, log) -> pd.DataFrame:
             "frame_idx": idx,
             "state": states.astype("int32"),
             "candidate": chosen,
-            "log_prob": log if np.isfinite(log) else np.nan,
+            "log_prob": np.where(np.isfinite(log), log, np.nan),
         }
     )
 
 
-def _whole_file(vup: float, r: float):
+def _step_many(v: np.ndarray, t: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """``_step`` for many files at once: ``v`` is files x N, ``t`` files x N x N."""
+    p = v[:, :, None] * t
+    n = v.shape[1]
+    if r == 1.0:
+        near = p >= p.max(axis=1, keepdims=True) * (1 - TIE)
+        ptr = n - 1 - np.argmax(near[:, ::-1], axis=1)
+        return np.take_along_axis(p, ptr[:, None, :], 1)[:, 0], ptr
+    best = np.zeros_like(v)
+    ptr = np.zeros(v.shape, dtype=np.int64)
+    for k in range(n):
+        take = p[:, k] >= best * (1 - TIE)
+        gain = p[:, k].copy()
+        gain[:, k] *= r
+        best, ptr = np.where(take, gain, best), np.where(take, k, ptr)
+    return best, ptr
+
+
+def _whole_files(vup: float, r: float):
+    """Paths of a group of whole files, all files one frame at a time."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
+        pdf = pdf.sort_values(["file", "frame_idx"])
         cand, emis = _matrix(pdf["cand"]), _matrix(pdf["emis"])
-        v, log, ptrs = _forward(cand, emis, None, vup, r)
-        states = _trace(ptrs, _best_state(v))
-        return _path_rows(pdf["file"].iloc[0], pdf["frame_idx"].to_numpy(), cand, states, log)
+        first = np.flatnonzero(pdf["file"].ne(pdf["file"].shift()).to_numpy())
+        size = np.diff(np.append(first, len(pdf)))
+        order = np.argsort(-size, kind="stable")  # files still running are always the leading ones
+        first, size = first[order], size[order]
+        ptrs = np.zeros(emis.shape, dtype=np.int64)
+        v = emis[first]
+        top = v.max(axis=1)
+        v = v / np.where(top > 0, top, 1.0)[:, None]
+        with np.errstate(divide="ignore"):
+            log = np.log(top)
+        for m in range(1, size[0]):
+            n = int(np.searchsorted(-size, -m, side="left"))  # files longer than m
+            at = first[:n] + m
+            best, ptrs[at] = _step_many(v[:n], _similarities(cand[at - 1], cand[at], vup), r)
+            best = best * emis[at]
+            top = best.max(axis=1)
+            v[:n] = best / np.where(top > 0, top, 1.0)[:, None]
+            with np.errstate(divide="ignore"):
+                log[:n] += np.log(top)
+        states = np.zeros(len(pdf), dtype=np.int64)
+        states[first + size - 1] = np.argmax(v >= v.max(axis=1, keepdims=True) * (1 - TIE), axis=1)
+        for m in range(size[0] - 1, 0, -1):
+            n = int(np.searchsorted(-size, -m, side="left"))
+            at = first[:n] + m
+            states[at - 1] = ptrs[at, states[at]]
+        per_frame = np.empty(len(pdf))
+        for f, s, x in zip(first, size, log):
+            per_frame[f : f + s] = x
+        return _path_rows(pdf["file"].to_numpy(), pdf["frame_idx"].to_numpy(), cand, states, per_frame)
 
     return run
 
@@ -380,16 +427,22 @@ def viterbi_path(
     rows = frames.select("file", "frame_idx", "cand", "emis")
     r = float(reinforcement)
     sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
-    longest = sizes.agg(F.max("_n")).first()[0] or 0
+    seen = sizes.agg(F.max("_n").alias("longest"), F.sum("_n").alias("frames")).first()
+    longest = seen["longest"] or 0
+    # Files share groups of about BIN_FRAMES frames, since the fold runs over files side by side.
+    spread = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    bins = max(spread, -(-(seen["frames"] or 0) // BIN_FRAMES))
+
+    def whole(df: DataFrame) -> DataFrame:
+        binned = df.withColumn("_bin", F.pmod(F.xxhash64("file"), F.lit(bins)))
+        return binned.groupBy("_bin").applyInPandas(_whole_files(vup, r), PATH_SCHEMA)
+
     if longest <= chunk:
-        return rows.groupBy("file").applyInPandas(_whole_file(vup, r), PATH_SCHEMA)
+        return whole(rows)
     sized = rows.join(sizes, "file")
     short = sized.filter(F.col("_n") <= chunk).drop("_n")
     long = sized.filter(F.col("_n") > chunk).drop("_n")
-    return (
-        short.groupBy("file").applyInPandas(_whole_file(vup, r), PATH_SCHEMA)
-        .unionByName(_long_paths(long, longest, r, vup, chunk))
-    )
+    return whole(short).unionByName(_long_paths(long, longest, r, vup, chunk))
 
 
 def viterbi_track(
