@@ -77,18 +77,24 @@ def unit_frames(
     """Each unit's frames (closed interval of its first boundary row).
 
     A unit without boundary or without frames stays, with NULL frame columns.
+    Frames are shuffled once, by file and slot; the units with none are added
+    from the keys alone, so a unit with very many frames never fills one task.
     """
     keys = ["file", "n_ut"]
     first = bounds.groupBy(*keys).agg(F.min_by(F.struct("iu_start", "iu_end"), order_col).alias("_w"))
     placed = units.join(first, keys, "left").select(*units.columns, "_w.iu_start", "_w.iu_end")
-    spans = placed.select(*keys, "iu_start", "iu_end", _slots("iu_start", "iu_end", width).alias("_slot"))
+    spans = placed.select("*", _slots("iu_start", "iu_end", width).alias("_slot"))
     extra = [c for c in frames.columns if c != "file"]
-    hits = (
-        spans.join(frames.withColumn("_slot", _slot("t", width)), ["file", "_slot"])
-        .filter(F.col("t").between(F.col("iu_start"), F.col("iu_end")))
-        .select(*keys, *extra)
-    )
-    return placed.join(hits, keys, "left")
+
+    def inside(fr: DataFrame) -> DataFrame:
+        return spans.join(fr.withColumn("_slot", _slot("t", width)), ["file", "_slot"]).filter(
+            F.col("t").between(F.col("iu_start"), F.col("iu_end"))
+        )
+
+    hits = inside(frames).select(*placed.columns, *extra)
+    seen = inside(frames.select("file", "t")).select(*keys).distinct()
+    bare = placed.join(seen, keys, "left_anti")
+    return hits.unionByName(bare, allowMissingColumns=True)
 
 
 def tag_frames(

@@ -47,29 +47,34 @@ def _(spark, sf):
     return _extract(spark, sf)[1].drop("at")
 
 
-# ---- annotation files: the conversations' tiers written in the long layout ----------
+# ---- annotation files: every turn written in the long layout, one file each ----------
 
 
 def _rendered(spark, sf):
-    iv = tb.tiers(spark, sf)
-    line = F.concat(
-        F.lit("        intervals ["), "idx", F.lit("]:\n            xmin = "), F.col("start_t").cast("string"),
-        F.lit("\n            xmax = "), F.col("end_t").cast("string"), F.lit('\n            text = "'),
-        F.replace("text", F.lit('"'), F.lit('""')), F.lit('"\n'),
-    )
-    tier = iv.groupBy("file", "tier").agg(F.array_sort(F.collect_list(F.struct("start_t", "idx", line.alias("x")))).alias("xs"))
-    head = F.concat(F.lit('    item []:\n        class = "IntervalTier"\n        name = "'), "tier", F.lit('"\n'))
-    body = tier.select("file", "tier", F.concat(head, F.array_join(F.col("xs.x"), "")).alias("t"))
-    text = body.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("t")), "").alias("t"))
-    return text.select(
-        F.concat(F.lit("/corpus/"), "file", F.lit(".TextGrid")).alias("path"), F.encode("t", "UTF-8").alias("content")
-    )
+    conv = tb.table(spark, sf, "conversations")
+
+    def interval(text, i):
+        return F.concat(
+            F.lit("        intervals ["), (i + 1).cast("string"), F.lit("]:\n            xmin = "), i.cast("string"),
+            F.lit("\n            xmax = "), (i + 0.5).cast("string"), F.lit('\n            text = "'),
+            F.replace(text, F.lit('"'), F.lit('""')), F.lit('"\n'),
+        )
+
+    def tier(name, texts):
+        head = F.lit(f'    item []:\n        class = "IntervalTier"\n        name = "{name}"\n')
+        return F.concat(head, F.array_join(F.transform(texts, interval), ""))
+
+    text = F.concat(tier("Trans", F.array("role")), tier("UTtag", F.split("text", "[.]")))
+    path = F.concat(F.lit("/corpus/c"), "conv_id", F.lit("__"), "turn", F.lit(".TextGrid"))
+    return conv.select(path.alias("path"), F.encode(text, "UTF-8").alias("content"))
 
 
 @query(
     "read_tier_files",
-    f"with {tb.TIERS_SQL} select file, tier, cast(row_number() over (partition by file, tier order by start_t, idx) as integer) as idx, "
-    "start_t, end_t, text from tiers",
+    "with f as (select concat('c', conv_id, '__', turn) as file, role, string_split(text, '.') as parts from conversations), "
+    "u as (select file, unnest(parts) as text, cast(unnest(generate_series(1, len(parts))) as integer) as idx from f) "
+    "select file, 'Trans' as tier, 1 as idx, 0e0 as start_t, 5e-1 as end_t, role as text from f union all "
+    "select file, 'UTtag', idx, idx - 1e0, idx - 5e-1, text from u",
 )
 def _(spark, sf):
     return parse_tier_files(_rendered(spark, sf))

@@ -18,6 +18,8 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
         .config("spark.sql.adaptive.enabled", "true")
         # One task per core already: merging small partitions would idle cores.
         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        # Arrays per unit come from many small groups: keep them hashed instead of sorted.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
