@@ -11,6 +11,8 @@ group. Longer ones are cut into chunks so that no task holds a whole file:
 2. every chunk reports which entry state each exit state came from; a
    backward scan over chunks fixes each chunk's exit state;
 3. every chunk traces its own frames back.
+
+The scans see one small row per chunk of a file, never its frames.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from tonelake.operators.ordering import with_halo
 from tonelake.operators.windows import CHUNK, voice_fallback
 from tonelake.session import checkpoint
 
-FOLD_CHUNK = 100_000  # frames folded as one run (500 s at 5 ms); longer files are cut
+FOLD_CHUNK = 100_000  # frames of the longest file folded whole (500 s at 5 ms)
+RUN_FRAMES = 20_000  # frames per chunk of a longer one
 BIN_FRAMES = 200_000  # frames of whole files folded as one group
 
 # Scores this close (relative) count as equal. Path scores tie by design whenever a
@@ -107,11 +110,10 @@ def transitions(frames: DataFrame, cands: Sequence[str], vup: float = 0.35, chun
     )
 
 
-# ---- helpers that run inside one chunk's group ------------------------------------
-
-
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(x, dtype=float) for x in col])
+# ---- the fold: many runs of frames side by side ----------------------------------------
+#
+# A run is a whole file, or a chunk of a long one led by the last frame of the chunk
+# before it. All runs of a group advance one frame per step, as numpy blocks.
 
 
 def _similarities(a: np.ndarray, b: np.ndarray, vup: float) -> np.ndarray:
@@ -125,81 +127,7 @@ def _similarities(a: np.ndarray, b: np.ndarray, vup: float) -> np.ndarray:
 
 
 def _step(v: np.ndarray, t: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
-    """Best predecessor of each state; equal scores go to the later one."""
-    p = v[:, None] * t
-    n = len(v)
-    if r == 1.0:
-        near = p >= p.max(axis=0) * (1 - TIE)
-        ptr = n - 1 - np.argmax(near[::-1], axis=0)
-        return p[ptr, np.arange(n)], ptr
-    best, ptr = np.zeros(n), np.zeros(n, dtype=int)
-    for k in range(n):
-        take = p[k] >= best * (1 - TIE)
-        gain = p[k].copy()
-        gain[k] *= r
-        best, ptr = np.where(take, gain, best), np.where(take, k, ptr)
-    return best, ptr
-
-
-def _scaled(v: np.ndarray) -> tuple[np.ndarray, float]:
-    top = v.max()
-    return (v / top, float(np.log(top))) if top > 0 else (v, -np.inf)
-
-
-def _forward(cand, emis, entry, vup, r):
-    """Final scores, their log scale and back pointers of one run of frames.
-
-    ``entry`` is (scores, log scale) at the frame before, whose candidates
-    lead ``cand``; None starts a file.
-    """
-    n = cand.shape[1]
-    ptrs = np.zeros((len(emis), n), dtype=np.int64)
-    if entry is None:
-        v, log = _scaled(emis[0])
-        start = 1
-        sims = _similarities(cand[:-1], cand[1:], vup) if len(cand) > 1 else None
-    else:
-        v, log = entry
-        start = 0
-        sims = _similarities(cand[:-1], cand[1:], vup)
-    for m in range(start, len(emis)):
-        best, ptrs[m] = _step(v, sims[m - start], r)
-        v, s = _scaled(best * emis[m])
-        log += s
-    return v, log, ptrs
-
-
-def _best_state(v: np.ndarray) -> int:
-    """First of the best states."""
-    return int(np.argmax(v >= v.max() * (1 - TIE)))
-
-
-def _trace(ptrs: np.ndarray, last: int) -> np.ndarray:
-    states = np.empty(len(ptrs), dtype=np.int64)
-    states[-1] = last
-    for m in range(len(ptrs) - 1, 0, -1):
-        states[m - 1] = ptrs[m, states[m]]
-    return states
-
-
-PATH_SCHEMA = "file string, frame_idx long, state int, candidate double, log_prob double"
-
-
-def _path_rows(file, idx, cand, states, log) -> pd.DataFrame:
-    chosen = cand[np.arange(len(states)), states]
-    return pd.DataFrame(
-        {
-            "file": file,
-            "frame_idx": idx,
-            "state": states.astype("int32"),
-            "candidate": chosen,
-            "log_prob": np.where(np.isfinite(log), log, np.nan),
-        }
-    )
-
-
-def _step_many(v: np.ndarray, t: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
-    """``_step`` for many files at once: ``v`` is files x N, ``t`` files x N x N."""
+    """Best predecessor of each state of each run; equal scores go to the later one."""
     p = v[:, :, None] * t
     n = v.shape[1]
     if r == 1.0:
@@ -216,81 +144,138 @@ def _step_many(v: np.ndarray, t: np.ndarray, r: float) -> tuple[np.ndarray, np.n
     return best, ptr
 
 
-def _whole_files(vup: float, r: float):
-    """Paths of a group of whole files, all files one frame at a time."""
+def _scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of each run over their highest, and its logarithm (-inf if all are 0)."""
+    top = v.max(axis=-1)
+    with np.errstate(divide="ignore"):
+        return v / np.where(top > 0, top, 1.0)[..., None], np.log(top)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["file", "frame_idx"])
-        cand, emis = _matrix(pdf["cand"]), _matrix(pdf["emis"])
-        first = np.flatnonzero(pdf["file"].ne(pdf["file"].shift()).to_numpy())
+
+def _best_state(v: np.ndarray) -> np.ndarray:
+    """First of the best states of each run."""
+    return np.argmax(v >= v.max(axis=-1, keepdims=True) * (1 - TIE), axis=-1)
+
+
+class _Runs:
+    """The runs of one group's rows: their frames and where each starts."""
+
+    def __init__(self, pdf: pd.DataFrame, n: int):
+        keys = [c for c in ("file", "_chunk") if c in pdf]
+        self.pdf = pdf.sort_values([*keys, "frame_idx"], ignore_index=True)
+        self.cand = self.pdf[[f"c{i}" for i in range(n)]].to_numpy(dtype=float)
+        self.emis = self.pdf[[f"e{i}" for i in range(n)]].to_numpy(dtype=float)
+        new = np.ones(len(pdf), dtype=bool)
+        if len(pdf) > 1:
+            k = self.pdf[keys]
+            new[1:] = (k.iloc[1:].to_numpy() != k.iloc[:-1].to_numpy()).any(axis=1)
+        first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(pdf)))
-        order = np.argsort(-size, kind="stable")  # files still running are always the leading ones
-        first, size = first[order], size[order]
-        ptrs = np.zeros(emis.shape, dtype=np.int64)
-        v = emis[first]
-        top = v.max(axis=1)
-        v = v / np.where(top > 0, top, 1.0)[:, None]
-        with np.errstate(divide="ignore"):
-            log = np.log(top)
-        for m in range(1, size[0]):
-            n = int(np.searchsorted(-size, -m, side="left"))  # files longer than m
-            at = first[:n] + m
-            best, ptrs[at] = _step_many(v[:n], _similarities(cand[at - 1], cand[at], vup), r)
-            best = best * emis[at]
-            top = best.max(axis=1)
-            v[:n] = best / np.where(top > 0, top, 1.0)[:, None]
-            with np.errstate(divide="ignore"):
-                log[:n] += np.log(top)
-        states = np.zeros(len(pdf), dtype=np.int64)
-        states[first + size - 1] = np.argmax(v >= v.max(axis=1, keepdims=True) * (1 - TIE), axis=1)
-        for m in range(size[0] - 1, 0, -1):
-            n = int(np.searchsorted(-size, -m, side="left"))
-            at = first[:n] + m
+        order = np.argsort(-size, kind="stable")  # runs still going are always the leading ones
+        self.first, self.size, self.n = first[order], size[order], n
+        self.keys = self.pdf.loc[self.first, keys].reset_index(drop=True)
+
+    def going(self, m: int) -> np.ndarray:
+        """Row of frame ``m`` of every run that has one."""
+        return self.first[: int(np.searchsorted(-self.size, -m, side="left"))] + m
+
+    def forward(self, v: np.ndarray, vup: float, r: float):
+        """Final scores and logs of each run from its first row's scores; back pointers per row."""
+        v, log = _scaled(v)
+        ptrs = np.zeros(self.emis.shape, dtype=np.int64)
+        for m in range(1, self.size[0]):
+            at = self.going(m)
+            best, ptrs[at] = _step(v[: len(at)], _similarities(self.cand[at - 1], self.cand[at], vup), r)
+            v[: len(at)], s = _scaled(best * self.emis[at])
+            log[: len(at)] += s
+        return v, log, ptrs
+
+    def transfer(self, vup: float):
+        """Best score of each run from every first state to every last one (runs x N x N), and its log scale."""
+        v = np.broadcast_to(np.eye(self.n), (len(self.first), self.n, self.n)).copy()
+        log = np.zeros(len(self.first))
+        for m in range(1, self.size[0]):
+            at = self.going(m)
+            t = _similarities(self.cand[at - 1], self.cand[at], vup)
+            best = (v[: len(at), :, :, None] * t[:, None, :, :]).max(axis=2) * self.emis[at][:, None, :]
+            flat, s = _scaled(best.reshape(len(at), -1))
+            v[: len(at)] = flat.reshape(best.shape)
+            log[: len(at)] += s
+        return v, log
+
+    def origins(self, ptrs: np.ndarray) -> np.ndarray:
+        """For each last state of a run, the state of its path on the first row."""
+        at_state = np.tile(np.arange(self.n), (len(self.first), 1))
+        for m in range(self.size[0] - 1, 0, -1):
+            at = self.going(m)
+            at_state[: len(at)] = np.take_along_axis(ptrs[at], at_state[: len(at)], 1)
+        return at_state
+
+    def trace(self, ptrs: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """State of every row, given each run's last one."""
+        states = np.zeros(len(self.pdf), dtype=np.int64)
+        states[self.first + self.size - 1] = last
+        for m in range(self.size[0] - 1, 0, -1):
+            at = self.going(m)
             states[at - 1] = ptrs[at, states[at]]
-        per_frame = np.empty(len(pdf))
-        for f, s, x in zip(first, size, log):
-            per_frame[f : f + s] = x
-        return _path_rows(pdf["file"].to_numpy(), pdf["frame_idx"].to_numpy(), cand, states, per_frame)
+        return states
+
+    def per_row(self, values: np.ndarray) -> np.ndarray:
+        out = np.empty(len(self.pdf), dtype=values.dtype)
+        for f, s, x in zip(self.first, self.size, values):
+            out[f : f + s] = x
+        return out
+
+    def path(self, states: np.ndarray, log: np.ndarray) -> pd.DataFrame:
+        log = self.per_row(log)
+        out = self.pdf[["file", "frame_idx"]].assign(
+            state=states.astype("int32"),
+            candidate=self.cand[np.arange(len(states)), states],
+            log_prob=np.where(np.isfinite(log), log, np.nan),
+        )
+        return out[self.pdf["_own"]] if "_own" in self.pdf else out
 
-    return run
+
+PATH_SCHEMA = "file string, frame_idx long, state int, candidate double, log_prob double"
+STATE_SCHEMA = "file string, _chunk long, v array<double>, log double"
 
 
 def _no_rows(*cols: str) -> pd.DataFrame:
     return pd.DataFrame(columns=list(cols), dtype=object)
 
 
-def _chunk_arrays(pdf: pd.DataFrame):
-    """Candidates (led by the frame before, if any) and emissions of one chunk."""
-    pdf = pdf.sort_values("frame_idx")
-    own = pdf[pdf["_own"]]
-    return own, _matrix(pdf["cand"]), _matrix(own["emis"])
-
-
-def _transfers(vup: float):
+def _whole_files(n: int, vup: float, r: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, cand, emis = _chunk_arrays(pdf)
-        file, chunk = own["file"].iloc[0], int(own["_chunk"].iloc[0])
-        n = emis.shape[1]
-        if chunk == 0:
-            v, log, _ = _forward(cand, emis, None, vup, 1.0)
-            return pd.DataFrame({"file": [file], "_chunk": [chunk], "m": [v.tolist()], "log": [log]})
-        out = np.eye(n)
-        log = 0.0
-        sims = _similarities(cand[:-1], cand[1:], vup)
-        for m in range(len(emis)):
-            # (entry, from) x (from, to): best over the middle state
-            out = (out[:, :, None] * sims[m][None, :, :]).max(axis=1) * emis[m][None, :]
-            top = out.max()
-            if top > 0:
-                out, log = out / top, log + float(np.log(top))
-            else:
-                log = -np.inf
-        return pd.DataFrame({"file": [file], "_chunk": [chunk], "m": [out.ravel().tolist()], "log": [log]})
+        runs = _Runs(pdf, n)
+        v, log, ptrs = runs.forward(runs.emis[runs.first], vup, r)
+        return runs.path(runs.trace(ptrs, _best_state(v)), log)
 
     return run
 
 
-STATE_SCHEMA = "file string, _chunk long, v array<double>, log double"
+def _entries(runs: _Runs, state: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of every run's first row: those handed over, or a file's first emissions."""
+    v, log = runs.emis[runs.first].copy(), np.zeros(len(runs.first))
+    known = {(f, c): (x, s) for f, c, x, s in zip(state["file"], state["_chunk"], state["v"], state["log"])}
+    for i, (f, c) in enumerate(zip(runs.keys["file"], runs.keys["_chunk"])):
+        if c > 0:
+            v[i], log[i] = known[(f, c)]
+    return v, log
+
+
+def _transfers(n: int, vup: float):
+    """Chunk 0: its exit scores. Later chunks: their transfer."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        runs = _Runs(pdf, n)
+        m, log = runs.transfer(vup)
+        start = runs.keys["_chunk"].to_numpy() == 0
+        v, s = _scaled((runs.emis[runs.first][:, :, None] * m).max(axis=1))
+        return runs.keys.assign(
+            m=[x.tolist() if z else y.ravel().tolist() for x, y, z in zip(v, m, start)],
+            log=np.where(start, log + s, log),
+        )
+
+    return run
 
 
 def _scan_entries(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -309,45 +294,28 @@ def _scan_entries(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["file", "_chunk", "v", "log"])
 
 
-def _entry_of(state: pd.DataFrame):
-    if len(state) == 0:
-        return None
-    return np.asarray(state["v"].iloc[0], dtype=float), float(state["log"].iloc[0])
-
-
-def _next_entry(vup: float, r: float):
+def _next_entry(n: int, vup: float, r: float):
     def run(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 0:
             return _no_rows("file", "_chunk", "v", "log")
-        own, cand, emis = _chunk_arrays(pdf)
-        v, log, _ = _forward(cand, emis, _entry_of(state), vup, r)
+        runs = _Runs(pdf, n)
+        v, log = _entries(runs, state)
+        v, gain, _ = runs.forward(v, vup, r)
         return pd.DataFrame(
-            {"file": [own["file"].iloc[0]], "_chunk": [int(own["_chunk"].iloc[0]) + 1], "v": [v.tolist()], "log": [log]}
+            {"file": runs.keys["file"], "_chunk": runs.keys["_chunk"] + 1, "v": v.tolist(), "log": log + gain}
         )
 
     return run
 
 
-def _origins(vup: float, r: float):
-    """For each exit state of a chunk, the state its path had on the frame before."""
-
+def _origins(n: int, vup: float, r: float):
     def run(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 0:
             return _no_rows("file", "_chunk", "origin", "best", "log")
-        own, cand, emis = _chunk_arrays(pdf)
-        v, log, ptrs = _forward(cand, emis, _entry_of(state), vup, r)
-        at = np.arange(len(v))
-        for m in range(len(ptrs) - 1, -1, -1):
-            at = ptrs[m, at]
-        return pd.DataFrame(
-            {
-                "file": [own["file"].iloc[0]],
-                "_chunk": [int(own["_chunk"].iloc[0])],
-                "origin": [at.tolist()],
-                "best": [_best_state(v)],
-                "log": [log],
-            }
-        )
+        runs = _Runs(pdf, n)
+        v, log = _entries(runs, state)
+        v, gain, ptrs = runs.forward(v, vup, r)
+        return runs.keys.assign(origin=runs.origins(ptrs).tolist(), best=_best_state(v), log=log + gain)
 
     return run
 
@@ -362,24 +330,20 @@ def _scan_exits(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["file", "_chunk", "last", "total"])
 
 
-def _trace_chunk(vup: float, r: float):
+def _trace_chunks(n: int, vup: float, r: float):
     def run(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 0:
             return _no_rows("file", "frame_idx", "state", "candidate", "log_prob")
-        own, cand, emis = _chunk_arrays(pdf)
-        first = int(own["_chunk"].iloc[0]) == 0
-        entry = None if first else _entry_of(state)
-        _, _, ptrs = _forward(cand, emis, entry, vup, r)
-        states = _trace(ptrs, int(state["last"].iloc[0]))
-        return _path_rows(
-            own["file"].iloc[0], own["frame_idx"].to_numpy(), cand if first else cand[1:], states,
-            float(state["total"].iloc[0]),
-        )
+        runs = _Runs(pdf, n)
+        v, _ = _entries(runs, state)
+        _, _, ptrs = runs.forward(v, vup, r)
+        known = runs.keys.merge(state[["file", "_chunk", "last", "total"]], on=["file", "_chunk"], how="left")
+        return runs.path(runs.trace(ptrs, known["last"].to_numpy()), known["total"].to_numpy(dtype=float))
 
     return run
 
 
-def _long_paths(rows: DataFrame, longest: int, r: float, vup: float, chunk: int) -> DataFrame:
+def _long_paths(rows: DataFrame, seen, n: int, r: float, vup: float, chunk: int, bins: int) -> DataFrame:
     k = F.floor(F.col("frame_idx") / F.lit(chunk)).cast("long")
     last = F.pmod(F.col("frame_idx"), F.lit(chunk)) == chunk - 1
     copies = F.array_compact(
@@ -388,61 +352,76 @@ def _long_paths(rows: DataFrame, longest: int, r: float, vup: float, chunk: int)
             F.when(last, F.struct((k + 1).alias("_chunk"), F.lit(False).alias("_own"))),
         )
     )
-    cut = rows.select("*", F.inline(copies))
+    bin_of = F.pmod(F.xxhash64("file", "_chunk"), F.lit(bins)).alias("_bin")
     # A file that ends on a chunk's last frame leaves a chunk with no frame of its own.
-    sizes = rows.groupBy("file").agg((F.floor((F.count(F.lit(1)) - 1) / F.lit(chunk))).alias("_lastc"))
-    cut = cut.join(sizes, "file").filter("_chunk <= _lastc").drop("_lastc")
-    keys = ["file", "_chunk"]
+    sizes = rows.groupBy("file").agg(F.floor((F.count(F.lit(1)) - 1) / F.lit(chunk)).alias("_lastc"))
+    cut = rows.select("*", F.inline(copies)).join(sizes, "file").filter("_chunk <= _lastc").drop("_lastc")
+    cut = cut.select("*", bin_of)
+
+    def beside(state: DataFrame, fn, schema: str) -> DataFrame:
+        side = state.select("*", bin_of)
+        return cut.groupBy("_bin").cogroup(side.groupBy("_bin")).applyInPandas(fn, schema)
+
     if r == 1.0:
-        transfers = cut.groupBy(*keys).applyInPandas(
-            _transfers(vup), "file string, _chunk long, m array<double>, log double"
+        transfers = cut.groupBy("_bin").applyInPandas(
+            _transfers(n, vup), "file string, _chunk long, m array<double>, log double"
         )
         entries = checkpoint(transfers.groupBy("file").applyInPandas(_scan_entries, STATE_SCHEMA))
     else:
-        n_chunks = -(-longest // chunk)
         entries, state = None, rows.sparkSession.createDataFrame([], STATE_SCHEMA)
-        for c in range(n_chunks - 1):
+        for c in range(-(-seen["longest"] // chunk) - 1):
             here = cut.filter(F.col("_chunk") == c)
+            side = state.select("*", bin_of)
             state = checkpoint(
-                here.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(_next_entry(vup, r), STATE_SCHEMA)
+                here.groupBy("_bin").cogroup(side.groupBy("_bin")).applyInPandas(_next_entry(n, vup, r), STATE_SCHEMA)
             )
             entries = state if entries is None else entries.unionByName(state)
-    origins = cut.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(
-        _origins(vup, r), "file string, _chunk long, origin array<int>, best int, log double"
+    origins = beside(
+        entries, _origins(n, vup, r), "file string, _chunk long, origin array<int>, best int, log double"
     )
     exits = origins.groupBy("file").applyInPandas(
         _scan_exits, "file string, _chunk long, last int, total double"
     )
-    known = exits.join(entries, keys, "left")
-    return cut.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(_trace_chunk(vup, r), PATH_SCHEMA)
+    known = exits.join(entries, ["file", "_chunk"], "left")
+    return beside(known, _trace_chunks(n, vup, r), PATH_SCHEMA)
 
 
 def viterbi_path(
-    frames: DataFrame, reinforcement: float = 1.2, vup: float = 0.35, chunk: int = FOLD_CHUNK
+    frames: DataFrame, reinforcement: float = 1.2, vup: float = 0.35, chunk: int = FOLD_CHUNK,
+    n_cand: int | None = None, run_frames: int = RUN_FRAMES,
 ) -> DataFrame:
     """(file, frame_idx, state, candidate, log_prob) of the best path of each file.
 
-    ``frames`` needs file, dense frame_idx, and the ``cand`` and ``emis`` arrays.
+    ``frames`` needs file, dense frame_idx, and the ``cand`` and ``emis`` arrays of
+    ``n_cand`` entries (looked up if not given). Files of more than ``chunk``
+    frames are cut.
     """
-    rows = frames.select("file", "frame_idx", "cand", "emis")
+    n = n_cand or frames.select(F.size("cand")).first()[0]
+    rows = frames.select(
+        "file",
+        "frame_idx",
+        *[F.get("cand", F.lit(i)).alias(f"c{i}") for i in range(n)],
+        *[F.get("emis", F.lit(i)).alias(f"e{i}") for i in range(n)],
+    )
     r = float(reinforcement)
     sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
     seen = sizes.agg(F.max("_n").alias("longest"), F.sum("_n").alias("frames")).first()
-    longest = seen["longest"] or 0
-    # Files share groups of about BIN_FRAMES frames, since the fold runs over files side by side.
+    # Runs share groups of about BIN_FRAMES frames, since the fold takes them side by side.
     spread = 4 * rows.sparkSession.sparkContext.defaultParallelism
     bins = max(spread, -(-(seen["frames"] or 0) // BIN_FRAMES))
 
     def whole(df: DataFrame) -> DataFrame:
         binned = df.withColumn("_bin", F.pmod(F.xxhash64("file"), F.lit(bins)))
-        return binned.groupBy("_bin").applyInPandas(_whole_files(vup, r), PATH_SCHEMA)
+        return binned.groupBy("_bin").applyInPandas(_whole_files(n, vup, r), PATH_SCHEMA)
 
-    if longest <= chunk:
+    if (seen["longest"] or 0) <= chunk:
         return whole(rows)
     sized = rows.join(sizes, "file")
     short = sized.filter(F.col("_n") <= chunk).drop("_n")
     long = sized.filter(F.col("_n") > chunk).drop("_n")
-    return whole(short).unionByName(_long_paths(long, longest, r, vup, chunk))
+    # With a reinforcement every chunk is one more round, so chunks stay large.
+    cut = min(chunk, run_frames) if r == 1.0 else chunk
+    return whole(short).unionByName(_long_paths(long, seen, n, r, vup, cut, bins))
 
 
 def viterbi_track(
@@ -451,7 +430,7 @@ def viterbi_track(
 ) -> DataFrame:
     """Voicing choice, emission, path and unvoicing; names the winning tracker."""
     voiced = voice_fallback(frames, preds)
-    path = viterbi_path(emission(voiced, cands, vup=vup), reinforcement, vup, chunk)
+    path = viterbi_path(emission(voiced, cands, vup=vup), reinforcement, vup, chunk, len(cands))
     names = {str(i): c for i, c in enumerate(cands)}
     return path.join(voiced.select("file", "frame_idx", "voice"), ["file", "frame_idx"]).select(
         "file",

@@ -190,7 +190,7 @@ CHOSEN = "case state " + " ".join(f"when {i} then {c}" for i, c in enumerate(tb.
     "from path p join em on p.file = em.file and p.frame_idx = em.frame_idx",
 )
 def _(spark, sf):
-    return _rounded(vt.viterbi_path(vt.emission(tb.frames(spark, sf), tb.CANDS)), ["candidate", "log_prob"])
+    return _rounded(vt.viterbi_path(vt.emission(tb.frames(spark, sf), tb.CANDS), n_cand=N), ["candidate", "log_prob"])
 
 
 @query(
