@@ -31,7 +31,8 @@ from tonelake.operators.windows import CHUNK, voice_fallback
 from tonelake.session import checkpoint
 
 FOLD_CHUNK = 100_000  # frames of the longest file folded whole (500 s at 5 ms)
-RUN_FRAMES = 20_000  # frames per chunk of a longer one
+RUN_FRAMES = 2_000  # frames per chunk of a longer one, more where that
+RUN_CHUNKS = 10_000  # would give a file more chunks than this
 BIN_FRAMES = 200_000  # frames of whole files folded as one group
 
 # Scores this close (relative) count as equal. Path scores tie by design whenever a
@@ -117,13 +118,18 @@ def transitions(frames: DataFrame, cands: Sequence[str], vup: float = 0.35, chun
 
 
 def _similarities(a: np.ndarray, b: np.ndarray, vup: float) -> np.ndarray:
-    """Similarity of every candidate in ``a`` (frames x N) to every one in ``b``."""
-    x, y = a[:, :, None], b[:, None, :]
-    gone = np.isnan(x).astype(int) + np.isnan(y).astype(int)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        s = np.exp(-0.0012 * 1200 * np.abs(np.log2(x / y)))
-    s = np.where((x == 0) & (y == 0), 1.0, np.where((x == 0) | (y == 0), 0.0, s))
-    return np.where(gone == 2, 1.0, np.where(gone == 1, vup, s))
+    """Similarity of every candidate to every one of the frame after, from their log2.
+
+    Missing pitch is nan, pitch 0 is -inf: their differences are nan unless one
+    is a plain number and the other 0, whose similarity is 0.
+    """
+    with np.errstate(invalid="ignore"):
+        s = np.exp(-0.0012 * 1200 * np.abs(a[:, :, None] - b[:, None, :]))
+    odd = np.isnan(s)
+    if odd.any():
+        one = np.isnan(a)[:, :, None] != np.isnan(b)[:, None, :]
+        s = np.where(odd, np.where(one, vup, 1.0), s)
+    return s
 
 
 def _step(v: np.ndarray, t: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +169,8 @@ class _Runs:
         keys = [c for c in ("file", "_chunk") if c in pdf]
         self.pdf = pdf.sort_values([*keys, "frame_idx"], ignore_index=True)
         self.cand = self.pdf[[f"c{i}" for i in range(n)]].to_numpy(dtype=float)
+        with np.errstate(divide="ignore"):
+            self.octave = np.log2(self.cand)
         self.emis = self.pdf[[f"e{i}" for i in range(n)]].to_numpy(dtype=float)
         new = np.ones(len(pdf), dtype=bool)
         if len(pdf) > 1:
@@ -184,7 +192,7 @@ class _Runs:
         ptrs = np.zeros(self.emis.shape, dtype=np.int64)
         for m in range(1, self.size[0]):
             at = self.going(m)
-            best, ptrs[at] = _step(v[: len(at)], _similarities(self.cand[at - 1], self.cand[at], vup), r)
+            best, ptrs[at] = _step(v[: len(at)], _similarities(self.octave[at - 1], self.octave[at], vup), r)
             v[: len(at)], s = _scaled(best * self.emis[at])
             log[: len(at)] += s
         return v, log, ptrs
@@ -195,7 +203,7 @@ class _Runs:
         log = np.zeros(len(self.first))
         for m in range(1, self.size[0]):
             at = self.going(m)
-            t = _similarities(self.cand[at - 1], self.cand[at], vup)
+            t = _similarities(self.octave[at - 1], self.octave[at], vup)
             best = (v[: len(at), :, :, None] * t[:, None, :, :]).max(axis=2) * self.emis[at][:, None, :]
             flat, s = _scaled(best.reshape(len(at), -1))
             v[: len(at)] = flat.reshape(best.shape)
@@ -420,7 +428,8 @@ def viterbi_path(
     short = sized.filter(F.col("_n") <= chunk).drop("_n")
     long = sized.filter(F.col("_n") > chunk).drop("_n")
     # With a reinforcement every chunk is one more round, so chunks stay large.
-    cut = min(chunk, run_frames) if r == 1.0 else chunk
+    run = max(run_frames, -(-seen["longest"] // RUN_CHUNKS))
+    cut = min(chunk, run) if r == 1.0 else chunk
     return whole(short).unionByName(_long_paths(long, seen, n, r, vup, cut, bins))
 
 
