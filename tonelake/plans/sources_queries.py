@@ -1,4 +1,4 @@
-"""Extraction and annotation parsing as queries; file reading and writing is in the tests."""
+"""Readers, writers, extraction and annotation parsing as queries."""
 
 from __future__ import annotations
 
@@ -6,8 +6,51 @@ from pyspark.sql import functions as F
 
 from tonelake.plans import tables as tb
 from tonelake.plans.registry import query
+from tonelake.session import scratch_path
 from tonelake.sources.extract import extract_from
-from tonelake.sources.readers import parse_tier_files
+from tonelake.sources.readers import parse_tier_files, read_frames, read_manifest, read_tracks
+from tonelake.sources.writers import write_by_file, write_table
+
+# ---- files: a table is written to the shared folder and read back --------------------
+
+FRAMES = f"with {tb.FRAMES_SQL} "
+
+
+@query("read_frames", FRAMES + "select file, frame_idx, t, c0, c3 from frames")
+def _(spark, sf):
+    path = scratch_path(spark, "frames-csv")
+    fr = tb.frames(spark, sf, ["file", "frame_idx", "t", "c0", "c3"])
+    gaps = fr.withColumn("c3", F.coalesce("c3", F.lit(float("nan"))))
+    gaps.write.option("header", True).option("sep", ";").csv(path)
+    return read_frames(spark, path, "file string, frame_idx long, t double, c0 double, c3 double", sep=";")
+
+
+@query("read_tracks", "select 'events' as file, event_id, value from events")
+def _(spark, sf):
+    return read_tracks(spark, f"{sf}/events.parquet", "event_id long, value double")
+
+
+@query("read_manifest", f"with {tb.MANIFEST_SQL} select fname, cast(speaker as varchar) as speaker, subset from manifest")
+def _(spark, sf):
+    path = scratch_path(spark, "manifest")
+    write_table(tb.manifest(spark, sf).withColumn("speaker", F.col("speaker").cast("string")), path, "json")
+    return read_manifest(spark, path)
+
+
+@query("write_by_file", FRAMES + "select file, frame_idx, c0, hnr from frames")
+def _(spark, sf):
+    path = scratch_path(spark, "by-file")
+    write_by_file(tb.frames(spark, sf, ["file", "frame_idx", "c0", "hnr"]), path)
+    return spark.read.parquet(path)
+
+
+@query("write_table", f"with {tb.SCORES_SQL} select o_orderkey, params, iter, mean_test_score from scores")
+def _(spark, sf):
+    path = scratch_path(spark, "scores")
+    rows = tb.scores(spark, sf)
+    write_table(rows, path, "csv")
+    return spark.read.schema(rows.schema).csv(path, header=True)
+
 
 # ---- extraction: line lengths of a page, as a stand-in for a signal ------------------
 

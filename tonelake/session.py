@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,13 +29,13 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder the session names.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the session names for checkpoints.
 
     Without one, a local session gets a folder of its own; a cluster must
     name a shared folder, since executors can be lost.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = sc.getConf().get("spark.checkpoint.dir")
         if configured is None:
@@ -42,4 +43,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             configured = tempfile.mkdtemp(prefix="tonelake-checkpoint-")
         sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for a written table in the shared folder."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
