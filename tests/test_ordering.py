@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonelake.operators.joins import nearest_unit, tag_frames
-from tonelake.operators.ordering import number_rows, running_sum
+from tonelake.operators import ordering
+from tonelake.operators.ordering import number_rows, running_sum, with_slots
 from tonelake.operators.quantiles import exact_quantiles
 
 
@@ -23,6 +24,21 @@ def test_number_rows(spark, rows):
     assert got.sort_values("t")["rn"].tolist() == want.sort_values("t")["rn"].tolist()
 
 
+@pytest.mark.parametrize("cuts_max", [4, 1000])
+def test_slots_split_a_hot_group(spark, monkeypatch, cuts_max):
+    monkeypatch.setattr(ordering, "CUTS_MAX", cuts_max)
+    rng = np.random.default_rng(9)
+    # Nearly all rows of the hot key lie in a short stretch of time.
+    t = np.where(rng.random(4000) < 0.9, rng.random(4000), rng.random(4000) * 1e6)
+    pdf = pd.DataFrame({"k": np.where(rng.random(4000) < 0.8, "hot", "cold"), "t": t})
+    df = spark.createDataFrame(pdf)
+    assert with_slots(df, ["k"], "t").select("_slot").distinct().count() == 1
+    cut = with_slots(df, ["k"], "t", rows=200)
+    assert cut.groupBy("k", "_slot").count().agg(F.max("count")).first()[0] < (1600 if cuts_max == 4 else 400)
+    got = number_rows(cut, ["k"], ["t"], F.col("_slot")).toPandas().sort_values("t")["rn"]
+    assert got.tolist() == pdf.assign(rn=pdf.groupby("k")["t"].rank().astype(int)).sort_values("t")["rn"].tolist()
+
+
 def test_number_rows_null_key(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("x", 3)], "k string, t int")
     got = {(r.k, r.t): r.rn for r in number_rows(df, ["k"], ["t"], F.col("t")).collect()}

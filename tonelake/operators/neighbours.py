@@ -31,22 +31,28 @@ def _distances(q: np.ndarray, p: np.ndarray, power: int) -> np.ndarray:
 
 
 def _top(q_ids, q, p_ids, p, k, power, exclude_self):
-    """The k nearest points of each query: (query position, point position, distance)."""
+    """The k nearest points of each query: (query position, point position, distance).
+
+    Points are sorted by id, so among equal distances the first positions win.
+    """
     qi, pi, ds = [], [], []
     step = max(1, 2_000_000 // max(1, len(p)))
+    m = min(k, len(p))
     for lo in range(0, len(q), step):
         d = _distances(q[lo : lo + step], p, power)
         if exclude_self:
             d[np.asarray(q_ids[lo : lo + step])[:, None] == np.asarray(p_ids)[None, :]] = np.inf
+        edge = np.partition(d, m - 1, axis=1)[:, m - 1] if m else np.zeros(len(d))
         for row in range(len(d)):
-            m = min(k, len(p))
-            edge = np.partition(d[row], m - 1)[m - 1]
-            near = np.flatnonzero((d[row] <= edge) & np.isfinite(d[row]))
-            order = sorted(near, key=lambda i: (d[row][i], p_ids[i]))[:k]
-            qi += [lo + row] * len(order)
-            pi += order
-            ds += list(d[row][order])
-    return np.array(qi, dtype=int), np.array(pi, dtype=int), np.array(ds, dtype=float)
+            closer = np.flatnonzero(d[row] < edge[row])
+            level = np.flatnonzero(d[row] == edge[row])[: m - len(closer)] if np.isfinite(edge[row]) else closer[:0]
+            found = np.concatenate([closer, level])
+            found = found[np.lexsort((found, d[row][found]))]
+            qi.append(np.full(len(found), lo + row))
+            pi.append(found)
+            ds.append(d[row][found])
+    empty = [np.zeros(0, dtype=int)]
+    return np.concatenate(qi or empty), np.concatenate(pi or empty), np.concatenate(ds or [np.zeros(0)])
 
 
 def _values(pdf: pd.DataFrame, feats) -> np.ndarray:
@@ -54,6 +60,7 @@ def _values(pdf: pd.DataFrame, feats) -> np.ndarray:
 
 
 def _emit(q_pdf, p_pdf, id, feats, extra, k, power, exclude_self) -> pd.DataFrame:
+    p_pdf = p_pdf.sort_values(id, ignore_index=True)
     qi, pi, d = _top(
         q_pdf[id].to_numpy(), _values(q_pdf, feats), p_pdf[id].to_numpy(), _values(p_pdf, feats), k, power, exclude_self
     )

@@ -1,4 +1,4 @@
-"""Order-dependent operators that never put a whole group into one task.
+"""Order-dependent operators that put no group of unchecked size into one task.
 
 A group (a file, a label) may hold a large share of all rows, so a window
 over the group alone would run in one task. Each operator here takes a
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +30,36 @@ def _join_summary(rows: DataFrame, summary: DataFrame, on: Sequence[str], how="i
     return rows.join(renamed, cond, how).drop(*[f"_k{i}" for i in range(len(on))])
 
 
+SLOT_ROWS = 1_000_000  # rows of one group that one task may order
+CUTS_MAX = 1_000
+
+
+def with_slots(df: DataFrame, keys: Sequence[str], position: str, rows: int = SLOT_ROWS) -> DataFrame:
+    """Adds ``_slot``, a bucket that grows with ``position`` (a number).
+
+    While every group is small all rows are in slot 0. Otherwise a sketch of the
+    positions gives cuts with about equally many rows between them, however
+    uneven the positions are; past ``CUTS_MAX`` cuts each piece is cut evenly.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    slots = -(-largest // rows)
+    if slots <= 1:
+        return df.withColumn("_slot", F.lit(0).cast("long"))
+    cuts = min(2 * slots, CUTS_MAX)
+    pos = df.withColumn("_pos", F.col(position).cast("double"))
+    inner = sorted(set(pos.approxQuantile("_pos", [i / cuts for i in range(cuts + 1)], 0.2 / cuts)))
+    edges = [float("-inf"), *inner, float("inf")]
+    cut = Bucketizer(splits=edges, inputCol="_pos", outputCol="_cut", handleInvalid="keep").transform(pos)
+    parts = -(-2 * slots // cuts)
+    at = F.col("_cut").cast("int")
+    lo = F.get(F.array(*[F.lit(x) for x in [inner[0], *inner]]), at)
+    hi = F.get(F.array(*[F.lit(x) for x in [*inner, inner[-1]]]), at)
+    within = F.floor(F.try_divide(F.col("_pos") - lo, hi - lo) * parts)
+    sub = F.least(F.greatest(F.coalesce(within, F.lit(0)), F.lit(0)), F.lit(parts - 1))
+    return cut.withColumn("_slot", (at * parts + sub).cast("long")).drop("_pos", "_cut")
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column, name: str = "rn"
 ) -> DataFrame:

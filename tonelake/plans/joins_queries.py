@@ -94,8 +94,7 @@ TRACK_T = "greatest(frame_idx * 5e-3 + (event_id % 7 - 3) * 1.1e-3, 0e0)"
 
 def tracks(spark, sf):
     """Samples of one tracker per event type, off the grid by up to 3.3 ms."""
-    e = tb.table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", "value")
-    n = tb.number_rows(e, ["user_id"], ["ts"], F.to_date("ts"), "_rn").withColumn("frame_idx", F.col("_rn") - 1)
+    n = tb.numbered_events(spark, sf)
     return n.select(
         F.expr("concat('u', user_id) as file"), F.col("event_type").alias("algo"), F.expr(f"{TRACK_T} as t"), "value"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tonelake.operators.ordering import number_rows, running_sum
+from tonelake.operators.ordering import number_rows, running_sum, with_slots
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +41,19 @@ CANDS = ["c0", "c1", "c2", "c3"]
 PREDS = ["pred_all", "pred_f0", "pred_mfcc"]
 
 
-def frames(spark: SparkSession, sf_dir: str, cols: list[str] | None = None) -> DataFrame:
+def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with ``frame_idx``, their place in the user's time order."""
     events = table(spark, sf_dir, "events").drop("props")
-    numbered = number_rows(events, ["user_id"], ["ts"], F.to_date("ts"), "_rn")
-    numbered = numbered.withColumn("frame_idx", F.col("_rn") - 1)
+    timed = events.withColumn("_s", F.col("ts").cast("timestamp").cast("double"))
+    slotted = with_slots(timed, ["user_id"], "_s").drop("_s")
+    return number_rows(slotted, ["user_id"], ["ts"], F.col("_slot"), "_rn").select(
+        *events.columns, (F.col("_rn") - 1).alias("frame_idx")
+    )
+
+
+def frames(spark: SparkSession, sf_dir: str, cols: list[str] | None = None) -> DataFrame:
     names = cols or list(FRAME_EXPRS)
-    return numbered.select(*[F.expr(FRAME_EXPRS[c]).alias(c) for c in names])
+    return numbered_events(spark, sf_dir).select(*[F.expr(FRAME_EXPRS[c]).alias(c) for c in names])
 
 
 FRAMES_SQL = (
