@@ -190,10 +190,24 @@ def _(spark, sf):
     return _rounded(out, ["accuracy", "balanced_accuracy"])
 
 
-@query("cross_val_predict_lda")
+@query(
+    "cross_val_predict_lda",
+    f"with {tb.vectors_sql(2)}, {folds_sql('vectors', 5)}, trn as (select f.fold, r.label, r.x0, r.x1 "
+    "from (select distinct fold from fd) f join fd r on r.fold <> f.fold), "
+    "c as (select fold, label, count(*) as n, avg(x0) as m0, avg(x1) as m1 from trn group by all), "
+    "p as (select t.fold, sum((x0 - m0) * (x0 - m0)) / (count(*) - count(distinct t.label)) as a, "
+    "sum((x0 - m0) * (x1 - m1)) / (count(*) - count(distinct t.label)) as b, "
+    "sum((x1 - m1) * (x1 - m1)) / (count(*) - count(distinct t.label)) as d, count(*) as total "
+    "from trn t join c on t.fold = c.fold and t.label = c.label group by t.fold), "
+    "w as (select c.fold, label, (d * m0 - b * m1) / (a * d - b * b) as w0, (a * m1 - b * m0) / (a * d - b * b) as w1, m0, m1, n, total "
+    "from c join p on c.fold = p.fold), "
+    "sc as (select id, fd.label, fd.fold, w.label as prediction, w0 * x0 + w1 * x1 - 5e-1 * (w0 * m0 + w1 * m1) + ln(n / total) as s "
+    "from fd join w on fd.fold = w.fold) "
+    "select id, label, fold, prediction from (select *, row_number() over (partition by id order by s desc, prediction) as rn from sc) where rn = 1",
+)
 def _(spark, sf):
-    rows = stratified_folds(tb.vectors(spark, sf, 8), "id", "label", 5)
-    return ops.cross_val_predict(rows, "lda", "label", tb.xs(8))
+    rows = stratified_folds(tb.vectors(spark, sf, 2), "id", "label", 5)
+    return ops.cross_val_predict(rows, "lda", "label", tb.xs(2))
 
 
 @query("grid_search")
