@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from tonelake.llm.mixing import op10_source_mixing
 from tonelake.llm.packing import op1_best_fit_packing
+from tonelake.llm.quality import op6_quality_classifier
+from tonelake.llm.simhash import op4_simhash_dedup
+from tonelake.llm.substrings import op2_substring_dedup
 from tonelake.llm.token_files import op7_token_files
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_token_files)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_substring_dedup, op4_simhash_dedup, op6_quality_classifier, op7_token_files, op10_source_mixing)
+}
 ORACLES: dict[str, str] = {}
