@@ -17,8 +17,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from tonelake.llm.texts import chunks, text_bytes, window_hashes, word_hashes, words
 
 WINDOW = 13
-BUCKET_BYTES = 8_000_000  # text whose windows make one bucket
-_TEXT_BYTES = 8_000_000
+BUCKET_BYTES = 4_000_000  # text whose windows make one bucket
+_TEXT_BYTES = 4_000_000
 _HASH_BYTES = 7
 
 #: A packed row: windows of many documents in one bucket (or words to remove, in one group of documents).

@@ -11,8 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from tonelake.llm.worker import kept
-
 WORD = r"[^\x20\x09-\x0D]+"
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -59,15 +57,10 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for later calls."""
-    name = f"powers {base}"
-    have = kept().get(name)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        kept()[name] = have
-    return have[:n]
+    """base**0 .. base**(n-1) modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out, out=out)
 
 
 def inverse(base: np.uint64) -> np.uint64:
@@ -128,8 +121,11 @@ def chunks(batches, byte_size: int, column: str = "text") -> Iterator[pa.Table]:
             size += int(at[hi] - at[lo])
             lo = hi
             if size >= byte_size or lo < t.num_rows:
-                yield pa.concat_tables(held).combine_chunks()
+                out = pa.concat_tables(held).combine_chunks()
                 held, size = [], 0
+                yield out
+                del out
+                pa.default_memory_pool().release_unused()
     if held:
         yield pa.concat_tables(held).combine_chunks()
 

@@ -17,7 +17,7 @@ from tonelake.llm.texts import ragged
 from tonelake.llm.worker import kept
 
 END = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 #: Words of these characters alone are cut as the vocabulary's own pattern cuts them:
 #: runs of letters, single digits, runs of anything else.
@@ -47,7 +47,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -67,9 +67,9 @@ class WordEncoder:
         flat = list(chain.from_iterable(cut))
         ask = list(set(flat).difference(parts))
         for p, e in zip(ask, self.library.encode_batch_fast(ask, add_special_tokens=False)):
-            parts[p] = e.ids
+            parts[p] = np.array(e.ids, np.uint32).tobytes()
         found = list(map(parts.__getitem__, flat))
-        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]) // 4
         ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
         lens = np.diff(sizes[ends], prepend=0)
         need, words = self.used + int(sizes[-1]), self.known + len(cut)
@@ -78,7 +78,7 @@ class WordEncoder:
         if words > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros(words, np.int64)])
             self.lens = np.concatenate([self.lens, np.zeros(words, np.int64)])
-        self.flat[self.used : need] = np.fromiter(chain.from_iterable(found), np.uint32, need - self.used)
+        self.flat[self.used : need] = np.frombuffer(b"".join(found), np.uint32)
         self.lens[self.known : words] = lens
         self.starts[self.known : words] = self.used + np.cumsum(lens) - lens
         self.used, self.known = need, words
