@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tonelake.llm.store import written
 
 BLOCK = 32  # words
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_000_000
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 LAPS = 2
