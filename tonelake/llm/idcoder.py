@@ -21,7 +21,7 @@ import zlib
 
 import numpy as np
 
-LANES = 4096
+LANES = 8192
 MAGIC = b"TIDB"
 _HEAD = "<4sIIIQII"  # magic, documents, ids, vocabulary, payload bytes, crc of ids, crc of payload
 
@@ -64,6 +64,7 @@ class _Model:
         f[0] += (1 << _ORDER0_BITS) - int(f.sum())
         self.freq = f
         self.cum = np.concatenate([[0], np.cumsum(f)])
+        self.ladder = self.cum.astype(np.int32)  # for the search alone
         sure1 = np.arange(_CONFIDENT + 1).repeat(_CONFIDENT + 1).reshape(-1, _CONFIDENT + 1).T.ravel()
         sure2 = np.arange(_CONFIDENT + 1).repeat(_CONFIDENT + 1)
         n = self.tried + 2
@@ -198,7 +199,7 @@ def _decode_ids(payload: bytes, n: int, vocabulary: int) -> np.ndarray:
         is1, is2 = (v >= c1) & (v < c1 + f1), (v >= c2) & (v < c2 + f2)
         x = np.where(is1, p1, p2)
         miss = np.flatnonzero(~(is1 | is2))
-        x[miss] = np.searchsorted(cum, rest[miss] // w0[miss], side="right") - 1
+        x[miss] = np.searchsorted(model.ladder, (rest[miss] // w0[miss]).astype(np.int32), side="right") - 1
         c = cum[x] * w0 + (((p1 < x) * w1 + (p2 < x) * w2) << _ORDER0_BITS)
         f = freq[x] * w0 + (((p1 == x) * w1 + (p2 == x) * w2) << _ORDER0_BITS)
         lo += unit * c.astype(_U)

@@ -42,7 +42,7 @@ def token_pieces(
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for t in chunks(batches, _TEXT_BYTES):
-            ids, lens = encoder(vocabulary).encode(t["text"].to_pylist())
+            ids, lens = encoder(vocabulary).encode(t["text"])
             n = -(-lens // capacity)
             first = np.cumsum(n) - n
             doc = np.repeat(np.arange(len(lens)), n)

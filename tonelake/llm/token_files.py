@@ -81,7 +81,7 @@ def write_token_files(
 
         found = []
         for t in chunks(batches, _TEXT_BYTES):
-            ids, lens = encoder(vocabulary).encode(t["text"].to_pylist())
+            ids, lens = encoder(vocabulary).encode(t["text"])
             numbers = t["doc_id"].to_numpy()
             ends, lo = np.cumsum(lens), 0
             while lo < len(lens):

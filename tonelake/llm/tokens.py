@@ -2,7 +2,7 @@
 
 ``word_bpe_49k.json`` never joins characters across white space, so a text's
 ids are its words' ids in a row. A worker keeps the ids of the words it has
-met (a bounded memory) and asks the library only for new ones.
+met, by 64-bit hash (a bounded memory), and asks the library only for new ones.
 """
 
 from __future__ import annotations
@@ -13,16 +13,19 @@ from itertools import chain
 
 import numpy as np
 
-from tonelake.llm.texts import ragged
+from tonelake.llm.texts import ragged, text_bytes, word_hashes, words
 from tonelake.llm.worker import kept
 
 END = 1
-CACHE_WORDS = 200_000
+CACHE_WORDS = 1_500_000
+CACHE_RECENT = 150_000
+CACHE_PARTS = 200_000
 
 #: Words of these characters alone are cut as the vocabulary's own pattern cuts them:
 #: runs of letters, single digits, runs of anything else.
 _PLAIN = re.compile("[\x21-\x26\x28-\x3b\x3d-\x7eÀ-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PART = re.compile("[a-zß-öø-ÿ]+|[0-9]|[\x21-\x26\x28-\x2f\x3a\x3b\x3d-\x40\x5b-\x60\x7b-\x7e]+")
 
 
 def default_vocabulary() -> str:
@@ -31,79 +34,98 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Numbered(dict):
-    """Gives every new key the next number."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 class WordEncoder:
     """Ids of many texts at once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, list[int]] = {}
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.alphabet = {c: spelled(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers = _Numbered()
+        # Hashes of known words in two sorted tables, a large one and what came since; where their ids are.
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.tables = [none, none]
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.lens = np.zeros(1 << 12, np.int64)
-        self.known = 0
 
-    def _learn(self) -> None:
-        """Ids of the words met for the first time."""
+    def _learn(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Adds the ids of new words; where each one's start and how many they are."""
         parts, whole = self.parts, _PLAIN.fullmatch
-        if len(parts) > CACHE_WORDS:
+        if len(parts) > CACHE_PARTS:
             parts.clear()
-        cut = [_PARTS.findall(w.lower()) if whole(w) else [w] for w in self._tail()]
+        cut = [_PARTS.findall(w.lower()) if whole(w) else [w] for w in found]
         flat = list(chain.from_iterable(cut))
-        ask = list(set(flat).difference(parts))
-        for p, e in zip(ask, self.library.encode_batch_fast(ask, add_special_tokens=False)):
-            parts[p] = np.array(e.ids, np.uint32).tobytes()
-        found = list(map(parts.__getitem__, flat))
-        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]) // 4
-        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
-        lens = np.diff(sizes[ends], prepend=0)
-        need, words = self.used + int(sizes[-1]), self.known + len(cut)
+        odd = []
+        model = self.library.model.tokenize
+        for p in set(flat).difference(parts):
+            if _PART.fullmatch(p):  # already what the normaliser and the cutting would make of it
+                parts[p] = [t.id for t in model(p if p.isascii() else p.translate(self.alphabet))]
+            else:
+                odd.append(p)
+        for p, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
+            parts[p] = e.ids
+        ids = list(map(parts.__getitem__, flat))
+        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        ends = sizes[np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))]
+        lens = np.diff(ends, prepend=0)
+        need = self.used + int(sizes[-1])
         if need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(need, np.uint32)])
-        if words > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(words, np.int64)])
-            self.lens = np.concatenate([self.lens, np.zeros(words, np.int64)])
-        self.flat[self.used : need] = np.frombuffer(b"".join(found), np.uint32)
-        self.lens[self.known : words] = lens
-        self.starts[self.known : words] = self.used + np.cumsum(lens) - lens
-        self.used, self.known = need, words
-
-    def _tail(self) -> list[str]:
-        """The words that have a number but no ids yet, in order."""
-        n = len(self.numbers) - self.known
-        out = [w for w, _ in zip(reversed(self.numbers), range(n))]
-        return out[::-1]
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (unsigned 32 bits) in a row, each text closed by ``END``, and their number per text."""
-        if len(self.numbers) > CACHE_WORDS:
+            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat) // 2), np.uint32)])
+        self.flat[self.used : need] = np.fromiter(chain.from_iterable(ids), np.uint32, need - self.used)
+        starts = self.used + ends - lens
+        self.used = need
+        return starts, lens
+
+    def _remember(self, h: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
+        def joined(a, b):
+            rows = [np.concatenate(x) for x in zip(a, b)]
+            order = np.argsort(rows[0], kind="stable")
+            return tuple(x[order] for x in rows)
+
+        large, recent = self.tables
+        recent = joined(recent, (h, starts, lens))
+        if len(recent[0]) > CACHE_RECENT:
+            large, recent = joined(large, recent), tuple(x[:0] for x in recent)
+        self.tables = [large, recent]
+
+    def _words(self, h: np.ndarray, spell) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct words start and how many they are; ``spell(i)`` gives the words themselves."""
+        starts, lens = np.empty(len(h), np.int64), np.full(len(h), -1)
+        for known, s, n in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = known[at] == h
+                starts[hit], lens[hit] = s[at[hit]], n[at[hit]]
+        new = np.flatnonzero(lens < 0)
+        if len(new):
+            starts[new], lens[new] = self._learn(spell(new))
+            self._remember(h[new], starts[new], lens[new])
+        return starts, lens
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Of an Arrow column of texts, all ids (unsigned 32 bits) in a row, each text closed by ``END``, and
+        their number per text."""
+        if sum(len(t[0]) for t in self.tables) > CACHE_WORDS:
             self._clear()
-        found, counts = [], np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            ws = t.replace("\n", " ").split(" ") if t else []
-            counts[i] = len(ws)
-            found += ws
-        n = np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found))
-        if len(self.numbers) > self.known:
-            self._learn()
-        lens = self.lens[n]
-        ids = self.flat[ragged(self.starts[n], lens)]
-        ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum(counts)] if len(n) else np.zeros(len(texts), np.int64)
+        data, at = text_bytes(column)
+        first, last, before = words(data, at)
+        h, one, back = np.unique(word_hashes(data, first, last), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+
+        def spell(new):
+            return [raw[a:b].decode() for a, b in zip(first[one[new]].tolist(), last[one[new]].tolist())]
+
+        starts, lens = self._words(h, spell)
+        lens = lens[back]
+        ids = self.flat[ragged(starts[back], lens)]
+        ends = np.concatenate([[0], np.cumsum(lens)])[before[1:]]
         return np.insert(ids, ends, END).astype(np.uint32, copy=False), np.diff(ends, prepend=0) + 1
 
 
