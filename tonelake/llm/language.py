@@ -90,6 +90,8 @@ class Pieces:
 
 def _by_length(lens: np.ndarray, cells: int = 1 << 16):
     """Indices of words of one length, in groups of a bounded number of bytes."""
+    if not len(lens):
+        return
     order = np.argsort(lens, kind="stable")
     cuts = np.flatnonzero(np.diff(lens[order])) + 1
     for same in np.split(order, cuts):

@@ -78,7 +78,7 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tu
     """Best-two-fit on counts per length.
 
     A bin is filled greedily with the longest piece that still fits. Then its smallest piece gives way to the two
-    unpacked pieces that together fill the widened gap best, if they fill it better than the piece did.
+    unpacked pieces that together fill the widened gap best (of equal pairs the most even), if better than the piece did.
     The pattern is repeated while every length in it has enough pieces: the next bin would be the same.
 
     Returns rows (length, first rank, end rank, first bin, pieces per bin, offset in the bin) and the number of bins.

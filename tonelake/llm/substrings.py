@@ -36,8 +36,8 @@ def _squeeze(values: np.ndarray) -> bytes:
 
 def _expand(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    d = np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel()
-    return np.cumsum((d >> 1) ^ -(d & 1))
+    d = np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum((d >> np.uint64(1)).view(np.int64) ^ -(d & np.uint64(1)).view(np.int64))
 
 
 def _group(doc: np.ndarray, mark: np.ndarray, groups: int) -> np.ndarray:
