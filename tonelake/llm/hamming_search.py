@@ -79,7 +79,8 @@ def top_codes(codes: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> Data
         earlier = F.lit(False)
         for s, c in enumerate(cuts):
             earlier = earlier | ((F.col("s") > s) & (F.bit_count(_part(differ, *c)) <= radius))
-        met = probe.join(index, ["s", "value"]).where(~earlier).select("query", "code", F.bit_count(differ).alias("distance"))
+        # The probes are many times what Spark takes them for: they must not be broadcast.
+        met = probe.join(index.hint("shuffle_hash"), ["s", "value"]).where(~earlier).select("query", "code", F.bit_count(differ).alias("distance"))
         met = met.where(F.col("distance") <= reach).join(known, "code")
         nearest = Window.partitionBy("query").orderBy("distance", "id")
         top = met.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k + 1).select("query", "id", "distance", "nth")
