@@ -178,3 +178,32 @@ def test_halving_keeps_the_best(df):
     for i in (1, 2):
         prev = t[t["iter"] == i - 1].sort_values("rank")["params"].tolist()
         assert set(t[t["iter"] == i]["params"]) == set(prev[: len(t[t["iter"] == i])])
+
+
+def test_long_and_short_units_fit_tied_times_alike(spark):
+    from tonelake.operators import lines
+
+    rng = np.random.default_rng(4)
+    rows = [(1, float(k // 2), float(rng.normal(k, 3)), float(rng.normal(-k, 9)), 0) for k in range(60)]
+    df = spark.createDataFrame(rows, "g int, t double, a double, b double, z int")
+    short, long = (
+        lines._robust(df, ["g"], "t", ["a", "b"], "z", None, 100, limit).select(*[F.round(f"{c}.slope", 6).alias(c) for c in "ab"]).first()
+        for limit in (1000, 0)
+    )
+    assert short == long
+
+
+def test_roc_leaves_out_rows_without_a_score(spark):
+    from tonelake.operators.evaluate import roc_points
+
+    rows = [(1, 0.9), (0, 0.2), (1, None), (0, None)]
+    got = roc_points(spark.createDataFrame(rows, "label int, score double")).collect()
+    assert sorted((r.threshold, r.tpr, r.fpr) for r in got) == [(0.2, 1.0, 1.0), (0.9, 1.0, 0.0)]
+
+
+def test_numbers_are_encoded_in_their_own_order(spark):
+    from tonelake.operators.frames import label_encode
+
+    labels = [-5, 1, 2, 3, 9, 10, 11, 20, 100]
+    coded, _ = label_encode(spark.createDataFrame([(x,) for x in labels], "l int"), "l")
+    assert sorted((r.l, r.l_code) for r in coded.collect()) == [(x, i) for i, x in enumerate(labels)]

@@ -134,8 +134,9 @@ def roc_points(scores: DataFrame, label: str = "label", score: str = "score", sl
     """One point per distinct score, highest first: rows at or above it, and TPR/FPR.
 
     ``label`` is 1 or 0. Rows are counted per score before any ordering; score
-    slots from a sketch spread the running sums over tasks.
+    slots from a sketch spread the running sums over tasks. Rows without a score are left out.
     """
+    scores = scores.where(F.col(score).isNotNull())
     counts = scores.groupBy(F.col(score).alias("threshold")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg")
     )

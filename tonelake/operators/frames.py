@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tonelake.operators.ordering import number_rows, with_halo
+from tonelake.session import checkpoint
 
 # Named feature families of a frame: scalar columns, and the mfcc array.
 PITCH_FAMILY = ("creaky", "hnr", "cpps", "intensity", "se")
@@ -99,7 +100,9 @@ def label_encode(df: DataFrame, col: str, code: str | None = None) -> tuple[Data
     """Codes 0..K-1 of the sorted labels (missing: -1), and the dictionary."""
     code = code or f"{col}_code"
     labels = df.select(col).where(F.col(col).isNotNull()).distinct()
-    dictionary = number_rows(labels, [], [col], F.substring(F.col(col).cast("string"), 1, 2), "_rn").select(
+    # Ranges of the column's own order, kept as they fell: the next reading must see the same ones.
+    labels = checkpoint(labels.repartitionByRange(F.col(col)).withColumn("_range", F.spark_partition_id()))
+    dictionary = number_rows(labels, [], [col], F.col("_range"), "_rn").select(
         col, (F.col("_rn") - 1).cast("int").alias(code)
     )
     coded = df.join(dictionary, col, "left").withColumn(code, F.coalesce(F.col(code), F.lit(-1)))

@@ -53,11 +53,11 @@ def _learn(train, test, label, feats, id, estimator, scale=False) -> DataFrame:
     return _named(model.transform(prep.transform(test)), _labels(prep), label, id)
 
 
-def decision_tree(train, test, label, feats, id="id", depth: int = 5, seed: int = 42) -> DataFrame:
+def decision_tree(train, test, label, feats, id="id", depth: int = 30, seed: int = 42) -> DataFrame:
     return _learn(train, test, label, feats, id, DecisionTreeClassifier(maxDepth=depth, seed=seed))
 
 
-def random_forest(train, test, label, feats, id="id", trees: int = 100, depth: int = 5, seed: int = 42) -> DataFrame:
+def random_forest(train, test, label, feats, id="id", trees: int = 100, depth: int = 30, seed: int = 42) -> DataFrame:
     return _learn(train, test, label, feats, id, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed))
 
 
@@ -68,7 +68,7 @@ def gradient_boosting(train, test, label, feats, id="id", rounds: int = 1000, de
 
 
 def logistic_regression(train, test, label, feats, id="id", c: float = 1.0, rounds: int = 100) -> DataFrame:
-    """L2 penalty 1/(c * rows), the per-row form of an inverse-strength ``c``."""
+    """L2 penalty 1/(c * rows), the per-row form of an inverse-strength ``c``, on the weights of standardized features."""
     reg = 1.0 / (c * max(train.count(), 1))
     return _learn(train, test, label, feats, id, LogisticRegression(maxIter=rounds, regParam=reg))
 
@@ -89,8 +89,8 @@ def mlp_classify(train, test, label, feats, id="id", hidden: Sequence[int] = (10
 
 # ---- ensembles -----------------------------------------------------------------------
 
-# Cumulative Poisson(1) probabilities of 0..7 draws.
-POISSON_ONE = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(i + 1)) for i in range(8)]
+# Cumulative Poisson(1) probabilities of 0..13 draws: more are rarer than the step of the draw below.
+POISSON_ONE = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(i + 1)) for i in range(14)]
 
 
 def _bag_weight(id: str, bag: Column, seed: int) -> Column:
@@ -106,7 +106,7 @@ def _vote(preds: Column, labels: list[str]) -> Column:
     return F.array_max(votes)["l"]
 
 
-def bagging(train, test, label, feats, id="id", bags: int = 1000, base: str = "tree", seed: int = 42, depth: int = 5):
+def bagging(train, test, label, feats, id="id", bags: int = 1000, base: str = "tree", seed: int = 42, depth: int = 30):
     """Models on weighted redraws of the rows, by majority vote.
 
     Trees bag inside one forest fit with every feature allowed. Discriminants
@@ -174,9 +174,10 @@ def adaboost(
         grown = F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss")) / F.lit(s["w"] * (1 - err + err * math.exp(alpha)))
         # Weights sum to the same total for every round, so none can overflow.
         n = F.lit(float(s["w"]))
-        rows = scored.withColumn("_w", grown * n).select("_x", "_y", "_w")
-        if (m + 1) % 10 == 0:
-            rows = checkpoint(rows)
+        before, rows = rows, scored.withColumn("_w", grown * n).select("_x", "_y", "_w")
+        rows = checkpoint(rows) if (m + 1) % 10 == 0 else rows.persist()
+        if m:
+            before.unpersist()
     out = prep.transform(test)
     power = [F.lit(0.0)] * k
     for i, (tree, alpha) in enumerate(fitted):

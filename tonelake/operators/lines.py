@@ -119,6 +119,7 @@ def _fit_all(x: pd.Series, y: pd.Series, w: pd.Series, trials: int) -> np.ndarra
     for pos, (xi, yi, wi) in enumerate(zip(x, y, w)):
         p = np.array([xi, yi, wi], dtype=float)
         p = p[:, ~np.isnan(p).any(axis=0)]
+        p = p[:, np.lexsort((p[1], p[2], p[0]))]  # by x, weight, y: each tracker's own order
         points.append(p)
         by_size.setdefault(p.shape[1], []).append(pos)
     out = np.full((len(points), 2), np.nan)
@@ -136,9 +137,7 @@ def _robust_small(
 ) -> DataFrame:
     """One array of points per group, fitted in Arrow batches."""
     points = rows.groupBy(*group).agg(
-        F.array_sort(
-            F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_x", "_w", *ys)))
-        ).alias("_p"),
+        F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_x", "_w", *ys))).alias("_p"),
         *[agg.alias(name) for name, agg in extra.items()],
     )
     # A field of an array of structs is the array of that field.

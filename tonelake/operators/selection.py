@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from tonelake.operators.classify import lda_model, lda_weights, predict_by_fold,
 from tonelake.operators.evaluate import class_metrics_11, overall_scores
 from tonelake.operators.frames import standardize, unpivot_features
 from tonelake.operators.moments import Moments, grouped_moments, total
+from tonelake.session import checkpoint
 
 
 def anova_f(df: DataFrame, label: str, feats: Sequence[str]) -> DataFrame:
@@ -234,25 +236,11 @@ def selection_frequency(cands: DataFrame) -> DataFrame:
     )
 
 
-CANDIDATES_MAX = 20_000  # candidate subsets the driver takes; nbest * nvmax is far below
+CANDIDATES = 5_000  # candidate subsets that one pass scores
 
 
-def subset_lda_scores(
-    df: DataFrame, label: str, cands: DataFrame, feats: Sequence[str], metric: str = "accuracy",
-    target: str | None = None,
-) -> DataFrame:
-    """Discriminant fitted and scored on all rows, for every candidate subset.
-
-    (cand_id, size, features, score, class, the eleven metrics). One pass for
-    the moments and one that scores every candidate; only counts are shuffled.
-    ``metric`` is accuracy, or f1 of ``target``.
-    """
-    feats = list(feats)
-    picked = cands.select("cand_id", "size", "features").limit(CANDIDATES_MAX + 1).collect()
-    if len(picked) > CANDIDATES_MAX:
-        raise ValueError("too many candidate subsets")
-    parts = {k[0]: m for k, m in grouped_moments(df, [label], feats).items()}
-    labels = sorted(parts)
+def _subset_pairs(rows: DataFrame, picked, parts, labels, feats, middle) -> DataFrame:
+    """How often each label got each prediction, for every subset of one block of candidates."""
     ids = np.array([r["cand_id"] for r in picked])
     weights = np.zeros((len(picked), len(labels), len(feats)))
     consts = np.zeros((len(picked), len(labels)))
@@ -261,9 +249,7 @@ def subset_lda_scores(
         _, fits = lda_weights({c: m.take(cols) for c, m in parts.items()})
         for j, c in enumerate(labels):
             weights[i, j, cols], consts[i, j] = fits[c]
-    middle = total(parts.values()).mean
-    model = df.sparkSession.sparkContext.broadcast((ids, weights, consts))
-    rows = df.select(F.col(label).cast("string").alias("label"), *[F.col(c).cast("double").alias(c) for c in feats])
+    model = rows.sparkSession.sparkContext.broadcast((ids, weights, consts))
 
     def count(batches):
         ids, weights, consts = model.value
@@ -281,11 +267,35 @@ def subset_lda_scores(
         names = np.array(labels, dtype=object)
         yield pd.DataFrame({"cand_id": ids[i], "label": names[a], "prediction": names[p], "n": acc[i, a, p]})
 
-    pairs = (
+    return (
         rows.mapInPandas(count, "cand_id long, label string, prediction string, n long")
         .groupBy("cand_id", "label", "prediction")
         .agg(F.sum("n").alias("n"))
     )
+
+
+def subset_lda_scores(
+    df: DataFrame, label: str, cands: DataFrame, feats: Sequence[str], metric: str = "accuracy",
+    target: str | None = None,
+) -> DataFrame:
+    """Discriminant fitted and scored on all rows, for every candidate subset.
+
+    (cand_id, size, features, score, class, the eleven metrics). One pass for
+    the moments and one that scores every candidate; only counts are shuffled.
+    ``metric`` is accuracy, or f1 of ``target``.
+    """
+    feats = list(feats)
+    cands = checkpoint(cands.select("cand_id", "size", "features"))
+    parts = {k[0]: m for k, m in grouped_moments(df, [label], feats).items()}
+    labels = sorted(parts)
+    middle = total(parts.values()).mean
+    rows = df.select(F.col(label).cast("string").alias("label"), *[F.col(c).cast("double").alias(c) for c in feats])
+    pairs, waiting = None, cands.toLocalIterator()
+    while picked := list(islice(waiting, CANDIDATES)):
+        one = _subset_pairs(rows, picked, parts, labels, feats, middle)
+        pairs = one if pairs is None else pairs.unionByName(one)
+    if pairs is None:
+        pairs = _subset_pairs(rows, [], parts, labels, feats, middle)
     metrics = class_metrics_11(pairs, ["cand_id"], pairs=True)
     if metric == "accuracy":
         score = overall_scores(pairs, ["cand_id"], pairs=True).select("cand_id", F.col("accuracy").alias("score"))

@@ -218,6 +218,19 @@ def _(spark, sf):
     return ops.label_encode(p, "p_type")[0].select("p_partkey", "p_type", "p_type_code")
 
 
+@query(
+    "label_encode_numbers",
+    "with l as (select c_custkey, c_nationkey - 7 as nation, round(c_acctbal) as balance from customer), "
+    "n as (select nation, row_number() over (order by nation) - 1 as code from (select distinct nation from l)), "
+    "b as (select balance, row_number() over (order by balance) - 1 as code from (select distinct balance from l)) "
+    "select c_custkey, cast(n.code as integer) as nation_code, cast(b.code as integer) as balance_code "
+    "from l join n on l.nation = n.nation join b on l.balance = b.balance",
+)
+def _(spark, sf):
+    c = tb.table(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") - 7).alias("nation"), F.round("c_acctbal").alias("balance"))
+    return ops.label_encode(ops.label_encode(c, "nation")[0], "balance")[0].select("c_custkey", "nation_code", "balance_code")
+
+
 @query(
     "binarize_label",
     "select c_custkey, case when c_mktsegment = 'BUILDING' then 'BUILDING' else 'OTHER' end as label from customer",
