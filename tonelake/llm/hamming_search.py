@@ -31,8 +31,9 @@ def sign_code(vector: Column) -> Column:
 
 
 def _cuts(rows: int) -> list[tuple[int, int]]:
-    """Shift and width of the segments: about as many bits as the number of codes has, so that a value has few codes."""
-    m = max(4, min(16, round(BITS / max(4, rows.bit_length()))))
+    """Shift and width of the segments. A value should have a few codes: to verify one costs less than a further
+    probe, so a segment has two bits less than the number of codes."""
+    m = max(2, min(16, -(-BITS // max(4, rows.bit_length() - 2))))
     edges = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges[:-1], edges[1:])]
 
