@@ -159,7 +159,8 @@ def op7_token_files(spark, sf_dir) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     manifest = write_token_files(docs, folder, default_vocabulary())
     back = read_token_files(manifest, folder, with_ids=False)
-    return back.join(block_starts(manifest), ["file", "block"]).select(
+    # Spark takes the documents for as small as the manifest they come from: they must not be broadcast.
+    return back.join(block_starts(manifest).hint("merge"), ["file", "block"]).select(
         F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"),
         (F.col("first_id") + F.col("before")).alias("start"),
         "n_tokens",
