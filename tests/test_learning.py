@@ -207,3 +207,41 @@ def test_numbers_are_encoded_in_their_own_order(spark):
     labels = [-5, 1, 2, 3, 9, 10, 11, 20, 100]
     coded, _ = label_encode(spark.createDataFrame([(x,) for x in labels], "l int"), "l")
     assert sorted((r.l, r.l_code) for r in coded.collect()) == [(x, i) for i, x in enumerate(labels)]
+
+
+def test_a_row_drawn_twice_votes_twice(df, pdf):
+    train = df.filter(F.col("id") < "r2")
+    drawn = train.select("id", learners._bag_weight("id", F.lit(0), 42).alias("n")).toPandas().set_index("id")["n"]
+    assert drawn.max() >= 2
+    rows = pdf[pdf.id.isin(drawn.index)]
+    rows = rows.loc[rows.index.repeat(drawn[rows.id].astype(int).to_numpy())]
+    x, ids, labels = rows[XS].to_numpy(), rows["id"].to_numpy(), rows["label"].to_numpy()
+    got = learners.bagging(train, df, "label", XS, bags=1, base="knn").toPandas().set_index("id")["prediction"]
+    for _, r in pdf.iterrows():
+        d = np.round(np.sqrt(((x - r[XS].to_numpy(float)) ** 2).sum(1)), 9)
+        near = sorted(range(len(d)), key=lambda j: (d[j], ids[j]))[:6]
+        votes = pd.Series(labels[near]).value_counts()
+        assert got[r.id] == min(votes[votes == votes.max()].index)
+
+
+def test_search_by_balanced_accuracy(spark, df):
+    pairs = spark.createDataFrame([(0.0, 0.0), (0.0, 0.0), (0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)], "_y double, prediction double")
+    assert learners.BalancedAccuracy().evaluate(pairs) == pytest.approx((0.75 + 0.5) / 2)
+    out = learners.grid_search(df, "tree", {"maxDepth": [1, 4]}, "label", XS, folds=3, metric="balanced_accuracy").toPandas()
+    assert out["best"].sum() == 1 and out["mean_test_score"].between(1 / 3, 1).all()
+    with pytest.raises(ValueError):
+        learners.grid_search(df, "nb", {"c": [1, 2]}, "label", XS, folds=3)
+
+
+def test_long_ids_count_in_what_is_sent(df, monkeypatch):
+    from tonelake.operators import neighbours
+
+    def cells(*_):
+        raise LookupError("by cells")
+
+    wide = df.withColumn("note", F.repeat(F.lit("x"), 8000))
+    short = nearest_rows(df, df, "id", XS, 1, broadcast_values=100_000).count()
+    monkeypatch.setattr(neighbours, "_by_cells", cells)
+    assert short == 240
+    with pytest.raises(LookupError):
+        nearest_rows(df, wide, "id", XS, 1, extra=["note"], broadcast_values=100_000)

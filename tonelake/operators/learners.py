@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
@@ -131,7 +131,8 @@ def bagging(train, test, label, feats, id="id", bags: int = 1000, base: str = "t
         votes = None
         for b in range(bags):
             bag = train.withColumn("_w", _bag_weight(id, F.lit(b), seed)).filter("_w > 0")
-            if base == "knn":
+            if base == "knn":  # a row drawn twice is there twice, so it votes twice
+                bag = bag.withColumn("_w", F.explode(F.array_repeat("_w", F.col("_w").cast("int"))))
                 one = knn_classify(bag, test, label, feats, id).withColumn("_b", F.lit(b))
             else:
                 fit = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w").fit(prep.transform(bag))
@@ -190,6 +191,20 @@ def adaboost(
 
 # ---- model search --------------------------------------------------------------------
 
+class BalancedAccuracy(Evaluator):
+    """Mean over the labels of the share of their rows that are predicted right."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        hit = F.avg((F.col("prediction") == F.col("_y")).cast("double")).alias("recall")
+        return dataset.groupBy("_y").agg(hit).agg(F.avg("recall")).first()[0]
+
+
+METRICS = {
+    "accuracy": lambda: MulticlassClassificationEvaluator(labelCol="_y", metricName="accuracy"),
+    "f1_weighted": lambda: MulticlassClassificationEvaluator(labelCol="_y", metricName="f1"),
+    "balanced_accuracy": BalancedAccuracy,
+}
+
 ESTIMATORS = {
     "logistic": lambda: LogisticRegression(maxIter=50),
     "tree": lambda: DecisionTreeClassifier(seed=42),
@@ -203,16 +218,20 @@ def _combinations(grid: dict[str, Sequence]) -> list[dict]:
 
 
 def _fold_scores(df, model: str, cands: list[dict], label, feats, folds: int, metric, id, parallelism) -> list[float]:
-    """Mean validation score of every candidate over the same folds."""
+    """Mean validation score of every candidate over the same folds.
+
+    Discriminants and Bayes have no parameters: a candidate that names one is an error.
+    """
+    if model not in ESTIMATORS and model != "knn" and any(cands):
+        raise ValueError(f"{model} has no parameters to search")
     rows = stratified_folds(df, id, label, folds)
     if model in ESTIMATORS:
         prep = _prepared(df, label, feats)
         est = ESTIMATORS[model]().setFeaturesCol("_x").setLabelCol("_y")
         maps = [{est.getParam(n): v for n, v in c.items()} for c in cands]
-        name = {"accuracy": "accuracy", "f1_weighted": "f1"}[metric]
         cv = CrossValidator(
             estimator=est, estimatorParamMaps=maps or ParamGridBuilder().build(), numFolds=folds, foldCol="fold",
-            evaluator=MulticlassClassificationEvaluator(labelCol="_y", metricName=name), parallelism=parallelism,
+            evaluator=METRICS[metric](), parallelism=parallelism,
         )
         ready = prep.transform(rows).select("_x", "_y", "fold").persist()
         try:

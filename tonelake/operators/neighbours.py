@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BROADCAST_VALUES = 4_000_000  # doubles of points sent to every task (32 MB)
+BROADCAST_VALUES = 4_000_000  # points sent to every task, in units of 8 bytes (32 MB)
 BLOCK_ROWS = 20_000  # rows of one side in one block
 PIVOTS = 64
 
@@ -94,8 +94,10 @@ def nearest_rows(
     schema = "query_id string, point_id string, distance double" + "".join(
         f", p_{c} {p.schema[c].dataType.simpleString()}" for c in [*feats, *extra]
     )
-    n = p.count()
-    if n * len(feats) <= broadcast_values:
+    # Ids and further columns travel too: their text counts as 8 bytes a value.
+    text = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in [id, *extra]), F.lit(0))
+    n, size = p.agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
+    if n * len(feats) + size / 8 <= broadcast_values:
         sent = q.sparkSession.sparkContext.broadcast(p.toPandas())
 
         def scan(batches):

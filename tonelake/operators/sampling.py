@@ -6,6 +6,7 @@ a label with most of the rows is still ranked by many tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,13 @@ def stratified_split(df: DataFrame, id: str, label: str, frac: float, seed: int
     return ranked.withColumn("part", F.when(train, "train").otherwise("test")).drop("_rn", "_n")
 
 
+def row_split(df: DataFrame, id: str, frac: float, seed: int = 42) -> DataFrame:
+    """Adds ``part``: 'train' for the first ``frac`` of all rows, whatever their label, else 'test'."""
+    cut = math.floor(df.count() * float(frac))
+    part = F.when(F.col("_rn") <= cut, "train").otherwise("test")
+    return _ranked(df, [], id, seed).withColumn("part", part).drop("_rn")
+
+
 def stratified_folds(df: DataFrame, id: str, label: str, k: int, seed: int = 42) -> DataFrame:
     """Adds ``fold`` 0..k-1, balanced within each label."""
     ranked = _ranked(df, [label], id, seed)

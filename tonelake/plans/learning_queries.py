@@ -96,20 +96,20 @@ def _knn_sql(d, k, power):
     )
 
 
-@query("knn_classify", _knn_sql(8, 6, 2))
+@query("knn_classify", _knn_sql(64, 6, 2))
 def _(spark, sf):
-    return ops.knn_classify(*_vectors(spark, sf, 8), "label", tb.xs(8))
+    return ops.knn_classify(*_vectors(spark, sf, 64), "label", tb.xs(64))
 
 
-@query("knn_classify_manhattan", _knn_sql(8, 5, 1))
+@query("knn_classify_manhattan", _knn_sql(64, 5, 1))
 def _(spark, sf):
-    return ops.knn_classify(*_vectors(spark, sf, 8), "label", tb.xs(8), k=5, p=1)
+    return ops.knn_classify(*_vectors(spark, sf, 64), "label", tb.xs(64), k=5, p=1)
 
 
 # ---- Spark ML learners: rows only ---------------------------------------------------
 
 
-def _learner(name, fn, d=8, **params):
+def _learner(name, fn, d=64, **params):
     @query(name)
     def _(spark, sf):
         return fn(*_vectors(spark, sf, d), "label", tb.xs(d), **params)
@@ -159,6 +159,7 @@ def _(spark, sf):
 
 @query("sequential_one_vs_rest")
 def _(spark, sf):
+    # Every stage searches all 2**d subsets of the features: 8 of them are 256 fits, all 64 could not be listed.
     return ops.sequential_one_vs_rest(tb.vectors(spark, sf, 8), "label", tb.xs(8))
 
 
@@ -218,13 +219,13 @@ def _(spark, sf):
 
 @query("grid_search_knn")
 def _(spark, sf):
-    return ml.grid_search(tb.vectors(spark, sf, 4), "knn", {"k": [3, 5], "p": [1, 2]}, "label", tb.xs(4), folds=3)
+    return ml.grid_search(tb.vectors(spark, sf, 64), "knn", {"k": [3, 5], "p": [1, 2]}, "label", tb.xs(64), folds=3)
 
 
 @query("successive_halving")
 def _(spark, sf):
     cands = [{"maxDepth": d} for d in (2, 3, 4, 5)]
-    return ml.successive_halving(tb.vectors(spark, sf, 4), "tree", cands, "label", tb.xs(4))
+    return ml.successive_halving(tb.vectors(spark, sf, 64), "tree", cands, "label", tb.xs(64))
 
 
 # ---- evaluation ----------------------------------------------------------------------

@@ -34,6 +34,14 @@ def _(spark, sf):
     return ops.stratified_split(tb.features(spark, sf).select("id", "label"), "id", "label", 0.75)
 
 
+@query(
+    "row_split",
+    FEATURES + f" select id, label, case when {rank_sql('')} <= floor(count(*) over () * 0.8) then 'train' else 'test' end as part from features",
+)
+def _(spark, sf):
+    return ops.row_split(tb.features(spark, sf).select("id", "label"), "id", 0.8)
+
+
 @query("stratified_folds", FEATURES + f", {folds_sql('features', 10)} select id, label, fold from fd")
 def _(spark, sf):
     return ops.stratified_folds(tb.features(spark, sf).select("id", "label"), "id", "label", 10)

@@ -246,18 +246,16 @@ def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     at, n = F.col("at"), F.length("text")
-    s_idx = F.col("turn") * 100000 + F.col("s")
-    w_idx = s_idx * 100000 + F.col("w")
     utt = turns.select(
         "file",
         item("Trans", F.col("turn"), F.col("base"), F.col("base") + F.col("len") - 1, F.col("role")).alias("r"),
     )
     unit = spans.select(
-        "file", item("UTtag", s_idx, at, F.col("stop"), F.when(F.col("pause"), "pp").otherwise("COM")).alias("r")
+        "file", item("UTtag", at, at, F.col("stop"), F.when(F.col("pause"), "pp").otherwise("COM")).alias("r")
     )
-    words = words.select("file", "at", n.alias("n"), "text", w_idx.alias("w_idx"))
+    words = words.select("file", "at", n.alias("n"), "text")
     at, n, long = F.col("at"), F.col("n"), F.col("n") > 4
-    w_idx = F.col("w_idx")
+    w_idx = at  # no two words of a file start at one place, however long it is
     # One branch per tier: a filter on the tier leaves only its own branch in the plan.
     marks = [
         words.select("file", item("Sil", w_idx, at, at + n, F.col("text")).alias("r")),
@@ -292,22 +290,22 @@ tiers as (
   select file, 'Trans' as tier, turn as idx, cast(base as double) as start_t,
     cast(base + len - 1 as double) as end_t, role as text from turns
   union all
-  select file, 'UTtag', turn * 100000 + s, cast(min(pos0) as double), cast(max(pos0 + n) as double),
+  select file, 'UTtag', cast(min(pos0) as bigint), cast(min(pos0) as double), cast(max(pos0 + n) as double),
     case when pause then 'pp' else 'COM' end from words_all group by file, turn, s, pause
   union all
-  select file, 'Sil', (turn * 100000 + s) * 100000 + w, cast(pos0 as double), cast(pos0 + n as double), text from words_all
+  select file, 'Sil', cast(pos0 as bigint), cast(pos0 as double), cast(pos0 + n as double), text from words_all
   union all
-  select file, 'duv', (turn * 100000 + s) * 100000 + w, cast(pos0 as double), cast(pos0 + n as double), lower(text)
+  select file, 'duv', cast(pos0 as bigint), cast(pos0 as double), cast(pos0 + n as double), lower(text)
     from words_all where contains(text, 'an')
   union all
-  select file, 'Zsil', (turn * 100000 + s) * 100000 + w, cast(pos0 as double), cast(pos0 + n as double), cast(n as varchar)
+  select file, 'Zsil', cast(pos0 as bigint), cast(pos0 as double), cast(pos0 + n as double), cast(n as varchar)
     from words_all
   union all
-  select file, 'Msil', (turn * 100000 + s) * 100000 + w, cast(pos0 as double), cast(pos0 + n as double),
+  select file, 'Msil', cast(pos0 as bigint), cast(pos0 as double), cast(pos0 + n as double),
     cast(n * 2 as varchar) from words_all where n > 4
   union all
-  select file, 'Vsil', ((turn * 100000 + s) * 100000 + w) * 2, cast(pos0 as double), cast(pos0 + 1 as double), '1'
+  select file, 'Vsil', cast(pos0 as bigint) * 2, cast(pos0 as double), cast(pos0 + 1 as double), '1'
     from words_all where n > 4
   union all
-  select file, 'Vsil', ((turn * 100000 + s) * 100000 + w) * 2 + 1, cast(pos0 + 1 as double), cast(pos0 + n as double),
+  select file, 'Vsil', cast(pos0 as bigint) * 2 + 1, cast(pos0 + 1 as double), cast(pos0 + n as double),
     cast(n - 1 as varchar) from words_all where n > 4)"""
