@@ -29,9 +29,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest number stays."""
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of near duplicates one row stays: the smallest number (null is the last), then the smallest text hash.
+
+    Only rows of one group replace each other: rows without a number, or with one number and different texts, all stay
+    if they are no copies. Of rows with one number and one text that of the least language, source and length stays.
+    """
+    rows = near_duplicates(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("least"))
+    first = rows.select(F.col("least.doc_id").alias("_of"), F.col("least.mark").alias("_kept"))
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    left = marked.join(first, marked["doc_id"].eqNullSafe(first["_of"]) & (marked["_mark"] == first["_kept"]), "left_semi")
+    one = left.groupBy("doc_id", "_mark").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("row"))
+    return one.select("doc_id", "row.*").select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

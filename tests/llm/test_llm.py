@@ -540,3 +540,23 @@ def test_pipeline_against_plain_steps(spark):
         total[r.doc_id] += r.length
     assert total == {d: len(reference_ids(r.text)) for d, r in four.items()}
     assert corpus_pipeline.run(spark, SF).count() == len(five)
+
+
+def test_near_dedup_drops_copies_only(spark):
+    """Null and repeated numbers: only rows of one component replace each other."""
+    near = passage(1, 60)
+    rows = [
+        (None, passage(2, 40), "en", "a", 1),
+        (None, passage(3, 40), "en", "a", 1),
+        (None, passage(3, 40), "en", "a", 1),
+        (None, near, "en", "a", 1),
+        (5, near, "en", "b", 1),
+        (5, near, "en", "a", 1),
+        (5, passage(6, 40), "en", "a", 1),
+        (4, near, "en", "a", 1),
+        (7, None, "en", "a", 1),
+        (None, "", "en", "a", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = [rows[0], rows[1], rows[6], rows[7], rows[8]]
+    assert rows_of(corpus_pipeline.near_dedup(spark, docs, SF), *docs.columns) == sorted(want, key=repr)

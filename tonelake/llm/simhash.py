@@ -42,15 +42,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Number and fingerprint (a signed 64-bit integer) of every row."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    """Number, fingerprint (a signed 64-bit integer) and ``mark`` (hash of the text) of every row."""
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
     def add(batches):
         for b in batches:
             fp = [fingerprint(t, shingle) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp, pa.int64()), b["mark"]], names=["doc_id", "fp", "mark"])
 
-    return rows.mapInArrow(add, "doc_id long, fp long")
+    return rows.mapInArrow(add, "doc_id long, fp long, mark long")
 
 
 def _segments(distance: int) -> list[int]:
@@ -156,7 +157,8 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` (the smallest number reachable by links) of every row.
+    """``doc_id``, ``fp``, ``component_id`` (the smallest number reachable by links), ``root`` (a fingerprint of the
+    component, never null) and ``mark`` (hash of the text) of every row.
 
     Null, empty and blank texts have fingerprint zero and link like any other; a null number gets the component of its
     fingerprint but is never its smallest, unless there is none; repeated rows are repeated in the result; further columns
@@ -169,10 +171,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         of = groups.join(linked, groups["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
         of = written(of, "roots")
         least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-        of = of.join(least, "root").select("fp", "component_id")
+        of = of.join(least, "root").select("fp", "root", "component_id")
     else:
-        of = groups.withColumnRenamed("least", "component_id")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+        of = groups.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return rows.join(of, "fp").select("doc_id", "fp", "component_id", "root", "mark")
 
 
 def op4_simhash_dedup(spark, sf_dir) -> DataFrame:
