@@ -7,7 +7,7 @@ next stage's documents. All but the last keep the columns of ``documents``.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonelake.llm.mixing import mix_documents, taken_text
@@ -50,10 +50,16 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text as the words that the mix takes of it, those taken twice in a second line; documents it takes nothing of go."""
-    taken = mix_documents(docs).where("taken > 0").select(F.col("doc_id").alias("_of"), F.col("mark").alias("_mark"), "spans", "size")
-    same = docs["doc_id"].eqNullSafe(taken["_of"]) & (F.xxhash64(docs["text"]) == taken["_mark"])
-    joined = docs.join(taken, same).select("doc_id", "text", "lang", "source", "spans", "size")
+    """Every text as the words that the mix takes of it, those taken twice in a second line; documents it takes nothing of go.
+
+    Each of several rows with one number, text and source meets the spans of one of them.
+    """
+    taken = mix_documents(docs).where("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("_of"), "mark", F.col("source").alias("_from"), F.col("nth").alias("_nth"), "spans", "size")
+    equal = Window.partitionBy("doc_id", "_mark", "source").orderBy("lang", "n_chars")
+    rows = docs.withColumn("_mark", F.xxhash64("text")).withColumn("_number", F.row_number().over(equal))
+    same = rows["doc_id"].eqNullSafe(taken["_of"]) & (rows["_mark"] == taken["mark"]) & rows["source"].eqNullSafe(taken["_from"])
+    joined = rows.join(taken, same & (rows["_number"] == taken["_nth"])).select("doc_id", "text", "lang", "source", "spans", "size")
 
     def cut(batches):
         for b in batches:

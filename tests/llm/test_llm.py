@@ -560,3 +560,14 @@ def test_near_dedup_drops_copies_only(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     want = [rows[0], rows[1], rows[6], rows[7], rows[8]]
     assert rows_of(corpus_pipeline.near_dedup(spark, docs, SF), *docs.columns) == sorted(want, key=repr)
+
+
+def test_mixture_of_repeated_rows(spark):
+    """Each row gets the spans of one of its equals: as many words come out as the mix takes, by source."""
+    rows = [(1, passage(1, 50), "en", "a", 1)] * 5 + [(None, passage(2, 70), "en", "b", 1)] * 4
+    rows += [(1, passage(1, 50), "en", "c", 1), (3, passage(3, 400), "fr", "a", 1), (4, "", "fr", "a", 0), (None, None, "fr", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = mixing.mix_documents(docs)
+    want = Counter((r.doc_id, r.source, r.taken) for r in mixed.collect() if r.taken)
+    assert Counter((r.doc_id, r.source, len(split(r.text))) for r in corpus_pipeline.mixture(spark, docs, SF).collect()) == want
+    assert sum(want.values()) > len(want)

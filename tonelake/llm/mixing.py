@@ -110,7 +110,8 @@ def _take(pdf: pd.DataFrame, block: int, seed: int) -> pd.DataFrame:
         n = t[[0, *turn.tolist()]].tolist()
         spans.append([x for k, v in enumerate(n) if v for x in (at[k], at[k + 1], v)])
     pdf["spans"] = spans
-    return pdf[["doc_id", "mark", "source", "size", "taken", "spans"]]
+    pdf["nth"] = pdf.groupby(["doc_id", "mark"], dropna=False).cumcount() + 1
+    return pdf[["doc_id", "mark", "source", "size", "taken", "spans", "nth"]]
 
 
 def mix_documents(
@@ -124,8 +125,9 @@ def mix_documents(
     shard_words: int = SHARD_WORDS,
     seed: int = SEED,
 ) -> DataFrame:
-    """``doc_id``, ``mark`` (hash of the text), ``source``, ``size``, ``source_size``, ``target``, ``taken`` and
-    ``spans`` (start word, end word, times, ...) of every row.
+    """``doc_id``, ``mark`` (hash of the text), ``source``, ``size``, ``source_size``, ``target``, ``taken``,
+    ``spans`` (start word, end word, times, ...) and ``nth`` (number among the rows of equal doc_id, text and source, from 1;
+    null for size 0) of every row.
 
     * Null, empty and blank texts have size 0 and give nothing. A null source is a source of its own and comes last;
       ``weight`` gets a source's place in code-point order. Null numbers and repeated rows are rows like any other;
@@ -171,11 +173,11 @@ def mix_documents(
         out = _take(pdf, block, seed)
         return out.assign(source_size=pdf["source_size"].iloc[0], target=pdf["target"].iloc[0])
 
-    schema = "doc_id long, mark long, source string, size long, taken long, spans array<int>, source_size long, target double"
-    columns = ["doc_id", "mark", "source", "size", "source_size", "target", "taken", "spans"]
+    schema = "doc_id long, mark long, source string, size long, taken long, spans array<int>, nth long, source_size long, target double"
+    columns = ["doc_id", "mark", "source", "size", "source_size", "target", "taken", "spans", "nth"]
     taken = some.select("doc_id", "mark", "source", "size", "shard", "order", "seats", "source_size", "target")
     taken = taken.groupBy("source", "shard").applyInPandas(take, schema).select(*columns)
-    none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("spans", F.array().cast("array<int>"))
+    none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("spans", F.array().cast("array<int>")).withColumn("nth", F.lit(None).cast("long"))
     return taken.unionByName(none.select(*columns))
 
 
