@@ -420,6 +420,20 @@ def test_votes_are_exact():
         assert abs(s - (weight @ model.labels[near]) / weight.sum()) < 1e-5
 
 
+def test_votes_tell_words_of_one_shape():
+    """Spam in ordinary lower-case words looks like prose; only its words tell."""
+    rng = np.random.default_rng(3)
+    prose, spam = ([f"{a}{x}{y}" for x in "aeiou" for y in "bdlmnrst"] for a in "hw")
+
+    def texts_of(n):
+        label = rng.integers(0, 2, n)
+        return pa.array([" ".join(rng.choice(prose if y else spam, 30 + rng.integers(20))) + "." for y in label]), label
+
+    (learn, marks), (held, truth) = texts_of(200), texts_of(100)
+    model = quality.NeighbourVote(quality.term_weights(learn), marks)
+    assert ((model.scores(quality.term_weights(held)) >= quality.THRESHOLD) == (truth == 1)).mean() > 0.95
+
+
 # 8: top-k
 
 
