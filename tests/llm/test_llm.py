@@ -265,6 +265,43 @@ def test_languages_held_out(spark, docs, none):
     assert {r.lang_pred for r in language.identify(docs, unlearned).collect()} == {"und"}
 
 
+def test_expected_pieces_of_long_words():
+    """The counts of short words against the plain sums; those of a long word add up to its bytes."""
+    pieces_list = [bytes([b]) for b in range(256)] + [b" a", b"ab", b"abc", b"bc", b"cab"]
+    pieces = language.Pieces(pieces_list)
+    p = np.random.default_rng(1).dirichlet(np.ones(len(pieces_list)))
+    data = np.frombuffer(b"abcabcaabbc", np.uint8)
+    starts, lens, times = np.array([0, 3, 2]), np.array([8, 3, 9]), np.array([2, 5, 1])
+    want = np.zeros(len(pieces_list))
+    for s, n, t in zip(starts, lens, times):
+        w = b" " + data[s : s + n].tobytes()
+        ways = [([], 0)]
+        whole = []
+        while ways:
+            cut, at = ways.pop()
+            if at == len(w):
+                whole.append(cut)
+            ways += [([*cut, i], at + len(x)) for i, x in enumerate(pieces_list) if x == w[at : at + len(x)]]
+        chance = np.array([np.prod(p[c]) for c in whole])
+        for c, x in zip(whole, chance / chance.sum()):
+            np.add.at(want, c, x * t)
+    assert np.allclose(language.expected_pieces(data, starts, lens, times, pieces, p), want)
+    rare = np.full(len(pieces_list), 1e-11)
+    rare[0] = 1 - rare[1:].sum()
+    long = np.frombuffer(b"abcab" * 1000, np.uint8)
+    use = language.expected_pieces(long, np.array([0, 7]), np.array([5000, 61]), np.array([1, 1]), pieces, rare)
+    assert np.isclose(use @ np.array([len(x) for x in pieces_list]), 5001 + 62)
+
+
+def test_languages_without_spaces(spark):
+    rng = np.random.default_rng(5)
+    signs = {"ja": [chr(0x3041 + i) for i in range(80)], "zh": [chr(0x4E00 + 7 * i) for i in range(200)]}
+    rows = [(i, "".join(rng.choice(signs[x], 40 + int(rng.integers(200)))), x) for i, x in enumerate(["ja", "zh"] * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, language.fit(docs, language.default_vocabulary())).where("held_out").collect()}
+    assert len(got) > 10 and all(got[i] == x for i, _, x in rows if i in got)
+
+
 # 4: SimHash
 
 

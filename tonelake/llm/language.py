@@ -25,6 +25,7 @@ UNKNOWN = "und"
 _TEXT_BYTES = 4_000_000
 _CACHE_WORDS = 400_000
 _MARK = "▁".encode()  # stands for the space before a word in the vocabulary
+_PLACES = 256  # places of a word whose pieces are looked up at once
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,6 +101,27 @@ def _by_length(lens: np.ndarray, cells: int = 1 << 16):
             yield same[lo : lo + step]
 
 
+def _near_length(lens: np.ndarray, cells: int = 1 << 16, total: int = 1 << 21):
+    """Indices of words of about one length, in groups of a bounded number of bytes, at once and in a block of places."""
+    order = np.argsort(lens, kind="stable")
+    lo = 0
+    while lo < len(order):
+        wide = int(lens[order[lo]]) + 1
+        most = max(1, min(cells // min(wide, _PLACES), total // wide))
+        same = np.searchsorted(lens[order], wide - 1 + wide // 4, side="right")
+        hi = min(lo + most, int(same))
+        yield order[lo:hi]
+        lo = hi
+
+
+def _padded(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Words as rows, each behind a space and with zeros after its end."""
+    places = np.arange(int(lens.max()))
+    out = np.full((len(starts), len(places) + 1), 32, np.uint8)
+    out[:, 1:] = np.where(places < lens[:, None], data[np.minimum(starts[:, None] + places, len(data) - 1)], 0)
+    return out
+
+
 def _letters(data: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """Words of ``n`` bytes as rows, each behind a space."""
     out = np.empty((len(starts), n + 1), np.uint8)
@@ -145,26 +167,54 @@ def word_scores(data, starts, lens, pieces: Pieces, logs: np.ndarray) -> np.ndar
 
 
 def expected_pieces(data, starts, lens, times: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """Expected uses of every piece in the words (``times`` each) under the probabilities ``p`` of one language."""
+    """Expected uses of every piece in the words (``times`` each) under the probabilities ``p`` of one language.
+
+    The forward and backward sums are kept as logarithms of the steps from one place to the next, each step made from sums
+    relative to the last, so words of any length count and none underflows.
+    """
     p = np.append(p, 0.0)
-    out = np.zeros(pieces.size + 1)
-    for group in _by_length(lens):
-        found = pieces.find(_letters(data, starts[group], int(lens[group[0]])))
-        n, wide, _ = found.shape
-        prob = p[found]
-        a, b = np.zeros((n, wide + 1)), np.zeros((n, wide + 1))
-        a[:, 0] = b[:, wide] = 1
-        for end in range(1, wide + 1):
-            for k in range(1, min(PIECE_BYTES, end) + 1):
-                a[:, end] += a[:, end - k] * prob[:, end - k, k - 1]
-        for at in range(wide - 1, -1, -1):
-            for k in range(1, min(PIECE_BYTES, wide - at) + 1):
-                b[:, at] += b[:, at + k] * prob[:, at, k - 1]
-        weight = times[group] / a[:, wide]
-        for k in range(1, min(PIECE_BYTES, wide) + 1):
-            use = a[:, : wide - k + 1] * prob[:, : wide - k + 1, k - 1] * b[:, k:] * weight[:, None]
-            np.add.at(out, found[:, : wide - k + 1, k - 1].ravel(), use.ravel())
-    return out[:-1]
+    out = np.zeros(pieces.size)
+    steps = np.arange(1, PIECE_BYTES + 1)
+    for group in _near_length(lens):
+        letters, ends = _padded(data, starts[group], lens[group]), lens[group] + 1
+        n, wide = letters.shape
+
+        def found_at(lo):
+            """Pieces that start at the places from ``lo`` on and end within their words."""
+            found = pieces.find(letters[:, lo : lo + _PLACES + PIECE_BYTES - 1])[:, :_PLACES]
+            past = lo + np.arange(found.shape[1])[:, None] + steps > ends[:, None, None]
+            found[past] = -1
+            return found
+
+        blocks = range(0, wide, _PLACES)
+        found = found_at(0)
+        a = np.ones((n, wide + 1))  # each forward sum relative to the one before
+        ahead = np.zeros((n, PIECE_BYTES))  # what the places so far give to the next ones
+        for lo in blocks:
+            prob = p[found if lo == 0 else found_at(lo)]
+            for at in range(lo, lo + prob.shape[1]):
+                ahead += prob[:, at - lo]
+                a[:, at + 1] = step = np.where(at < ends, ahead[:, 0], 1.0)
+                ahead[:, :-1] = ahead[:, 1:] / step[:, None]
+                ahead[:, -1] = 0
+        a = np.cumsum(np.log(a), axis=1)
+        b = np.zeros((n, wide + 1))
+        after = np.zeros((n, PIECE_BYTES))  # backward sums of the next places relative to the next one's
+        after[:, 0] = 1
+        for lo in reversed(blocks):
+            if len(blocks) > 1:
+                found = found_at(lo)
+            prob = p[found]
+            for at in range(lo + prob.shape[1] - 1, lo - 1, -1):
+                step = np.where(at < ends, (prob[:, at - lo] * after).sum(axis=1), 1.0)
+                b[:, at] = b[:, at + 1] + np.log(step)
+                after[:, 1:] = after[:, :-1] / step[:, None]
+                after[:, 0] = 1
+            row, at, k = np.nonzero(found >= 0)
+            piece = found[row, at, k]
+            use = np.exp(a[row, lo + at] + b[row, lo + at + k + 1] - a[row, -1]) * p[piece] * times[group][row]
+            out += np.bincount(piece, weights=use, minlength=pieces.size)
+    return out
 
 
 class LanguageModel:
@@ -203,7 +253,7 @@ def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """Learns from a bounded sample of the rows with a language whose crc32 of the number does not leave ``HELD_OUT``.
 
     Each language gives about ``SAMPLE_PER_LANGUAGE`` documents (fewer with very many languages: ``SAMPLE_TOTAL`` in all),
-    those whose hash is under a bound set by the language's count. Words over 64 bytes are left out of the fit.
+    those whose hash is under a bound set by the language's count. Words of any length count, so a text without spaces does too.
     """
     pieces_list = vocabulary_pieces(vocabulary)
     pieces = Pieces(pieces_list)
@@ -225,10 +275,9 @@ def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         h = word_hashes(data, starts, ends)
         _, first, times = np.unique(h, return_index=True, return_counts=True)
         s, n = starts[first], ends[first] - starts[first]
-        short = n <= 64
         p = np.full(pieces.size, 1.0 / pieces.size)
         for _ in range(rounds):
-            use = expected_pieces(data, s[short], n[short], times[short], pieces, p) + 0.05
+            use = expected_pieces(data, s, n, times, pieces, p) + 0.05
             p = use / use.sum()
         logs[:-1, i] = np.log(p)
     return LanguageModel(names, pieces, logs)
