@@ -302,6 +302,17 @@ def test_languages_without_spaces(spark):
     assert len(got) > 10 and all(got[i] == x for i, _, x in rows if i in got)
 
 
+def test_language_sample_is_never_empty(spark):
+    """The wanted number of rows by hash at any count, also of a number that repeats; and all pieces of the vocabulary."""
+    rows = [(i, "en", f"t{i}") for i in range(300)] + [(7, "de", f"s{i}") for i in range(50)] + [(9, "fr", "u")]
+    rows = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = language.sample_languages(rows, {"en": 300, "de": 50, "fr": 1}, 20).to_pandas()
+    assert got.lang.value_counts().to_dict() == {"en": 20, "de": 20, "fr": 1}
+    huge = language.sample_languages(rows, {"en": 10**12, "de": 10**12, "fr": 10**12}, 1).to_pandas()
+    assert sorted(huge.lang) == ["de", "en", "fr"]
+    assert {b" international", b" relationship"} <= set(language.vocabulary_pieces(language.default_vocabulary()))
+
+
 # 4: SimHash
 
 

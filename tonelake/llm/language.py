@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonelake.llm.texts import chunks, text_bytes, word_hashes, words
@@ -20,7 +20,6 @@ FOLDS, HELD_OUT = 4, 2
 SAMPLE_PER_LANGUAGE = 600
 SAMPLE_TOTAL = 12_000
 ROUNDS = 3
-PIECE_BYTES = 12
 UNKNOWN = "und"
 _TEXT_BYTES = 4_000_000
 _CACHE_WORDS = 400_000
@@ -36,7 +35,7 @@ def default_vocabulary() -> str:
 
 
 def vocabulary_pieces(path: str) -> list[bytes]:
-    """The vocabulary's lower-cased pieces of up to ``PIECE_BYTES`` bytes, each once, after the 256 single bytes.
+    """The vocabulary's lower-cased pieces, each once, after the 256 single bytes.
     A leading space mark is the byte 0x20."""
     import sentencepiece
 
@@ -46,7 +45,7 @@ def vocabulary_pieces(path: str) -> list[bytes]:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
             continue
         p = model.id_to_piece(i).lower().encode().replace(_MARK, b" ")
-        if p.strip(b" ") and b" " not in p[1:] and len(p) <= PIECE_BYTES:
+        if p.strip(b" ") and b" " not in p[1:]:
             found[p] = None
     return list(found)
 
@@ -63,9 +62,9 @@ class Pieces:
     """Looks up the pieces that start at each place of many words."""
 
     def __init__(self, pieces: list[bytes]):
-        self.size = len(pieces)
+        self.size, self.longest = len(pieces), max(map(len, pieces))
         self.tables = []
-        for n in range(1, PIECE_BYTES + 1):
+        for n in range(1, self.longest + 1):
             at = np.array([i for i, p in enumerate(pieces) if len(p) == n], np.int64)
             raw = np.frombuffer(b"".join(pieces[i] for i in at), np.uint8).reshape(-1, n)
             h = _hash(raw)
@@ -75,9 +74,9 @@ class Pieces:
     def find(self, letters: np.ndarray) -> np.ndarray:
         """For words as rows of bytes (0 after the end): piece that starts at [word, place] with each length, or -1."""
         n, width = letters.shape
-        out = np.full((n, width, PIECE_BYTES), -1, np.int32)
+        out = np.full((n, width, self.longest), -1, np.int32)
         h = np.zeros((n, width), np.uint64)
-        for k in range(1, min(PIECE_BYTES, width) + 1):
+        for k in range(1, min(self.longest, width) + 1):
             room = width - k + 1
             h = h[:, :room] * _BASE + letters[:, k - 1 :].astype(np.uint64) + np.uint64(1)
             hashes, ids = self.tables[k - 1]
@@ -142,24 +141,24 @@ def word_scores(data, starts, lens, pieces: Pieces, logs: np.ndarray) -> np.ndar
         n = int(lens[group[0]])
         letters = _letters(data, starts[group], n)
         wide = n + 1
-        forward = [np.ones((len(group), p.shape[1]))]  # the last PIECE_BYTES sums
+        forward = [np.ones((len(group), p.shape[1]))]  # the last sums, as many as the longest piece has bytes
         scale = np.zeros((len(group), p.shape[1]))
         found = pieces.find(letters) if wide <= 256 else None
         for end in range(1, wide + 1):
             total = np.zeros_like(forward[0])
             if found is None and (end - 1) % 256 == 0:
-                lo = max(0, end - PIECE_BYTES)
+                lo = max(0, end - pieces.longest)
                 local, base = pieces.find(letters[:, lo : end + 255]), lo
-            for k in range(1, min(PIECE_BYTES, end) + 1):
+            for k in range(1, min(pieces.longest, end) + 1):
                 at = end - k
                 ids = found[:, at, k - 1] if found is not None else local[:, at - base, k - 1]
                 if (ids >= 0).any():
                     total += forward[-k] * p[ids]
             forward.append(total)
-            if len(forward) > PIECE_BYTES:
+            if len(forward) > pieces.longest:
                 forward.pop(0)
             if end % 8 == 0:
-                top = np.maximum.reduce(forward)
+                top = forward[-1]  # by the newest, so it cannot vanish beside the oldest
                 forward = [f / top for f in forward]
                 scale += np.log(top)
         out[group] = np.log(forward[-1]) + scale
@@ -174,14 +173,14 @@ def expected_pieces(data, starts, lens, times: np.ndarray, pieces: Pieces, p: np
     """
     p = np.append(p, 0.0)
     out = np.zeros(pieces.size)
-    steps = np.arange(1, PIECE_BYTES + 1)
+    steps = np.arange(1, pieces.longest + 1)
     for group in _near_length(lens):
         letters, ends = _padded(data, starts[group], lens[group]), lens[group] + 1
         n, wide = letters.shape
 
         def found_at(lo):
             """Pieces that start at the places from ``lo`` on and end within their words."""
-            found = pieces.find(letters[:, lo : lo + _PLACES + PIECE_BYTES - 1])[:, :_PLACES]
+            found = pieces.find(letters[:, lo : lo + _PLACES + pieces.longest - 1])[:, :_PLACES]
             past = lo + np.arange(found.shape[1])[:, None] + steps > ends[:, None, None]
             found[past] = -1
             return found
@@ -189,7 +188,7 @@ def expected_pieces(data, starts, lens, times: np.ndarray, pieces: Pieces, p: np
         blocks = range(0, wide, _PLACES)
         found = found_at(0)
         a = np.ones((n, wide + 1))  # each forward sum relative to the one before
-        ahead = np.zeros((n, PIECE_BYTES))  # what the places so far give to the next ones
+        ahead = np.zeros((n, pieces.longest))  # what the places so far give to the next ones
         for lo in blocks:
             prob = p[found if lo == 0 else found_at(lo)]
             for at in range(lo, lo + prob.shape[1]):
@@ -199,7 +198,7 @@ def expected_pieces(data, starts, lens, times: np.ndarray, pieces: Pieces, p: np
                 ahead[:, -1] = 0
         a = np.cumsum(np.log(a), axis=1)
         b = np.zeros((n, wide + 1))
-        after = np.zeros((n, PIECE_BYTES))  # backward sums of the next places relative to the next one's
+        after = np.zeros((n, pieces.longest))  # backward sums of the next places relative to the next one's
         after[:, 0] = 1
         for lo in reversed(blocks):
             if len(blocks) > 1:
@@ -249,11 +248,37 @@ def _lowered(column) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(pc.utf8_lower(column))
 
 
+def sample_languages(rows: DataFrame, counts: dict[str, int], want: int) -> pa.Table:
+    """``lang`` and ``text`` of each language's ``want`` rows with the smallest hashes of the number, or all if there are fewer.
+
+    Only rows under a bound far above the last hash that is wanted are ranked; where that gives too few (numbers that
+    repeat a lot), the language is ranked whole.
+    """
+    spark = rows.sparkSession
+    rows = rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit("language"), "doc_id"), 1))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))
+
+    def smallest(bounds: dict[str, int]) -> pa.Table:
+        some = F.broadcast(spark.createDataFrame(list(bounds.items()), "of string, bound long"))  # one row per language
+        near = rows.join(some, (F.col("lang") == F.col("of")) & (F.col("draw") <= F.col("bound")))
+        return near.withColumn("nth", first).where(F.col("nth") <= want).select("lang", "text").toArrow()
+
+    top = (1 << 63) - 1
+    enough = want + 8 * want**0.5 + 20
+    found = smallest({name: min(top, int(top * min(1.0, enough / n))) for name, n in counts.items()})
+    got = {x["values"].as_py(): x["counts"].as_py() for x in found["lang"].value_counts()}
+    few = {name: top for name, n in counts.items() if got.get(name, 0) < min(want, n)}
+    if few:
+        whole = pc.invert(pc.is_in(found["lang"], pa.array(list(few), pa.string())))
+        found = pa.concat_tables([found.filter(whole), smallest(few)])
+    return found
+
+
 def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = ROUNDS) -> LanguageModel:
     """Learns from a bounded sample of the rows with a language whose crc32 of the number does not leave ``HELD_OUT``.
 
-    Each language gives about ``SAMPLE_PER_LANGUAGE`` documents (fewer with very many languages: ``SAMPLE_TOTAL`` in all),
-    those whose hash is under a bound set by the language's count. Words of any length count, so a text without spaces does too.
+    Each language gives ``SAMPLE_PER_LANGUAGE`` documents (fewer with very many languages: ``SAMPLE_TOTAL`` in all, but one
+    each), those of the smallest hashes of the number. Words of any length count, so a text without spaces does too.
     """
     pieces_list = vocabulary_pieces(vocabulary)
     pieces = Pieces(pieces_list)
@@ -262,12 +287,7 @@ def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     rows = rows.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT, F.lit(False)))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     names = sorted(counts)
-    want = min(SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL // max(1, len(names)))
-    picked = F.lit(False)
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_003))
-    for name in names:
-        picked = picked | ((F.col("lang") == name) & (draw < int(1_000_003 * min(1.0, want / counts[name]))))
-    sample = rows.where(picked).select("lang", "text").toArrow() if names else None
+    sample = sample_languages(rows, counts, max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL // max(1, len(names))))) if names else None
     logs = np.full((pieces.size + 1, len(names)), -np.inf)
     for i, name in enumerate(names):
         data, at = _lowered(sample["text"].filter(pc.equal(sample["lang"], name)))
