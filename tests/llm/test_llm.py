@@ -69,7 +69,7 @@ def test_words_and_window_hashes_tell_words_apart():
     starts, ends, before = texts.words(data, at)
     assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends)] == ["a", "bb", "ccc", "d", "e f", "g"]
     assert np.diff(before).tolist() == [3, 0, 0, 1, 2]
-    one, two, first = texts.window_hashes(texts.word_hashes(data, starts, ends), before, 2)
+    one, two, first = texts.window_hashes(tuple(texts.word_hashes(data, starts, ends, k) for k in (0, 1)), before, 2)
     assert first.tolist() == [0, 1, 4] and len(set(one)) == 3 and len(set(two)) == 3
 
 
@@ -633,3 +633,55 @@ def test_mixture_of_repeated_rows(spark):
     want = Counter((r.doc_id, r.source, r.taken) for r in mixed.collect() if r.taken)
     assert Counter((r.doc_id, r.source, len(split(r.text))) for r in corpus_pipeline.mixture(spark, docs, SF).collect()) == want
     assert sum(want.values()) > len(want)
+
+
+# Words of one polynomial hash
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_share_polynomial_hashes_stay_apart(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2**64, whatever the base."""
+    one, two = thue_morse(1024)
+    column = pa.array([f"{one} {two}", f"{two} x"])
+    ids, lens = encoder(VOCABULARY).encode(column)
+    assert ids.tolist() == reference_ids(f"{one} {two}") + reference_ids(f"{two} x") and lens.tolist() == [len(reference_ids(t)) for t in column.to_pylist()]
+    rest = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}")], "doc_id long, text string")
+    assert {r.n_removed for r in substrings.substring_dedup(docs).collect()} == {0}
+    # The same with words in place of letters, in windows that long.
+    left, right = (" ".join(w) for w in (one, two))
+    docs = spark.createDataFrame([(1, left), (2, right), (3, left)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substrings.substring_dedup(docs, size=1024).collect()}
+    assert got == {1: 0, 2: 0, 3: 1024}
+
+
+def test_words_whose_first_hash_is_shared_get_their_own_ids(monkeypatch):
+    from tonelake.llm import tokens
+
+    whole = tokens.word_hashes
+    monkeypatch.setattr(tokens, "word_hashes", lambda d, s, e, kind=0: whole(d, s, e, kind) % np.uint64(3 if kind == 0 else 1 << 63))
+    own = tokens.WordEncoder(VOCABULARY)
+    for texts_ in (["some plain words", "of a few texts"], ["words of other texts", "some more"]):
+        ids, _ = own.encode(pa.array(texts_))
+        assert ids.tolist() == sum((reference_ids(t) for t in texts_), [])
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 16, 17, 255, 256, 257, 300])
+def test_word_hashes_depend_on_every_byte(n):
+    rng = np.random.default_rng(n)
+    word = rng.integers(97, 123, n, np.uint8)
+    alone = texts.word_hashes(word, np.array([0]), np.array([n]))[0]
+    around = np.concatenate([np.full(3, 120, np.uint8), word, np.full(9, 121, np.uint8)])
+    assert texts.word_hashes(around, np.array([3]), np.array([3 + n]))[0] == alone
+    seen = {int(alone)}
+    for i in range(n):
+        other = word.copy()
+        other[i] ^= 1
+        seen.add(int(texts.word_hashes(other, np.array([0]), np.array([n]))[0]))
+    assert len(seen) == n + 1

@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.llm.store import written
 from tonelake.llm.texts import chunks, lower, mixed, text_bytes, word_hashes, words
 
 DIMENSIONS = 48
@@ -19,7 +20,8 @@ NEIGHBOURS = 15
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 _TEXT_BYTES = 4_000_000
-_BLOCK = 512  # documents whose products are made at once
+SAMPLE_CELLS = 10_000_000  # terms of all sampled texts together that are learned from
+_BLOCK = 64  # documents whose terms stand in one dense block
 
 #: Character classes: capitals, other letters, digits; any other byte is its own class.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -148,11 +150,21 @@ class NeighbourVote:
         return np.clip(out, 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = SAMPLE_PER_LABEL) -> NeighbourVote:
-    """Learns from a bounded sample: up to ``per_label`` documents of each label, the first by a hash of their number.
-
-    A number with several labels counts with the lowest; rows without number or label are left out. Rows whose
-    crc32 of the number leaves ``HELD_OUT`` modulo ``FOLDS`` are never learned from.
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    per_label: int = SAMPLE_PER_LABEL,
+    max_cells: int = SAMPLE_CELLS,
+) -> NeighbourVote:
+    """Learns from a bounded sample: up to ``per_label`` documents of each label, the first by a hash of their number,
+    and of these, in that order, as many as have ``max_cells`` terms (one at least).
+
+    A number with several labels counts with the lowest, one with several texts with that of the smallest hash, then the
+    smallest; rows without number or label are left out. Rows whose crc32 of the number leaves ``HELD_OUT`` modulo
+    ``FOLDS`` are never learned from.
     """
     clean = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).dropna()
     clean = clean.where(F.col("label").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT))
@@ -161,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = [clean.where(F.col("label") == v).orderBy(rank, "doc_id").limit(per_label) for v in (0, 1)]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * per_label rows of two numbers
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).join(picked, "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
 
     def weigh(batches):
         for c in chunks(batches, _TEXT_BYTES):
@@ -179,8 +192,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     }
                 )
 
-    found = rows.mapInArrow(weigh, "doc_id long, label int, terms array<int>, weights array<float>").dropDuplicates(["doc_id"]).toArrow()
-    found = found.sort_by("doc_id").combine_chunks()
+    found = written(rows.mapInArrow(weigh, "doc_id long, label int, terms array<int>, weights array<float>"), "quality-terms")
+    sizes = found.select("doc_id", F.size("terms").alias("n")).orderBy(rank, "doc_id").collect()  # 2 * per_label rows
+    whole = np.cumsum([r["n"] for r in sizes]) <= max_cells
+    if len(whole) and not whole.all():
+        found = found.where(F.col("doc_id").isin([r["doc_id"] for r, ok in zip(sizes, whole) if ok] or [sizes[0]["doc_id"]]))
+    found = found.toArrow().sort_by("doc_id").combine_chunks()
     at = np.concatenate([[0], np.cumsum(pc.list_value_length(found["terms"]).to_numpy())]).astype(np.int64)
     term, weight = (pc.list_flatten(found[c]).to_numpy() for c in ("terms", "weights"))
     return NeighbourVote(SparseRows(at, term, weight), found["label"].to_numpy().astype(np.int64))
@@ -189,24 +206,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_documents(docs: DataFrame, model: NeighbourVote, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row, from its text alone, and its columns ``keep``.
 
-    Null, empty and blank texts get the labelled share of label 1. Every document's products with all
+    Null, empty and blank texts get the share of label 1 in the sample learned from. Every document's products with all
     labelled vectors are made, in blocks. The model (two labels' samples of ``DIMENSIONS`` numbers and the projection,
     about 5 MB) goes to every task. Null numbers give a null ``held_out``; repeated rows get equal scores;
     further columns are ignored, unless named in ``keep``; an empty table gives an empty one.
     """
     names = [f"_keep{i}" for i in range(len(keep))]
-    rows = docs.select(
-        docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c].alias(n) for c, n in zip(keep, names)]
-    )
+    sent = {n: "text" if c == text_col and dict(docs.dtypes)[c] == "string" else n for c, n in zip(keep, names)}  # the text goes once
+    kept = [docs[c].alias(n) for c, n in zip(keep, names) if sent[n] == n]
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *kept)
+    schema = docs.select(docs[id_col].cast("long").alias("doc_id"), *[docs[c].alias(n) for c, n in zip(keep, names)]).schema.add("score", "double")
 
     def score(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, _BLOCK):
-                b = batch.slice(lo, _BLOCK)
-                s = model.scores(term_weights(b["text"]))
-                yield pa.RecordBatch.from_arrays([b["doc_id"], *[b[n] for n in names], pa.array(s, pa.float64())], names=["doc_id", *names, "score"])
+        for t in chunks(batches, _TEXT_BYTES):
+            s = np.concatenate([model.scores(term_weights(t["text"].slice(lo, _BLOCK))) for lo in range(0, t.num_rows, _BLOCK)])
+            yield pa.RecordBatch.from_pydict({"doc_id": t["doc_id"].combine_chunks(), **{n: t[c].combine_chunks() for n, c in sent.items()}, "score": pa.array(s)})
 
-    out = rows.mapInArrow(score, rows.drop("text").schema.add("score", "double"))
+    out = rows.mapInArrow(score, schema)
     return out.select(
         "doc_id",
         *[F.col(n).alias(c) for c, n in zip(keep, names) if c != "doc_id"],

@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from tonelake.llm.texts import chunks, text_bytes, window_hashes, word_hashes, words
+from tonelake.llm.texts import chunks, mixed, text_bytes, window_hashes, word_hashes, words
+from tonelake.llm.worker import release
 
 WINDOW = 13
 BUCKET_BYTES = 4_000_000  # text whose windows make one bucket
 _TEXT_BYTES = 4_000_000
 _HASH_BYTES = 7
+_BOTH = np.uint64(0xFF51AFD7ED558CCD)
 
 #: A packed row: windows of many documents in one bucket (or words to remove, in one group of documents).
 _PACKED = "bucket long, docs binary, marks binary, counts binary, places binary, hashes binary"
@@ -91,10 +93,17 @@ def _covered(places: np.ndarray, n: int, size: int) -> np.ndarray:
 
 
 def substring_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, keep: tuple[str, ...] = (), bucket_bytes: int = BUCKET_BYTES
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = WINDOW,
+    keep: tuple[str, ...] = (),
+    whole: bool = False,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """One row per document: number, the ``keep`` columns, ``n_words``, ``n_removed``, ``removed`` (the maximal
-    intervals of removed words, as start, end, start, end ...) and ``kept_text`` (kept words joined by one space).
+    intervals of removed words, as start, end, start, end ...) and ``kept_text`` (kept words joined by one space; with
+    ``whole`` the text of a document that loses nothing stays as it is, a null one null).
 
     * A null text has no words; texts under ``size`` words have no windows and stay.
     * Of equal passages only those of the smallest number stay, also where that document is repeated: rows with
@@ -120,18 +129,22 @@ def substring_dedup(
             t = t.take(pc.sort_indices(t, [("doc", "ascending")])).combine_chunks()
             data, at = text_bytes(t["text"])
             starts, ends, before = words(data, at)
-            one, two, first = window_hashes(word_hashes(data, starts, ends), before, size)
+            hashes = tuple(word_hashes(data, starts, ends, kind) for kind in (0, 1))
+            one, two, first = window_hashes(hashes, before, size)
+            del data, starts, ends, hashes
             if not len(first):
                 continue
             row = np.searchsorted(before, first, side="right") - 1
             doc_of, mark_of = t["doc"].to_numpy(), t["mark"].to_numpy().astype(np.int64)
             place, doc = first - before[row], doc_of[row]
             order = np.argsort(one, kind="stable")  # rows ascend, so the smallest document leads each run
-            h = one[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
+            h, h2 = one[order], two[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
+            one = mixed(one + two * _BOTH)  # tells a window apart even where one of the hashes is shared
             lead = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
             settled = np.zeros(len(h), bool)
             settled[order] = lead != doc[order]
+            del h, h2, new, lead, order
             out = []
             go = np.flatnonzero(~settled)
             bucket = (two[go] % np.uint64(buckets)).astype(np.int64)
@@ -139,12 +152,14 @@ def substring_dedup(
             go = go[by]
             low = one[go].astype("<u8").view(np.uint8).reshape(-1, 8)
             out += _rows(bucket[by], doc[go], mark_of[row[go]], place[go], low)
+            del one, two, first, low, go, by, bucket
             done = np.flatnonzero(settled)
             if len(done):
                 m = mark_of[row[done]]
                 g = _group(doc[done], m, buckets)
                 by = np.argsort(g, kind="stable")
                 out += _rows(g[by], doc[done][by], m[by], place[done][by])
+            del row, doc, place, settled, done
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
     def match(table: pa.Table) -> pa.Table:
@@ -199,7 +214,9 @@ def substring_dedup(
             n_words.append(len(ws))
             n_removed.append(len(ws) - len(ws_kept))
             removed.append(spans)
-            kept.append(b" ".join(ws_kept).decode())
+            kept.append(text_ if whole and not spans else b" ".join(ws_kept).decode())
+        del gone
+        release()
         out = {"_id": left["_id"], **{n: left[n] for n in names}}
         out["n_words"] = pa.array(n_words, pa.int64())
         out["n_removed"] = pa.array(n_removed, pa.int64())

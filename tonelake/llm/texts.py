@@ -10,6 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+
+from tonelake.llm.worker import release
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,7 +22,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_WORD_ODDS = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F))
 _WINDOW_BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+_SLICE = 1 << 16  # words hashed at once
+_LONG = 256  # bytes; longer words are hashed one by one
+_SPAN = 32  # words under one polynomial
+_EIGHTS = (np.uint64(2) ** (np.arange(9, dtype=np.uint64) * np.uint64(8) % np.uint64(64))) - np.uint64(1)
+_EIGHTS[8] = np.uint64((1 << 64) - 1)  # the first n of eight bytes
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -77,30 +86,59 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Polynomial hash of values[starts:ends] for every pair, from one running sum."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
+    """64-bit hash of every word's bytes, eight at a time, all bits mixed after each eight; ``kind`` 0 and 1 are independent."""
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    odd = _WORD_ODDS[kind]
+    out = np.empty(len(starts), np.uint64)
+    for lo in range(0, len(starts), _SLICE):
+        at, size = starts[lo : lo + _SLICE], ends[lo : lo + _SLICE] - starts[lo : lo + _SLICE]
+        h = mixed(size.astype(np.uint64) + odd)
+        h = mixed(h ^ (eights[at] & _EIGHTS[np.minimum(size, 8)]) * odd)
+        on = np.flatnonzero((size > 8) & (size <= _LONG))
+        for k in range(8, _LONG, 8):
+            if not len(on):
+                break
+            h[on] = mixed(h[on] ^ (eights[at[on] + k] & _EIGHTS[np.minimum(size[on] - k, 8)]) * odd)
+            on = on[size[on] > k + 8]
+        for i in np.flatnonzero(size > _LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(data[at[i] : at[i] + size[i]].tobytes(), int(odd))
+        out[lo : lo + _SLICE] = h
+    return out
+
+
+def _runs(values: np.ndarray, first: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
+    """Polynomial hash of ``size`` values from each place, from one running sum."""
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * powers(base, len(values)), out=total[1:])
-    return (total[ends] - total[starts]) * powers(inverse(base), len(values) + 1)[starts]
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word's bytes."""
-    h = _runs(data.astype(np.uint64) + np.uint64(1), starts, ends, _ODD)
-    return mixed(h + (ends - starts).astype(np.uint64))
+    return (total[first + size] - total[first]) * powers(inverse(base), len(values) + 1)[first]
+
+
+def _windows(hashes: np.ndarray, first: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
+    """Rabin-Karp hash of ``size`` words from each place. A running sum modulo 2**64 has known collisions over very
+    long spans, so one covers ``_SPAN`` words at most and a longer window is a chain of them (the last two may overlap)."""
+    if size <= _SPAN:
+        return mixed(_runs(hashes, first, size, base))
+    spans = np.zeros(len(hashes), np.uint64)
+    places = np.arange(len(hashes) - _SPAN + 1)
+    spans[: len(places)] = mixed(_runs(hashes, places, _SPAN, base))
+    h = spans[first]
+    for off in [*range(_SPAN, size - _SPAN, _SPAN), size - _SPAN]:
+        h = mixed(h * base + spans[first + off])
+    return h
 
 
-def window_hashes(hashes: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_hashes(hashes: tuple[np.ndarray, np.ndarray], before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rabin-Karp hashes of every ``size`` consecutive words of one row: two independent
-    hashes, and the index of each window's first word."""
-    n = len(hashes)
+    hashes (one of each kind of word hash), and the index of each window's first word."""
+    n = len(hashes[0])
     ok = np.zeros(n + 1, np.int8)
     lens = np.diff(before)
     some = lens >= size
     np.add.at(ok, before[:-1][some], 1)
     np.add.at(ok, (before[1:] - size + 1)[some], -1)
     first = np.flatnonzero(np.cumsum(ok[:-1], dtype=np.int8))
-    return (*(mixed(_runs(hashes, first, first + size, b)) for b in _WINDOW_BASES), first)
+    return (*(_windows(h, first, size, b) for h, b in zip(hashes, _WINDOW_BASES)), first)
 
 
 def chunks(batches, byte_size: int, column: str = "text") -> Iterator[pa.Table]:
@@ -125,9 +163,11 @@ def chunks(batches, byte_size: int, column: str = "text") -> Iterator[pa.Table]:
                 held, size = [], 0
                 yield out
                 del out
-                pa.default_memory_pool().release_unused()
+                release()
     if held:
         yield pa.concat_tables(held).combine_chunks()
+        held = []
+        release()
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

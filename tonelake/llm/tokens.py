@@ -3,6 +3,7 @@
 ``word_bpe_49k.json`` never joins characters across white space, so a text's
 ids are its words' ids in a row. A worker keeps the ids of the words it has
 met, by 64-bit hash (a bounded memory), and asks the library only for new ones.
+A second, independent hash is compared on every hit: words of one hash never share ids.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ class WordEncoder:
 
     def _clear(self) -> None:
         # Hashes of known words in two sorted tables, a large one and what came since; where their ids are.
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.tables = [none, none]
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
@@ -83,30 +84,33 @@ class WordEncoder:
         self.used = need
         return starts, lens
 
-    def _remember(self, h: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
+    def _remember(self, *found: np.ndarray) -> None:
         def joined(a, b):
             rows = [np.concatenate(x) for x in zip(a, b)]
             order = np.argsort(rows[0], kind="stable")
             return tuple(x[order] for x in rows)
 
         large, recent = self.tables
-        recent = joined(recent, (h, starts, lens))
+        recent = joined(recent, found)
         if len(recent[0]) > CACHE_RECENT:
             large, recent = joined(large, recent), tuple(x[:0] for x in recent)
         self.tables = [large, recent]
 
-    def _words(self, h: np.ndarray, spell) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of distinct words start and how many they are; ``spell(i)`` gives the words themselves."""
-        starts, lens = np.empty(len(h), np.int64), np.full(len(h), -1)
-        for known, s, n in self.tables:
+    def _words(self, h: np.ndarray, check: np.ndarray, spell) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of words start and how many they are; ``h`` is without repeats, ``spell(i)`` gives the words themselves."""
+        starts, lens, other = np.empty(len(h), np.int64), np.full(len(h), -1), np.zeros(len(h), bool)
+        for known, checks, s, n in self.tables:
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 hit = known[at] == h
-                starts[hit], lens[hit] = s[at[hit]], n[at[hit]]
+                same = hit & (checks[at] == check)
+                other |= hit & ~same
+                starts[same], lens[same] = s[at[same]], n[at[same]]
         new = np.flatnonzero(lens < 0)
         if len(new):
             starts[new], lens[new] = self._learn(spell(new))
-            self._remember(h[new], starts[new], lens[new])
+            new = new[~other[new]]  # another word already has the hash: this one is asked for each time
+            self._remember(h[new], check[new], starts[new], lens[new])
         return starts, lens
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
@@ -117,14 +121,17 @@ class WordEncoder:
         data, at = text_bytes(column)
         first, last, before = words(data, at)
         h, one, back = np.unique(word_hashes(data, first, last), return_index=True, return_inverse=True)
-        raw = data.tobytes()
+        check = word_hashes(data, first, last, 1)
 
         def spell(new):
-            return [raw[a:b].decode() for a, b in zip(first[one[new]].tolist(), last[one[new]].tolist())]
-
-        starts, lens = self._words(h, spell)
-        lens = lens[back]
-        ids = self.flat[ragged(starts[back], lens)]
+            return [data[a:b].tobytes().decode() for a, b in zip(first[new].tolist(), last[new].tolist())]
+
+        starts, lens = self._words(h, check[one], lambda new: spell(one[new]))
+        odd = np.flatnonzero(check != check[one][back])  # words whose hash another word of the batch has
+        starts, lens = starts[back], lens[back]
+        if len(odd):
+            starts[odd], lens[odd] = self._learn(spell(odd))
+        ids = self.flat[ragged(starts, lens)]
         ends = np.concatenate([[0], np.cumsum(lens)])[before[1:]]
         return np.insert(ids, ends, END).astype(np.uint32, copy=False), np.diff(ends, prepend=0) + 1
 
