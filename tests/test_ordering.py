@@ -81,6 +81,41 @@ def test_exact_quantiles_without_keys(spark):
         assert (r["m"], round(r["q"], 9)) == (500.0, 333.0)
 
 
+@pytest.mark.parametrize("moments", [False, True])
+def test_quantiles_selected_in_rounds(spark, moments):
+    """Groups too large to sort: hot, tied, of both signs, over many powers, with ends at infinity."""
+    rng = np.random.default_rng(5)
+    powers = 2.0 ** rng.integers(-1000, 1000, 3000)
+    groups = {
+        "normal": rng.standard_normal(5000),
+        "ties": np.round(rng.exponential(3, 5000)),
+        "powers": powers * np.where(rng.random(3000) < 0.5, -1, 1),
+        "small": powers[:1000] * 1e-8,
+        "down": -np.abs(rng.standard_cauchy(3000)),
+        "same": np.full(2000, -2.5),
+        "few": rng.standard_normal(30),
+        None: np.concatenate([rng.standard_normal(3000), [np.inf, -np.inf]]),
+    }
+    rows = [(k, float(x)) for k, v in groups.items() for x in v]
+    probs = [0.0, 0.1, 0.5, 0.75, 1.0]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = exact_quantiles(df, ["k"], "v", probs, list("abcde"), 20, moments=moments, row_bound=10)
+    got = {r["k"]: r for r in got.collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        r = got[k]
+        want = np.sort(v)
+        for p, name in zip(probs, "abcde"):
+            at = (len(v) - 1) * p
+            lo, hi = want[int(np.floor(at))], want[int(np.ceil(at))]
+            assert r[name] == lo or abs(r[name] - (lo + (hi - lo) * (at - np.floor(at)))) <= 1e-12 * abs(hi)
+        assert r["n"] == len(v)
+        if moments and k in ("normal", "ties", "few"):
+            assert abs(r["mean"] - v.mean()) < 1e-9 and abs(r["std"] - v.std(ddof=1)) < 1e-9 and r["max"] == v.max()
+    alone = exact_quantiles(df.where("k = 'normal'").select("v"), [], "v", [0.25], ["q"], 20, moments=moments, row_bound=10).first()
+    assert abs(alone["q"] - np.quantile(groups["normal"], 0.25)) < 1e-12
+
+
 def test_nearest_unit_matches_pairs(spark):
     rng = np.random.default_rng(3)
     n = 300

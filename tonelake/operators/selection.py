@@ -15,6 +15,7 @@ from tonelake.operators.classify import lda_model, lda_weights, predict_by_fold,
 from tonelake.operators.evaluate import class_metrics_11, overall_scores
 from tonelake.operators.frames import standardize, unpivot_features
 from tonelake.operators.moments import Moments, grouped_moments, total
+from tonelake.operators.subsets import best_subsets
 from tonelake.session import checkpoint
 
 
@@ -153,10 +154,14 @@ def subset_table(spark: SparkSession, every: Moments, ones: Moments, feats: list
     return _search(spark, every.scatter, xy, yy, every.n, feats, nbest, nvmax)
 
 
+EVERY = 14  # features of which all subsets are listed
+
+
 def _search(spark, xx, xy, yy, n, feats, nbest, nvmax) -> DataFrame:
-    """Every subset of the features, searched by all tasks from the same small moments.
+    """The best subsets of the features, searched by all tasks from the same small moments.
 
-    A task keeps its ``nbest`` per size, which hold the overall best.
+    Up to ``EVERY`` features all subsets are listed; beyond, branch and bound finds those that can be among the ``nbest``
+    of their size. A task keeps its ``nbest`` per size, which hold the overall best.
     """
     d = len(feats)
     # Unit-variance features keep the solves well conditioned; RSS does not depend on it.
@@ -182,7 +187,11 @@ def _search(spark, xx, xy, yy, n, feats, nbest, nvmax) -> DataFrame:
         rows = [(int(m), s, float(r)) for s, found in best.items() for r, m in found]
         yield pd.DataFrame(rows, columns=["cand_id", "size", "rss"])
 
-    found = spark.range(1, 2**d).mapInPandas(scan, "cand_id long, size int, rss double")
+    if d <= EVERY:
+        masks = spark.range(1, 2**d)
+    else:
+        masks = best_subsets(spark, xx, xy, yy, nbest, nvmax).select(F.col("mask").alias("id"))
+    found = masks.mapInPandas(scan, "cand_id long, size int, rss double")
     w = Window.partitionBy("size").orderBy("rss", "cand_id")
     names = F.array(*[F.lit(f) for f in feats])
     inside = F.filter(names, lambda x, i: F.expr("cand_id").bitwiseAND(F.pow(F.lit(2.0), i).cast("long")) != 0)
@@ -212,7 +221,7 @@ def subset_cp(df: DataFrame, label: str, feats: Sequence[str], nbest: int = 60,
     """Mallows' Cp of the ``nbest`` feature subsets of every size, over all subsets.
 
     The label enters as its code 1..K. The rows are read once, for their
-    moments; the 2^d subsets are shared out over the tasks.
+    moments; the search is shared out over the tasks (see ``subsets``).
     """
     feats = list(feats)
     parts = {k[0]: m for k, m in grouped_moments(df, [label], feats).items()}

@@ -159,8 +159,8 @@ def _(spark, sf):
 
 @query("sequential_one_vs_rest")
 def _(spark, sf):
-    # Every stage searches all 2**d subsets of the features: 8 of them are 256 fits, all 64 could not be listed.
-    return ops.sequential_one_vs_rest(tb.vectors(spark, sf, 8), "label", tb.xs(8))
+    # Every class searches the best subsets of 30 features.
+    return ops.sequential_one_vs_rest(tb.vectors(spark, sf, 30), "label", tb.xs(30))
 
 
 FOLDED = (

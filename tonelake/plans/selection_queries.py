@@ -12,7 +12,7 @@ from tonelake.plans import tables as tb
 from tonelake.plans.registry import query
 from tonelake.plans.stats_queries import LONG, _rounded
 
-VEC = 8  # leading dimensions used as features of an embedding
+VEC = 30  # leading dimensions used as features of an embedding
 D3 = ["price", "discount", "tax"]
 
 
@@ -75,7 +75,7 @@ def _(spark, sf):
 
 @query("rfe")
 def _(spark, sf):
-    return ops.rfe(tb.vectors(spark, sf, 16), "label", tb.xs(16), keep=8)
+    return ops.rfe(tb.vectors(spark, sf, 64), "label", tb.xs(64), keep=8)
 
 
 # Cp of all subsets of three features, from correlations in closed form.
@@ -113,6 +113,13 @@ def _(spark, sf):
     return _rounded(ops.selection_frequency(cands), ["percent"])
 
 
+@query("subset_cp_wide")
+def _(spark, sf):
+    """The 60 best subsets of every size of 30 features, by branch and bound."""
+    out = ops.subset_cp(tb.vectors(spark, sf, VEC), "label", tb.xs(VEC)).withColumn("features", F.concat_ws(",", "features"))
+    return _rounded(out, ["rss", "cp"], 4)
+
+
 def _cands(spark, sf):
     v = tb.vectors(spark, sf, VEC)
     return v, ops.subset_cp(v, "label", tb.xs(VEC), nbest=10)
@@ -200,7 +207,7 @@ def _(spark, sf):
 
 @query("lda_coefficients")
 def _(spark, sf):
-    return ops.lda_coefficients(tb.vectors(spark, sf, VEC), "label", tb.xs(VEC))
+    return ops.lda_coefficients(tb.vectors(spark, sf, 64), "label", tb.xs(64))
 
 
 @query("lda_coefficients_scaled")
