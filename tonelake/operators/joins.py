@@ -1,7 +1,9 @@
 """Equi-joins, interval joins and nearest-unit joins.
 
-Interval joins always carry a time-slot key beside the file, so one long file
-is spread over many tasks. An interval is copied to the slots it touches.
+Interval joins always carry a time bin beside the file, so one long file is spread over many tasks. Bins are dyadic: those
+of level L are 2**L slots long. An interval of a few slots stands in each of them (level 0); a longer one stands at the
+level whose bins are as long as it, so in two bins at most. A point asks one bin of every level that some interval has: with
+short intervals alone that is its slot, and a long interval costs its two rows and one more question per point.
 """
 
 from __future__ import annotations
@@ -21,11 +23,36 @@ def _slot(t: Column | str, width: float) -> Column:
     return F.floor(t / F.lit(float(width))).cast("long")
 
 
-def _slots(lo: str, hi: str, width: float) -> Column:
-    """Every slot an interval touches; none for an interval that ends before it starts."""
-    return F.explode(
-        F.when(F.col(hi) >= F.col(lo), F.sequence(_slot(lo, width), _slot(hi, width)))
-    )
+NARROW = 4  # slots that an interval may touch at level 0
+
+
+def _level(lo: str, hi: str, width: float) -> Column:
+    """The level of an interval: 0, or that of the shortest bins that are as long as it."""
+    touched = _slot(hi, width) - _slot(lo, width) + 1
+    return F.when(touched <= NARROW, F.lit(0)).otherwise(F.length(F.bin(touched - 1))).cast("int")
+
+
+def _bins(lo: str, hi: str, width: float) -> Column:
+    """Level and number of every bin an interval stands in; none for one that ends before it starts."""
+    level = _level(lo, hi, width)
+    size = F.pow(F.lit(2.0), level).cast("long")
+    numbers = F.sequence(F.floor(_slot(lo, width) / size), F.floor(_slot(hi, width) / size))
+    places = F.transform(numbers, lambda n: F.struct(level.alias("_level"), n.cast("long").alias("_bin")))
+    return F.inline(F.when(F.col(hi) >= F.col(lo), places))
+
+
+def interval_levels(intervals: DataFrame, lo: str, hi: str, width: float) -> list[int]:
+    """The levels that some interval has (64 at most)."""
+    used = intervals.where(F.col(hi) >= F.col(lo)).select(_level(lo, hi, width).alias("l")).distinct()
+    return sorted(r["l"] for r in used.collect()) or [0]
+
+
+def _asked(points: DataFrame, t: str, width: float, levels: Sequence[int]) -> DataFrame:
+    """Every point with the bins it asks."""
+    if list(levels) == [0]:
+        return points.withColumn("_level", F.lit(0)).withColumn("_bin", _slot(t, width))
+    asks = [F.struct(F.lit(n).alias("_level"), F.floor(_slot(t, width) / F.lit(1 << n)).cast("long").alias("_bin")) for n in levels]
+    return points.select("*", F.inline(F.array(*asks)))
 
 
 def merge_inner(a: DataFrame, b: DataFrame, on="id") -> DataFrame:
@@ -77,17 +104,18 @@ def unit_frames(
     """Each unit's frames (closed interval of its first boundary row).
 
     A unit without boundary or without frames stays, with NULL frame columns.
-    Frames are shuffled once, by file and slot; the units with none are added
+    Frames are shuffled once, by file and bin; the units with none are added
     from the keys alone, so a unit with very many frames never fills one task.
     """
     keys = ["file", "n_ut"]
     first = bounds.groupBy(*keys).agg(F.min_by(F.struct("iu_start", "iu_end"), order_col).alias("_w"))
     placed = units.join(first, keys, "left").select(*units.columns, "_w.iu_start", "_w.iu_end")
-    spans = placed.select("*", _slots("iu_start", "iu_end", width).alias("_slot"))
+    levels = interval_levels(first.select("_w.*"), "iu_start", "iu_end", width)
+    spans = placed.select("*", _bins("iu_start", "iu_end", width))
     extra = [c for c in frames.columns if c != "file"]
 
     def inside(fr: DataFrame) -> DataFrame:
-        return spans.join(fr.withColumn("_slot", _slot("t", width)), ["file", "_slot"]).filter(
+        return spans.join(_asked(fr, "t", width, levels), ["file", "_level", "_bin"]).filter(
             F.col("t").between(F.col("iu_start"), F.col("iu_end"))
         )
 
@@ -103,23 +131,26 @@ def tag_frames(
 ) -> DataFrame:
     """Every frame with the unit around it; on overlap the last unit in table order wins.
 
-    The grouping extends the join key, so it needs no further shuffle.
+    With units of one level the grouping extends the join key, so it needs no further shuffle.
     """
+    levels = interval_levels(units, "start_t", "end_t", width)
     spans = units.select(
-        "file", _slots("start_t", "end_t", width).alias("_slot"),
+        "file", _bins("start_t", "end_t", width),
         F.col("start_t").alias("_s"), F.col("end_t").alias("_e"), F.col(order_col).alias("_o"),
         F.struct(*cols).alias("_u"),
     )
-    left = frames.withColumn("_slot", _slot("t", width))
+    left = _asked(frames, "t", width, levels)
     cond = (
         (F.col("f.file") == F.col("s.file"))
-        & (F.col("f._slot") == F.col("s._slot"))
+        & (F.col("f._level") == F.col("s._level"))
+        & (F.col("f._bin") == F.col("s._bin"))
         & F.col("f.t").between(F.col("s._s"), F.col("s._e"))
     )
     rest = [c for c in frames.columns if c not in ("file", "frame_idx")]
+    together = ["f._level", "f._bin"] if len(levels) == 1 else []
     tagged = (
         left.alias("f").join(spans.alias("s"), cond, "left")
-        .groupBy("f.file", "f._slot", "f.frame_idx")
+        .groupBy("f.file", *together, "f.frame_idx")
         .agg(
             F.any_value(F.struct(*[F.col(f"f.{c}") for c in rest])).alias("_f"),
             F.max_by(F.col("s._u"), F.col("s._o")).alias("_u"),
@@ -132,20 +163,20 @@ def tag_frames(
 
 def contained_in(
     children: DataFrame, parents: DataFrame, start: str, end: str, p_start: str, p_end: str,
-    width: float = SLOT, how: str = "inner",
+    width: float = SLOT,
 ) -> DataFrame:
     """Join children to the parents of the same file that fully contain them."""
-    p = parents.select(
-        "file", _slots(p_start, p_end, width).alias("_slot"), *[c for c in parents.columns if c != "file"]
-    ).alias("p")
-    c = children.withColumn("_slot", _slot(start, width)).alias("c")
+    levels = interval_levels(parents, p_start, p_end, width)
+    p = parents.select("file", _bins(p_start, p_end, width), *[c for c in parents.columns if c != "file"]).alias("p")
+    c = _asked(children, start, width, levels).alias("c")
     cond = (
         (F.col("c.file") == F.col("p.file"))
-        & (F.col("c._slot") == F.col("p._slot"))
+        & (F.col("c._level") == F.col("p._level"))
+        & (F.col("c._bin") == F.col("p._bin"))
         & (F.col(f"c.{start}") >= F.col(f"p.{p_start}"))
         & (F.col(f"c.{end}") <= F.col(f"p.{p_end}"))
     )
-    joined = c.join(p, cond, how)
+    joined = c.join(p, cond)
     return joined.select(
         *[F.col(f"c.{x}") for x in children.columns], *[F.col(f"p.{x}") for x in parents.columns if x != "file"]
     )

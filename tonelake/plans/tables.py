@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tonelake.operators.ordering import number_rows, running_sum, with_slots
+from tonelake.session import checkpoint
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -217,6 +218,7 @@ SCORES_SQL = (
 
 
 def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tiers, derived once and kept: every use reads the same table."""
     conv = table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("conv"), "conv_id").alias("file"), "turn", "role", "text",
         (F.length("text") + 1).alias("len"),
@@ -235,9 +237,8 @@ def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = words.withColumn(
         "at", F.col("base") + F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))
     )
-    spans = words.groupBy("file", "turn", "s", "pause").agg(
-        F.min("at").alias("at"), F.max(F.col("at") + F.length("text")).alias("stop")
-    )
+    sentence = Window.partitionBy("file", "turn", "s")
+    words = words.withColumn("stop", F.max(F.col("at") + F.length("text")).over(sentence))
 
     def item(tier, idx, lo, hi, text):
         return F.struct(
@@ -245,32 +246,23 @@ def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
             hi.cast("double").alias("end_t"), text.cast("string").alias("text"),
         )
 
-    at, n = F.col("at"), F.length("text")
     utt = turns.select(
         "file",
         item("Trans", F.col("turn"), F.col("base"), F.col("base") + F.col("len") - 1, F.col("role")).alias("r"),
     )
-    unit = spans.select(
-        "file", item("UTtag", at, at, F.col("stop"), F.when(F.col("pause"), "pp").otherwise("COM")).alias("r")
-    )
-    words = words.select("file", "at", n.alias("n"), "text")
-    at, n, long = F.col("at"), F.col("n"), F.col("n") > 4
-    w_idx = at  # no two words of a file start at one place, however long it is
-    # One branch per tier: a filter on the tier leaves only its own branch in the plan.
-    marks = [
-        words.select("file", item("Sil", w_idx, at, at + n, F.col("text")).alias("r")),
-        words.filter(F.contains("text", F.lit("an"))).select(
-            "file", item("duv", w_idx, at, at + n, F.lower("text")).alias("r")
-        ),
-        words.select("file", item("Zsil", w_idx, at, at + n, n).alias("r")),
-        words.filter(long).select("file", item("Msil", w_idx, at, at + n, n * 2).alias("r")),
-        words.filter(long).select("file", item("Vsil", w_idx * 2, at, at + 1, F.lit(1)).alias("r")),
-        words.filter(long).select("file", item("Vsil", w_idx * 2 + 1, at + 1, at + n, n - 1).alias("r")),
+    at, n, long = F.col("at"), F.length("text"), F.length("text") > 4
+    # No two words of a file start at one place, however long it is. A sentence's unit comes with its first word.
+    items = [
+        F.when(F.col("w") == 0, item("UTtag", at, at, F.col("stop"), F.when(F.col("pause"), "pp").otherwise("COM"))),
+        item("Sil", at, at, at + n, F.col("text")),
+        F.when(F.contains("text", F.lit("an")), item("duv", at, at, at + n, F.lower("text"))),
+        item("Zsil", at, at, at + n, n),
+        F.when(long, item("Msil", at, at, at + n, n * 2)),
+        F.when(long, item("Vsil", at * 2, at, at + 1, F.lit(1))),
+        F.when(long, item("Vsil", at * 2 + 1, at + 1, at + n, n - 1)),
     ]
-    out = utt.unionByName(unit)
-    for m in marks:
-        out = out.unionByName(m)
-    return out.select("file", "r.*")
+    marks = words.select("file", F.explode(F.array_compact(F.array(*items))).alias("r"))
+    return checkpoint(utt.unionByName(marks).select("file", "r.*"))
 
 
 # The same in SQL: words_all holds every word with its offset.
