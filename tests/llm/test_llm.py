@@ -409,23 +409,56 @@ def test_class_model_is_a_distribution_and_beats_the_base(spark):
     out = class_model.op5_class_lm(spark, SF).toPandas()
     held = out[out.held_out]
     assert held.score.sum() > held.base_score.sum()
-    # Over all words and the unknown one, shares times transitions add up to one.
-    counts = np.array([9, 8, 7, 3, 2, 1, 1])
-    symbols = class_model._Symbols(np.array([10, 20, 30], np.uint64))
-    known = np.array([10, 20, 30, 40, 50, 60, 70], np.uint64)
-    of = symbols.of(known, counts)
+    # Over all words, the unknown one and the end, shares times transitions add up to one.
+    counts, cls = np.array([9, 8, 7, 3, 2, 1, 1, 1]), np.array([0, 1, 0, 1, 1, 0, 0, 2])
     rng = np.random.default_rng(0)
-    text = np.append(rng.permutation(np.repeat(of, counts)), symbols.end)
-    big = np.zeros((symbols.size, symbols.size))
-    np.add.at(big, (np.concatenate([[symbols.end], text[:-1]]), text), 1)
-    bands = np.bincount(text[(text >= 3) & (text < symbols.end)] - 3, minlength=class_model.BANDS)
-    model = class_model.ClassBigrams(symbols, big, counts[:3], once=2, twice=1, classes=2)
-    share = model.log_share(np.append(of, 3), np.append(counts, 0), bands)
-    total = np.zeros(len(model.log_follow))
-    for c in set(model.of.tolist()):
-        words = 10.0 ** share[model.of[np.append(of, 3)] == c]
-        total += 10.0 ** model.log_follow[:, c] * (words.sum() if len(words) else 1)
-    assert np.allclose(total, 1)
+    text = np.append(rng.permutation(np.repeat(cls, counts)), 4)  # no word has class 3
+    big = np.zeros((5, 5))
+    np.add.at(big, (np.concatenate([[4], text[:-1]]), text), 1)
+    model = class_model.ClassBigrams(big, np.array([2.0, 0, 1, 0]))
+    of, share = model.symbols(np.append(counts, 0), np.append(cls, 1))
+    assert of.tolist() == [*cls.tolist(), model.unknown, model.end]
+    assert np.allclose((10.0 ** (model.log_follow[:, of] + share)).sum(axis=1), 1)
+
+
+def test_every_word_gets_the_class_of_its_neighbours(spark):
+    """Words outside the clustered ones stand with those that have the same neighbours; unseen ones with the most."""
+    rng = np.random.default_rng(0)
+    animals, verbs = [f"cat{i}" for i in range(30)], [f"run{i}" for i in range(30)]
+    texts_ = [" ".join(f"the {rng.choice(animals)} will {rng.choice(verbs)} now" for _ in range(40)) for _ in range(60)]
+    out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)  # held out
+    rows = [(i, t) for i, t in enumerate(texts_) if zlib.crc32(str(i).encode()) % 5 != 1] + [(None, "the cat99 will run99 now"), (out, "gnu")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    encoded = class_model.encode(docs, "doc_id", "text")
+    told = class_model.count_words(encoded, 8, 12)
+    top, counts, sums = class_model.top_words(told, 8, 12)
+    assert list(counts) == sorted(counts, reverse=True) and sums[0] == sum(len(split(t)) for d, t in rows if d != out)
+    symbols = class_model._Frequent(top)
+    table, n = class_model._sums(encoded.select("seq", "lens", "train", "dict"), lambda r: symbols.of(class_model._unzip(r["dict"], "<u8")), symbols.size)
+    of = class_model.exchange(table, symbols.other, 5)
+    member = np.eye(int(of.max()) + 1)[of]
+    found = class_model.exchange_rest(encoded, 8, symbols, of, member.T @ table @ member)
+    batches = class_model._with_counts(encoded, told, found).join(encoded.select("batch", "dict"), "batch").collect()
+    cls = {}
+    for r in batches:
+        known, c = class_model._unzip(r["dict"], "<u8"), class_model._unzip(r["classes"], "<u2")
+        assert len(known) == len(c)
+        cls |= dict(zip(known.tolist(), c.tolist()))
+
+    def class_of(w):
+        data = np.frombuffer(w.encode(), np.uint8)
+        return cls[int(class_model._hashes(data, np.array([0]), np.array([len(data)]))[0])]
+
+    assert len({class_of(w) for w in [*animals, "cat99"]}) == 1 and len({class_of(w) for w in [*verbs, "run99"]}) == 1
+    assert class_of("cat1") != class_of("run1") and class_of("the") != class_of("cat1")
+
+
+def test_top_words_are_merged_in_steps(spark, docs, monkeypatch):
+    encoded = class_model.encode(docs, "doc_id", "text")
+    told = class_model.count_words(encoded, 40, 5)
+    plain = class_model.top_words(told, 40, 5)
+    monkeypatch.setattr(class_model, "TOPS", 3)
+    assert all((a == b).all() for a, b in zip(class_model.top_words(told, 40, 5), plain))
 
 
 def test_exchange_groups_words_that_behave_alike():

@@ -3,9 +3,11 @@
 The corpus is encoded once, in batches: a batch's distinct words (as 64-bit hashes) and its texts as indices into them.
 Counts are made per word over all batches and come back to every batch, so no vocabulary is ever in one place.
 
-Classes: the ``frequent`` most frequent words are put into ``classes`` classes by exchange clustering; every other word's
-class is its count's power of two; the end of a text is a class; words seen once share theirs with unknown words.
-A word's probability is P(class | class before) * P(word | class).
+Classes: exchange clustering puts the ``frequent`` most frequent words into ``classes`` classes. Every other training word is then
+exchanged in Spark, per bucket of words: from the classes it stands behind and in front of over the whole corpus it goes into the
+class that most raises the likelihood. The end of a text is a class of its own.
+A word's probability is P(class | class before) * P(word | class); each class keeps the share of its words seen once for
+unknown ones, and an unknown word counts as one of these.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ FOLDS, HELD_OUT = 5, 1
 FREQUENT = 1000
 CLASSES = 48
 ROUNDS = 4
-BANDS = 48  # powers of two of counts
+TOPS = 64  # buckets whose most frequent words are merged at once
 BUCKET_BYTES = 32_000_000
 _TEXT_BYTES = 4_000_000
 END_HASH = np.uint64(0)  # no word has it: see _hashes
@@ -117,6 +119,30 @@ def count_words(encoded: DataFrame, buckets: int, frequent: int) -> DataFrame:
     return written(asked.groupBy("bucket").applyInArrow(tell, "batch long, bucket long, counts binary, top binary, sums binary"), "word-counts")
 
 
+def top_words(told: DataFrame, buckets: int, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``frequent`` most frequent words of all, their counts, and the sums. Buckets are merged ``TOPS`` at a time, so that
+    no task and not the driver holds more than that many lists."""
+    schema = "bucket long, top binary, sums binary"
+
+    def merge(table: pa.Table) -> pa.Table:
+        pairs = np.concatenate([np.frombuffer(x, "<u8").reshape(2, -1) for x in table["top"].to_pylist()], axis=1)
+        pairs = pairs[:, np.lexsort((pairs[0], -pairs[1].astype(np.int64)))[:frequent]]
+        sums = sum(np.frombuffer(x, "<i8") for x in table["sums"].to_pylist())
+        row = {"bucket": table["bucket"][0].as_py() // TOPS, "top": np.ascontiguousarray(pairs).tobytes(), "sums": sums.astype("<i8").tobytes()}
+        return pa.Table.from_pylist([row], schema=pa.schema([("bucket", pa.int64()), ("top", pa.binary()), ("sums", pa.binary())]))
+
+    heads = told.where("batch < 0").select("bucket", "top", "sums")
+    while buckets > TOPS:
+        heads = written(heads.groupBy(F.floor(F.col("bucket") / TOPS).alias("of")).applyInArrow(merge, schema), "top-words")
+        buckets = -(-buckets // TOPS)
+    found = heads.toArrow()
+    if not found.num_rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(4, np.int64)
+    last = merge(found)
+    pairs = np.frombuffer(last["top"][0].as_py(), "<u8").reshape(2, -1)
+    return pairs[0], pairs[1].astype(np.int64), np.frombuffer(last["sums"][0].as_py(), "<i8")
+
+
 def _likelihood(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n * np.log(np.maximum(n, 1)), 0.0)
 
@@ -168,79 +194,194 @@ def exchange(bigrams: np.ndarray, movable: int, classes: int, rounds: int = ROUN
     return of
 
 
-class _Symbols:
-    """Symbol of every word: a frequent word's own, or its count's band; then the end of a text."""
+class _Frequent:
+    """The symbols of the clustering: the frequent words, any other word, and the end of a text."""
 
     def __init__(self, top: np.ndarray):
         order = np.argsort(top)
         self.sorted, self.at = top[order], order
-        self.frequent = len(top)
-        self.end = self.frequent + BANDS
+        self.other = len(top)
+        self.end = self.other + 1
         self.size = self.end + 1
 
-    def of(self, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        band = np.minimum(np.frexp(np.maximum(counts, 1).astype(np.float64))[1] - 1, BANDS - 1)
-        out = self.frequent + band  # unseen words stand with those seen once
-        if self.frequent:
-            at = np.minimum(np.searchsorted(self.sorted, known), self.frequent - 1)
+    def of(self, known: np.ndarray) -> np.ndarray:
+        """Symbol of each word of a batch's sorted dictionary, then that of the end."""
+        out = np.full(len(known) + 1, self.other)
+        out[-1] = self.end
+        if self.other:
+            at = np.minimum(np.searchsorted(self.sorted, known), self.other - 1)
             hit = self.sorted[at] == known
-            out[hit] = self.at[at[hit]]
+            out[:-1][hit] = self.at[at[hit]]
         return out
 
 
-def _with_counts(encoded: DataFrame, told: DataFrame) -> DataFrame:
-    """The batches, with the corpus counts of their words in place of the batch's own."""
+def _open(r: dict):
+    return _unzip(r["seq"], "<u4").astype(np.int64), _unzip(r["lens"], "<i8"), _unzip(r["train"], "<u1")
+
+
+def _sums(batches: DataFrame, of, size: int) -> tuple[np.ndarray, int]:
+    """How often each symbol follows each in the training texts, and the number of these. ``of(row)`` gives the symbols of
+    a batch's dictionary and, last, of the end. ``size`` ** 2 sums at most reach the driver."""
+
+    def pairs(part):
+        found = np.zeros(size * size, np.int64)
+        texts = 0
+        for b in part:
+            for r in b.to_pylist():
+                seq, lens, train = _open(r)
+                symbol = of(r)
+                s = symbol[seq - 1][np.repeat(train & 1 == 1, lens + 1)]  # whole texts, so each still follows an end
+                if len(s):
+                    found += np.bincount(np.concatenate([symbol[-1:], s[:-1]]) * size + s, minlength=size * size)
+                texts += int((train & 1).sum())
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], texts))], names=["key", "n"])
+
+    learned = batches.mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = learned["key"].to_numpy(), learned["n"].to_numpy()
+    out = np.zeros(size * size)
+    out[keys[keys >= 0]] = n[keys >= 0]
+    return out.reshape(size, size), int(n[keys < 0].sum())
+
+
+_SEEN = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("dict", pa.binary()), ("number", pa.binary()), ("beside", pa.binary())])
+_CLASSED = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("classes", pa.binary())])
+
+
+def exchange_rest(encoded: DataFrame, buckets: int, symbols: _Frequent, of: np.ndarray, table: np.ndarray) -> DataFrame:
+    """For every batch and bucket of hashes, the classes of the batch's words there, in hash order.
+
+    ``of`` are the classes of the symbols, ``table`` the class bigrams. A frequent word keeps its class. Another word's neighbours
+    are added up over all batches, and it goes into the class that raises the likelihood of these bigrams most (ties: the
+    lowest); a word without any in the training texts goes where most of the others would."""
+    kinds = len(table)
+    classes = int(of[: symbols.other].max(initial=-1)) + 1 or 1
+    edge = (1 << 64) // buckets + 1
+    row, col = table.sum(axis=1), table.sum(axis=0)
+    # What a bigram with a class before, or behind, is worth to each class.
+    behind = np.log(table[:, :classes] + 0.5) - np.log(row[:, None] + 0.5 * classes) - np.log(col[None, :classes] + 0.5 * kinds)
+    front = np.log(table[:classes] + 0.5) - np.log(row[:classes, None] + 0.5 * kinds) - np.log(col[None] + 0.5 * classes)
+    worth = np.concatenate([behind, front.T]) + math.log(table.sum() + 1)
+
+    def ask(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                seq, lens, train = _open(r)
+                known = _unzip(r["dict"], "<u8")
+                symbol = symbols.of(known)
+                cls = of[symbol]
+                learn = np.repeat(train & 1 == 1, lens + 1)
+                s = seq[learn]  # texts follow each other, an end between
+                word = np.flatnonzero(s > 0)
+                word = word[symbol[s[word] - 1] == symbols.other]
+                last = np.concatenate([[0], s[:-1]])[word]
+                index = np.concatenate([s[word], s[word]]) - 1
+                beside = np.concatenate([cls[last - 1], kinds + cls[s[word + 1] - 1]])
+                order = np.argsort(index * (2 * kinds) + beside, kind="stable")
+                index, beside = index[order], beside[order]
+                number = np.bincount(index, minlength=len(known))
+                cuts = np.searchsorted(known, np.array([min(i * edge, (1 << 64) - 1) for i in range(1, buckets)], np.uint64))
+                ends = np.cumsum(number)
+                parts, lo = [], 0
+                for i, hi in enumerate([*cuts.tolist(), len(known)]):
+                    if hi > lo:
+                        x = beside[ends[lo - 1] if lo else 0 : ends[hi - 1]]
+                        parts.append({"bucket": i, "batch": r["batch"], "dict": known[lo:hi].tobytes(), "number": _zip(number[lo:hi], "<u4"), "beside": _zip(x, "<u2")})
+                    lo = hi
+                if parts:
+                    yield pa.RecordBatch.from_pylist(parts, schema=_SEEN)
+
+    def tell(table: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(x, "<u8") for x in table["dict"].to_pylist()]
+        known, back = np.unique(np.concatenate(hashes), return_inverse=True)
+        number = np.concatenate([_unzip(x, "<u4") for x in table["number"].to_pylist()])
+        beside = np.concatenate([_unzip(x, "<u2") for x in table["beside"].to_pylist()])
+        gain = np.zeros((len(known), classes))
+        word = np.repeat(back, number)
+        for lo in range(0, len(word), 1 << 16):
+            np.add.at(gain, word[lo : lo + (1 << 16)], worth[beside[lo : lo + (1 << 16)]])
+        cls = gain.argmax(axis=1)
+        seen = np.bincount(word, minlength=len(known)) > 0
+        cls[~seen] = np.bincount(cls[seen], minlength=classes).argmax()
+        at = symbols.of(known)[:-1]
+        cls = np.where(at < symbols.other, of[at], cls)
+        ends = np.cumsum([len(h) for h in hashes])
+        bucket = table["bucket"][0].as_py()
+        out = [{"batch": b, "bucket": bucket, "classes": _zip(cls[p], "<u2")} for b, p in zip(table["batch"].to_pylist(), np.split(back, ends[:-1]))]
+        return pa.Table.from_pylist(out, schema=_CLASSED)
+
+    asked = encoded.mapInArrow(ask, "bucket long, batch long, dict binary, number binary, beside binary")
+    return written(asked.groupBy("bucket").applyInArrow(tell, "batch long, bucket long, classes binary"), "word-classes")
+
+
+_KNOWN = "batch long, docs binary, lens binary, train binary, seq binary, counts binary, classes binary"
+
+
+def _with_counts(encoded: DataFrame, told: DataFrame, classed: DataFrame) -> DataFrame:
+    """The batches, with the corpus counts and the classes of their words in place of the words themselves."""
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = right.sort_by("bucket")["counts"].to_pylist()
-        counts = np.concatenate([_unzip(x, "<u8") for x in parts]) if parts else np.zeros(0)
-        return left.drop_columns(["times"]).append_column("counts", pa.array([_zip(counts, "<u8")] * left.num_rows, pa.binary()))
+        right = right.sort_by("bucket")
+        parts = [(c, k) for c, k in zip(right["counts"].to_pylist(), right["classes"].to_pylist())]
+        counts = np.concatenate([_unzip(c, "<u8") for c, _ in parts if c is not None]) if parts else np.zeros(0)
+        classes = np.concatenate([_unzip(k, "<u2") for _, k in parts if k is not None]) if parts else np.zeros(0)
+        n = left.num_rows
+        return left.append_column("counts", pa.array([_zip(counts, "<u8")] * n, pa.binary())).append_column("classes", pa.array([_zip(classes, "<u2")] * n, pa.binary()))
 
-    schema = _BATCH.replace("times binary", "counts binary")
-    counts = told.where("batch >= 0").select("batch", "bucket", "counts")
-    return written(encoded.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(join, schema), "encoded")
+    counts = told.where("batch >= 0").select("batch", "bucket", "counts", F.lit(None).cast("binary").alias("classes"))
+    both = counts.unionByName(classed.select("batch", "bucket", F.lit(None).cast("binary").alias("counts"), "classes"))
+    slim = encoded.select("batch", "docs", "lens", "train", "seq")
+    return written(slim.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(join, _KNOWN), "encoded")
 
 
-def _open(r: dict):
-    seq, lens = _unzip(r["seq"], "<u4").astype(np.int64), _unzip(r["lens"], "<i8")
-    return seq, lens, _unzip(r["train"], "<u1"), _unzip(r["dict"], "<u8"), _unzip(r["counts"], "<u8").astype(np.int64)
+def _class_sums(batches: DataFrame, classes: int) -> np.ndarray:
+    """Of the words that stand once in the training texts, how many are in each class."""
+
+    def count(part):
+        found = np.zeros(classes, np.int64)
+        for b in part:
+            for r in b.to_pylist():
+                seq, lens, train = _open(r)
+                counts, cls = _unzip(r["counts"], "<u8"), _unzip(r["classes"], "<u2")
+                here = np.bincount(seq[np.repeat(train & 1 == 1, lens + 1)], minlength=len(counts) + 1)[1:]
+                found += np.bincount(cls[(counts == 1) & (here > 0)], minlength=classes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(found)], names=["cls", "n"])
+
+    sums = batches.mapInArrow(count, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(classes)
+    out[sums["cls"].to_numpy()] = sums["n"].to_numpy()
+    return out
 
 
 class ClassBigrams:
-    """The smoothed model: transitions between classes and words' shares of their classes."""
-
-    def __init__(self, symbols: _Symbols, bigrams: np.ndarray, top_counts: np.ndarray, once: int, twice: int, classes: int):
-        self.symbols = symbols
-        self.of = exchange(bigrams, symbols.frequent, classes)
-        k = int(self.of.max()) + 1
-        member = np.zeros((symbols.size, k))
-        member[np.arange(symbols.size), self.of] = 1
-        n = member.T @ bigrams @ member
-        before, total = n.sum(axis=1), n.sum(axis=0)
+    """The smoothed model: transitions between classes and words' shares of their classes.
+
+    Of ``n`` classes the last is the end of a text; class ``n`` stands for an unknown word."""
+
+    def __init__(self, bigrams: np.ndarray, once: np.ndarray):
+        k = len(bigrams)
+        before, total = bigrams.sum(axis=1), bigrams.sum(axis=0)
         single = (total + 0.5) / (total.sum() + 0.5 * k)
-        kinds = (n > 0).sum(axis=1)
+        kinds = (bigrams > 0).sum(axis=1)
         # Witten-Bell: the more kinds of classes follow, the more goes to the classes' own rates.
         own = np.divide(before, before + kinds, out=np.zeros(k), where=before + kinds > 0)
-        follow = np.divide(n, before[:, None], out=np.zeros_like(n), where=before[:, None] > 0)
-        self.log_follow = np.log10(own[:, None] * follow + (1 - own[:, None]) * single)
-        # Turing's estimate: unknown words weigh once, words seen once weigh twice * 2.
-        self.unknown = (once + 1) / (once + 2 * twice + 2) if once else 1.0
-        self.totals = total
-        self.log_top = np.log10(np.maximum(top_counts, 1)) - np.log10(np.maximum(total[self.of[: symbols.frequent]], 1))
-        self.once = once
-
-    def log_share(self, symbol: np.ndarray, counts: np.ndarray, band_totals: np.ndarray) -> np.ndarray:
-        """log10 P(word | class) of words by symbol and count."""
-        f = self.symbols.frequent
-        out = np.empty(len(symbol))
-        top = symbol < f
-        out[top] = self.log_top[symbol[top]]
-        rest = ~top
-        out[rest] = np.log10(np.maximum(counts[rest], 1)) - np.log10(np.maximum(band_totals[symbol[rest] - f], 1))
-        first = rest & (symbol == f)
-        out[first & (counts > 0)] = math.log10(max(1e-300, 1 - self.unknown)) - math.log10(max(self.once, 1))
-        out[first & (counts == 0)] = math.log10(self.unknown)
-        return out
+        follow = np.divide(bigrams, before[:, None], out=np.zeros_like(bigrams), where=before[:, None] > 0)
+        follow = own[:, None] * follow + (1 - own[:, None]) * single
+        # Turing's estimate per class: as much as its words seen once have.
+        fresh = np.append(np.where(total[:-1] > 0, np.minimum((once + 0.5) / (total[:-1] + 1.0), 0.5), 1.0), 0.0)
+        weight = np.append(once + 0.5 / max(1, k - 1), 0.0)
+        rows = np.concatenate([follow, (weight / weight.sum())[None] @ follow if weight.sum() else single[None]])
+        self.end, self.unknown = k - 1, k
+        self.log_follow = np.log10(np.maximum(np.concatenate([rows, (rows @ fresh)[:, None]], axis=1), 1e-300))
+        self.log_total = np.log10(np.maximum(total, 1)) - np.log10(np.maximum(1 - fresh, 1e-300))
+
+    def symbols(self, counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each word and log10 P(word | class), then those of the end. The unknown class holds all of its word's probability."""
+        known = counts > 0
+        cls = np.append(np.where(known, classes, self.unknown), self.end)
+        share = np.zeros(len(cls))
+        share[:-1][known] = np.log10(counts[known]) - self.log_total[classes[known]]
+        return cls, share
 
 
 def score_texts(
@@ -256,60 +397,42 @@ def score_texts(
     * Repeated rows are learned from and scored as often as they stand; further columns are ignored; an empty table
       gives an empty one. Words are told apart by 64-bit hashes.
 
-    The driver sees the ``frequent`` top words, four sums per bucket, and the bigrams of at most ``frequent`` + 49 symbols.
+    The driver sees the ``frequent`` top words, four sums, and the bigrams of ``frequent`` + 2 symbols and of ``classes`` + 1 classes.
     """
     total_bytes = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string")))).first()[0] or 0
     buckets = max(8, -(-total_bytes // bucket_bytes))
     encoded = encode(docs, id_col, text_col)
     told = count_words(encoded, buckets, frequent)
-    heads = told.where("batch < 0").select("top", "sums").toArrow()
-    sums = sum((np.frombuffer(x, "<i8") for x in heads["sums"].to_pylist()), np.zeros(4, np.int64))
-    pairs = [np.frombuffer(x, "<u8").reshape(2, -1) for x in heads["top"].to_pylist()]
-    best = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.uint64)
-    best = best[:, np.lexsort((best[0], -best[1].astype(np.int64)))[:frequent]]
-    symbols = _Symbols(best[0])
-    batches = _with_counts(encoded, told)
-
-    def pairs_of(part):
-        n = symbols.size
-        found = np.zeros(n * n, np.int32)
-        bands = np.zeros(BANDS, np.int64)
-        texts = 0
-        for b in part:
-            for r in b.to_pylist():
-                seq, lens, train, known, counts = _open(r)
-                of = np.append(symbols.of(known, counts), symbols.end)[seq - 1]  # 0 - 1: the last entry
-                learn = np.repeat(train & 1 == 1, lens + 1)
-                s = of[learn]  # whole texts, so each still follows an end
-                found += np.bincount(np.concatenate([[symbols.end], s[:-1]]) * n + s, minlength=n * n).astype(np.int32) if len(s) else 0
-                rare = s[(s >= symbols.frequent) & (s < symbols.end)] - symbols.frequent
-                bands += np.bincount(rare, minlength=BANDS)
-                texts += int((train & 1).sum())
-        at = np.flatnonzero(found)
-        keys = np.concatenate([at, -1 - np.arange(BANDS), [-1 - BANDS]])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate([found[at], bands, [texts]]), pa.int64())], names=["key", "n"])
-
-    learned = batches.mapInArrow(pairs_of, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    keys, n = learned["key"].to_numpy(), learned["n"].to_numpy()
-    bigrams = np.zeros(symbols.size**2)
-    bigrams[keys[keys >= 0]] = n[keys >= 0]
-    bands = np.zeros(BANDS + 1, np.int64)
-    bands[-1 - keys[keys < 0]] = n[keys < 0]
-    texts, bands = int(bands[BANDS]), bands[:BANDS]
+    top, _, sums = top_words(told, buckets, frequent)
+    symbols = _Frequent(top)
+    bigrams, texts = _sums(encoded.select("seq", "lens", "train", "dict"), lambda r: symbols.of(_unzip(r["dict"], "<u8")), symbols.size)
+    of = exchange(bigrams, symbols.other, classes)
+    kinds = int(of.max()) + 1
+    member = np.zeros((symbols.size, kinds))
+    member[np.arange(symbols.size), of] = 1
+    classed = exchange_rest(encoded, buckets, symbols, of, member.T @ bigrams @ member)
+    batches = _with_counts(encoded, told, classed)
+    n = max(1, int(of[: symbols.other].max(initial=0)) + 1) + 1  # the words' classes and the end
+
+    def classes_of(r: dict) -> np.ndarray:
+        return np.append(_unzip(r["classes"], "<u2").astype(np.int64), n - 1)
+
+    table, _ = _sums(batches.select("seq", "lens", "train", "classes"), classes_of, n)
+    once = _class_sums(batches.select("seq", "lens", "train", "counts", "classes"), n - 1)
+    model = ClassBigrams(table, once)
     tokens = int(sums[0]) + texts
     distinct = int(sums[1]) + (texts > 0)
-    model = ClassBigrams(symbols, bigrams.reshape(symbols.size, symbols.size), best[1].astype(np.int64), int(sums[2]), int(sums[3]), classes)
     below = math.log10(tokens + 0.5 * (distinct + 1))
 
     def score(part):
         for b in part:
             for r in b.to_pylist():
-                seq, lens, train, known, counts = _open(r)
-                symbol = np.append(symbols.of(known, counts), symbols.end)
-                share = np.append(model.log_share(symbol[:-1], counts, bands), 0.0)
+                seq, lens, train = _open(r)
+                counts, of_word = _unzip(r["counts"], "<u8").astype(np.int64), _unzip(r["classes"], "<u2").astype(np.int64)
+                cls, share = model.symbols(counts, of_word)
                 base = np.log10(np.append(counts, texts) + 0.5) - below
-                cls = model.of[symbol[seq - 1]]
-                step = model.log_follow[np.concatenate([[model.of[symbols.end]], cls[:-1]]), cls] + share[seq - 1]
+                s = cls[seq - 1]
+                step = model.log_follow[np.concatenate([[model.end], s[:-1]]), s] + share[seq - 1]
                 size = lens + 1
                 first = np.cumsum(size) - size
                 known_word = np.append(counts, texts) > 0

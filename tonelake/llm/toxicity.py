@@ -28,7 +28,7 @@ from tonelake.llm.worker import kept
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 SAMPLE_PER_LABEL = 8_000
-FEATURES = 2_000
+FEATURES = 1_000
 DOUBT = 3.0  # texts of the usual share of label 1 that are added to those with a feature
 BEGINNINGS = (4, 5, 6)  # bytes of a word's beginnings that count as features
 _TEXT_BYTES = 2_000_000
@@ -479,18 +479,21 @@ def fit(
     chosen = best.collect()
     names = [r["f"] for r in chosen]
     wanted = np.array(names, np.int64)
+    order = np.argsort(wanted)
 
     def only(batches):
         for batch in batches:
-            each = [np.intersect1d(x.values.to_numpy(), wanted).tolist() for x in batch["features"]]
-            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(each, pa.list_(pa.int64()))], names=["label", "f"])
-
-    # Texts with the same few features are one row; there are no more rows than sampled texts.
-    table = sample.select("label", "features").mapInArrow(only, "label int, f array<long>").groupBy("label", "f").count().orderBy("label", "f").collect()
-    of = {x: i for i, x in enumerate(names)}
-    at = np.array([i for i, r in enumerate(table) for _ in r["f"]], np.int64)
-    feats = np.array([of[x] for r in table for x in r["f"]], np.int64)
-    weights, constant = fit_weights(at, feats, np.array([r["label"] for r in table], float), np.array([r["count"] for r in table], float), len(names))
+            each = []
+            for x in batch["features"]:
+                _, at, _ = np.intersect1d(wanted[order], x.values.to_numpy(), return_indices=True)
+                each.append(order[at].astype("<i2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(each, pa.binary())], names=["label", "f"])
+
+    # Texts with the same few features are one row; there are no more rows than sampled texts, of two bytes a feature.
+    table = sample.select("label", "features").mapInArrow(only, "label int, f binary").groupBy("label", "f").count().orderBy("label", "f").toArrow()
+    each = [np.frombuffer(x, "<i2") for x in table["f"].to_pylist()]
+    at, feats = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate([*each, np.zeros(0, np.int16)]).astype(np.int64)
+    weights, constant = fit_weights(at, feats, table["label"].to_numpy().astype(float), table["count"].to_numpy().astype(float), len(names))
     ratio = 1.0  # the share of clean texts that were drawn, against that of toxic ones
     if n0 and there.get(0) and there.get(1):
         ratio = (there[0] / n0) / (there[1] / n1)
