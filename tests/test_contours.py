@@ -48,7 +48,7 @@ def savgol(y):
 @pytest.mark.parametrize("n", [3, 7, 10, 12, 13, 29])
 @pytest.mark.parametrize("chunk", [6, 7, 4096])
 def test_smooth_contour(spark, n, chunk):
-    y = np.array([440, 445, 450, 200, 445, 450, 445, 440, 435, 440] * 3, dtype=float)[:n]
+    y = np.tile([221.0, 219.5, 224.0, 131.0, 226.5, 225.0, 229.0, 310.0, 228.0, 226.0], 3)[:n]
     if n > 10:
         y = 200 + np.cumsum(np.sin(np.arange(n)))
     df = spark.createDataFrame(pd.DataFrame({"file": "f", "frame_idx": np.arange(n), "y": y}))
@@ -117,29 +117,28 @@ def test_path_is_the_best_of_all(spark, n_cand):
         assert math.isclose(math.log(best), rows["log_prob"].iloc[0], rel_tol=1e-9, abs_tol=1e-9)
 
 
+def feeding(p, own, r):
+    """The state that feeds ``own``: the strongest, of equals the last; once ``own`` leads those before it, those behind have to
+    reach its score with the bonus. Also the score it passes on."""
+    strongest = lambda ks: max(ks, key=lambda k: (p[k], k), default=None)
+    before, behind = strongest(range(own)), strongest(range(own + 1, len(p)))
+    lead, bar = (own, r * p[own]) if before is None or p[own] >= p[before] else (before, p[before])
+    return (behind, p[behind]) if behind is not None and p[behind] >= bar else (lead, bar)
+
+
 def scan(cands, emis, r, vup=0.35):
-    """The recurrence as stated, one state at a time."""
-    n = len(cands[0])
-    v = list(emis[0])
-    ptrs = []
-    for m in range(1, len(cands)):
-        new, ptr = [], []
-        for l in range(n):
-            best, at = 0.0, 0
-            for k in range(n):
-                p = v[k] * sim(cands[m - 1][k], cands[m][l], vup)
-                if p >= best * (1 - vt.TIE):
-                    best, at = (p * r if k == l else p), k
-            new.append(best * emis[m][l])
-            ptr.append(at)
-        top = max(new)
-        v = [x / top for x in new] if top > 0 else new
-        ptrs.append(ptr)
-    top = max(v)
-    s = [next(i for i, x in enumerate(v) if x >= top * (1 - vt.TIE))]
-    for ptr in reversed(ptrs):
-        s.append(ptr[s[-1]])
-    return s[::-1]
+    """The path of best scores from tables: row m holds each state's score and the state before it."""
+    table = [[(e, None) for e in emis[0]]]
+    for here, there, weight in zip(cands, cands[1:], emis[1:]):
+        fed = [feeding([v * sim(a, b, vup) for (v, _), a in zip(table[-1], here)], own, r) for own, b in enumerate(there)]
+        scores = [bar * w for (_, bar), w in zip(fed, weight)]
+        scale = max(scores) or 1.0
+        table.append([(x / scale, k) for x, (k, _) in zip(scores, fed)])
+    best = [v for v, _ in table[-1]]
+    path = [best.index(max(best))]
+    for row in table[:0:-1]:
+        path.append(row[path[-1]][1])
+    return path[::-1]
 
 
 @pytest.mark.parametrize("r", [1.0, 1.1, 1.2])

@@ -276,9 +276,9 @@ sent as (select file, turn, base, unnest(generate_series(0, len(string_split(tex
 words0 as (select file, turn, base, s, length(trim(sentence, ' ')) < 3 as pause,
     unnest(generate_series(0, len(string_split(sentence, ' ')) - 1)) as w,
     unnest(string_split(sentence, ' ')) as text from sent),
-words_all as (select *, base + coalesce(sum(length(text) + 1) over (partition by file, turn order by s, w
+words_all as materialized (select *, base + coalesce(sum(length(text) + 1) over (partition by file, turn order by s, w
     rows between unbounded preceding and 1 preceding), 0) as pos0, length(text) as n from words0),
-tiers as (
+tiers as materialized (
   select file, 'Trans' as tier, turn as idx, cast(base as double) as start_t,
     cast(base + len - 1 as double) as end_t, role as text from turns
   union all

@@ -11,11 +11,11 @@ from tonelake.plans.registry import query
 WIDTH = 200.0
 
 NUMBERED = (
-    f"with {tb.TIERS_SQL}, utt as (select file, start_t as utt_start, end_t as utt_end, text as utt_text, idx as utt_idx "
+    f"with {tb.TIERS_SQL}, utt as materialized (select file, start_t as utt_start, end_t as utt_end, text as utt_text, idx as utt_idx "
     "from tiers where tier = 'Trans' and length(text) > 0), "
-    "unit0 as (select file, idx as iu_idx, start_t as iu_start, end_t as iu_end, text as iu_text from tiers "
+    "unit0 as materialized (select file, idx as iu_idx, start_t as iu_start, end_t as iu_end, text as iu_text from tiers "
     "where tier = 'UTtag' and text <> 'pp'), "
-    "unit as (select u.*, utt_idx, utt_start, utt_end, utt_text, cast(row_number() over "
+    "unit as materialized (select u.*, utt_idx, utt_start, utt_end, utt_text, cast(row_number() over "
     "(partition by u.file order by iu_start, iu_idx) as integer) as n_ut "
     "from unit0 u join utt on u.file = utt.file and iu_start >= utt_start and iu_end <= utt_end) "
 )
