@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tonelake.operators.classify import cross_val_predict, knn_classify, lda_model, predict_each
 from tonelake.operators.evaluate import overall_scores
 from tonelake.operators.moments import grouped_moments
+from tonelake.operators.neighbours import nearest_rows
 from tonelake.operators.sampling import sample_frames, stratified_folds
 from tonelake.session import checkpoint
 
@@ -238,25 +239,37 @@ def _fold_scores(df, model: str, cands: list[dict], label, feats, folds: int, me
             return list(cv.fit(ready).avgMetrics)
         finally:
             ready.unpersist()
+    if model == "knn":
+        return _knn_scores(rows, cands, label, feats, folds, metric, id)
     out = []
-    for c in cands:
-        if model == "knn":
-            parts = [
-                knn_classify(
-                    rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f), label, feats, id, **c
-                ).withColumn("fold", F.lit(f))
-                for f in range(folds)
-            ]
-            pred = parts[0]
-            for p in parts[1:]:
-                pred = pred.unionByName(p)
-        else:
-            pred = cross_val_predict(rows, model, label, feats, "fold", id)
-        per = overall_scores(pred, ["fold"])
+    for _ in cands:
+        per = overall_scores(cross_val_predict(rows, model, label, feats, "fold", id), ["fold"])
         out.append(per.agg(F.avg(metric)).first()[0])
     return out
 
 
+def _knn_scores(rows: DataFrame, cands: list[dict], label, feats, folds: int, metric, id) -> list[float]:
+    """Mean score of every (k, p): one search per fold and p, at the largest k; a smaller k is a prefix of its ranks."""
+    wanted = [(int(c.get("k", 6)), int(c.get("p", 2))) for c in cands]
+    points = rows.withColumn("_label", F.col(label).cast("string"))
+    found = None
+    for p in sorted({p for _, p in wanted}):
+        ks = sorted({k for k, q in wanted if q == p})
+        every = F.array(*[F.lit(k) for k in ks])
+        for f in range(folds):
+            test, train = rows.where(F.col("fold") == f), points.where(F.col("fold") != f)
+            near = nearest_rows(test, train, id, feats, ks[-1], power=p, extra=["_label"])
+            near = near.select("query_id", "p__label", F.explode(F.filter(every, lambda k: k >= F.col("rank"))).alias("k"))
+            near = near.withColumn("p", F.lit(p)).withColumn("fold", F.lit(f))
+            found = near if found is None else found.unionByName(near)
+    votes = found.groupBy("p", "k", "fold", "query_id", "p__label").agg(F.count(F.lit(1)).alias("n"))
+    won = votes.groupBy("p", "k", "fold", "query_id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("p__label").alias("l")))["l"].alias("prediction"))
+    truth = rows.select(F.col(id).cast("string").alias("query_id"), F.col(label).alias("label"))
+    per = overall_scores(won.join(truth, "query_id"), ["p", "k", "fold"])
+    mean = {(r["k"], r["p"]): r["m"] for r in per.groupBy("p", "k").agg(F.avg(metric).alias("m")).collect()}  # one row per candidate
+    return [mean[w] for w in wanted]
+
+
 def grid_search(
     df, model: str, grid: dict[str, Sequence], label, feats, folds: int = 5, metric: str = "accuracy", id="id",
     parallelism: int = 4,

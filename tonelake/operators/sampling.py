@@ -1,16 +1,18 @@
 """Splits, folds and class balance. "Random" order is the md5 of seed and id.
 
-Ranks go through ``number_rows`` with the hash's first digits as the bucket, so
-a label with most of the rows is still ranked by many tasks.
+Where only "the first n" count, nothing is ranked: rows are counted by the first digits of their hash, the counts tell which
+digits are in and which are out, and only the rows of the one prefix between are put in order. Folds need every row's
+rank; it goes through ``number_rows`` with the hash's first digits as the bucket, so a label with most of the rows is still
+ranked by many tasks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tonelake.operators.neighbours import nearest_rows
 from tonelake.operators.ordering import _join_summary, number_rows
@@ -25,19 +27,40 @@ def _ranked(df: DataFrame, keys: Sequence[str], id: str, seed: int, name: str =
     return number_rows(hashed, keys, ["_h", id], F.substring("_h", 1, 3), name).drop("_h")
 
 
+def _first_rows(df: DataFrame, keys: Sequence[str], id: str, seed: int, want: Column) -> DataFrame:
+    """Adds ``_in``: whether a row is among the first ``want`` of its group in seeded order (null ids come first).
+
+    ``want`` may use ``_n``, the size of the group. The table is read for the counts (at most 4096 per group) and for the
+    rows; only those of the prefix that holds the cut are shuffled.
+    """
+    hashed = df.withColumn("_h", seeded_hash(id, seed)).withColumn("_p", F.coalesce(F.substring("_h", 1, 3), F.lit("")))
+    counts = hashed.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*keys)
+    upto = counts.withColumn("_upto", F.sum("_c").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
+    upto = upto.withColumn("_n", F.sum("_c").over(group)).withColumn("_want", want)
+    cuts = upto.groupBy(*keys, "_want").agg(
+        F.coalesce(F.min(F.when(F.col("_upto") >= F.col("_want"), F.col("_p"))), F.lit("g")).alias("_cut"),  # behind all digits
+        F.coalesce(F.max(F.when(F.col("_upto") < F.col("_want"), F.col("_upto"))), F.lit(0)).alias("_before"),
+    )
+    marked = _join_summary(hashed, cuts, keys) if keys else hashed.crossJoin(F.broadcast(cuts))  # one row
+    clear = marked.where(F.col("_p") != F.col("_cut")).withColumn("_in", F.col("_p") < F.col("_cut"))
+    edge = number_rows(marked.where(F.col("_p") == F.col("_cut")), keys, ["_h", id], F.substring("_h", 4, 3), "_rn")
+    edge = edge.withColumn("_in", F.col("_rn") <= F.col("_want") - F.col("_before")).drop("_rn")
+    return clear.unionByName(edge).drop("_h", "_p", "_want", "_cut", "_before")
+
+
+def _part(marked: DataFrame) -> DataFrame:
+    return marked.withColumn("part", F.when(F.col("_in"), "train").otherwise("test")).drop("_in")
+
+
 def stratified_split(df: DataFrame, id: str, label: str, frac: float, seed: int = 42) -> DataFrame:
     """Adds ``part``: 'train' for the first ``frac`` of each label, else 'test'."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = _join_summary(_ranked(df, [label], id, seed), sizes, [label])
-    train = F.col("_rn") <= F.floor(F.col("_n") * F.lit(float(frac)))
-    return ranked.withColumn("part", F.when(train, "train").otherwise("test")).drop("_rn", "_n")
+    return _part(_first_rows(df, [label], id, seed, F.floor(F.col("_n") * F.lit(float(frac)))))
 
 
 def row_split(df: DataFrame, id: str, frac: float, seed: int = 42) -> DataFrame:
     """Adds ``part``: 'train' for the first ``frac`` of all rows, whatever their label, else 'test'."""
-    cut = math.floor(df.count() * float(frac))
-    part = F.when(F.col("_rn") <= cut, "train").otherwise("test")
-    return _ranked(df, [], id, seed).withColumn("part", part).drop("_rn")
+    return _part(_first_rows(df, [], id, seed, F.floor(F.col("_n") * F.lit(float(frac)))))
 
 
 def stratified_folds(df: DataFrame, id: str, label: str, k: int, seed: int = 42) -> DataFrame:
@@ -75,14 +98,13 @@ def undersample_other(
 ) -> DataFrame:
     """All target rows and as many rows of the other class."""
     n = df.filter(F.col(label) == target).count()
-    rest = _ranked(df.filter(F.col(label) == other), [], id, seed)
-    kept = rest.filter(F.col("_rn") <= n).drop("_rn")
+    kept = _first_rows(df.filter(F.col(label) == other), [], id, seed, F.lit(n)).filter("_in").drop("_in")
     return df.filter(F.col(label) == target).unionByName(kept)
 
 
 def sample_frames(df: DataFrame, id: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in seeded order."""
-    return _ranked(df, [], id, seed).filter(F.col("_rn") <= n).drop("_rn")
+    """The first ``n`` rows in seeded order."""
+    return _first_rows(df, [], id, seed, F.lit(n)).filter("_in").drop("_in")
 
 
 def smote(

@@ -217,9 +217,23 @@ def _(spark, sf):
     return ml.grid_search(rows, "logistic", {"regParam": [0.01, 0.1], "maxIter": [10]}, "label", D3, folds=3)
 
 
-@query("grid_search_knn")
+@query(
+    "grid_search_knn",
+    f"with {tb.vectors_sql(64)}, {folds_sql('vectors', 3)}, "
+    "pairs as (select te.id, te.label, te.fold, tr.id as tid, tr.label as vote, "
+    f"round(sqrt({' + '.join(f'(te.x{i} - tr.x{i}) * (te.x{i} - tr.x{i})' for i in range(64))}), 9) as d2, "
+    f"round({' + '.join(f'abs(te.x{i} - tr.x{i})' for i in range(64))}, 9) as d1 from fd te join fd tr on te.fold <> tr.fold), "
+    "r as (select *, row_number() over (partition by id order by d2, tid) as r2, row_number() over (partition by id order by d1, tid) as r1 from pairs), "
+    "c(k, p) as (values (3, 1), (3, 2), (5, 1), (5, 2)), "
+    "v as (select k, p, fold, id, label, vote, count(*) as n from r join c on (p = 2 and r2 <= k) or (p = 1 and r1 <= k) group by all), "
+    "w as (select *, row_number() over (partition by k, p, id order by n desc, vote) as rn from v), "
+    "a as (select k, p, fold, avg(case when label = vote then 1e0 else 0e0 end) as acc from w where rn = 1 group by all), "
+    "m as (select k, p, round(avg(acc), 9) as s from a group by k, p) "
+    "select concat('{''k'': ', k, ', ''p'': ', p, '}') as params, s as mean_test_score, row_number() over (order by s desc, k, p) = 1 as best from m",
+)
 def _(spark, sf):
-    return ml.grid_search(tb.vectors(spark, sf, 64), "knn", {"k": [3, 5], "p": [1, 2]}, "label", tb.xs(64), folds=3)
+    out = ml.grid_search(tb.vectors(spark, sf, 64), "knn", {"k": [3, 5], "p": [1, 2]}, "label", tb.xs(64), folds=3)
+    return _rounded(out, ["mean_test_score"], 9)
 
 
 @query("successive_halving")

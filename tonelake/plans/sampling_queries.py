@@ -94,7 +94,21 @@ def _(spark, sf):
     return ops.undersample_other(tb.imbalanced(spark, sf), "id", "label", "toxic").select("id", "label", "n_chars")
 
 
-@query("smote")
+@query(
+    "smote",
+    f"with {tb.IMBALANCED_SQL}, r as (select *, {rank_sql('label')} as rn, count(*) over (partition by label) as n from imbalanced), "
+    "p as (select r.*, top - n as need, least(5, n - 1) as reach from r, (select max(n) as top from r) where top > n and n >= 2), "
+    "j as (select *, unnest(generate_series(1, need // n + case when rn <= need % n then 1 else 0 end)) as j from p), "
+    "d as (select *, md5(concat('42|', id, '|', j)) as h from j), "
+    "nn as (select p.id, q.n_chars as nc, q.quality as ql, row_number() over (partition by p.id order by "
+    "round(sqrt((p.n_chars - q.n_chars) * (p.n_chars - q.n_chars) + (p.quality - q.quality) * (p.quality - q.quality)), 9), q.id) as rank "
+    "from p join imbalanced q on p.label = q.label and p.id <> q.id), "
+    "u as (select *, cast(concat('0x', substr(h, 1, 8)) as ubigint) % reach + 1 as pick, "
+    "cast(concat('0x', substr(h, 9, 8)) as ubigint) / 4294967296e0 as gap from d) "
+    "select id, label, round(n_chars, 6) as n_chars, round(quality, 6) as quality, false as synthetic from imbalanced union all "
+    "select concat(u.id, '_s', j), label, round(n_chars + gap * (nc - n_chars), 6), round(quality + gap * (ql - quality), 6), true "
+    "from u join nn on u.id = nn.id and u.pick = nn.rank",
+)
 def _(spark, sf):
     rows = tb.imbalanced(spark, sf)
     out = ops.smote(rows, "id", "label", ["n_chars", "quality"])

@@ -10,6 +10,7 @@ from tonelake.operators.sampling import stratified_folds
 from tonelake.operators.windows import cumulative_variance
 from tonelake.plans import tables as tb
 from tonelake.plans.registry import query
+from tonelake.plans.sampling_queries import folds_sql
 from tonelake.plans.stats_queries import LONG, _rounded
 
 VEC = 30  # leading dimensions used as features of an embedding
@@ -61,6 +62,37 @@ def _(spark, sf):
     return _rounded(out, ["accuracy", "f1_weighted"])
 
 
+# The sweep over two features: the discriminant on the better one by F, then on both, over ten folds.
+SWEEP2 = (
+    f"with {tb.vectors_sql(2)}, {folds_sql('vectors', 10)}, long as (select label, 'x0' as feature, x0 as value from fd union all "
+    f"select label, 'x1', x1 from fd), {_f_sql('long', 'label', 'a')}, "
+    "t as (select case when max(round(f, 6)) filter (where feature = 'x0') >= max(round(f, 6)) filter (where feature = 'x1') then 'x0' else 'x1' end as top from a), "
+    "z as (select id, label, fold, x0, x1, case when top = 'x0' then x0 else x1 end as z from fd, t), "
+    "trn as (select f.fold, r.label, r.x0, r.x1, r.z from (select distinct fold from z) f join z r on r.fold <> f.fold), "
+    "c as (select fold, label, count(*) as n, avg(x0) as m0, avg(x1) as m1, avg(z) as mz from trn group by all), "
+    "p as (select t.fold, sum((x0 - m0) * (x0 - m0)) / (count(*) - count(distinct t.label)) as a, "
+    "sum((x0 - m0) * (x1 - m1)) / (count(*) - count(distinct t.label)) as b, "
+    "sum((x1 - m1) * (x1 - m1)) / (count(*) - count(distinct t.label)) as d, "
+    "sum((z - mz) * (z - mz)) / (count(*) - count(distinct t.label)) as s, count(*) as total "
+    "from trn t join c on t.fold = c.fold and t.label = c.label group by t.fold), "
+    "w as (select c.*, p.* exclude (fold), (d * m0 - b * m1) / (a * d - b * b) as w0, (a * m1 - b * m0) / (a * d - b * b) as w1 from c join p on c.fold = p.fold), "
+    "sc as (select 1 as k, id, z.label, w.label as prediction, mz / s * z - 5e-1 * mz / s * mz + ln(n / total) as s from z join w on z.fold = w.fold "
+    "union all select 2, id, z.label, w.label, w0 * x0 + w1 * x1 - 5e-1 * (w0 * m0 + w1 * m1) + ln(n / total) from z join w on z.fold = w.fold), "
+    "pr as (select k, label, prediction from (select *, row_number() over (partition by k, id order by s desc, prediction) as rn from sc) where rn = 1), "
+    "cl as (select k, l.label, count(*) filter (where pr.label = l.label) as act, count(*) filter (where prediction = l.label) as prd, "
+    "count(*) filter (where pr.label = l.label and prediction = l.label) as tp from pr, (select distinct label from vectors) l group by all), "
+    "o as (select k, sum(tp) / sum(act) as accuracy, sum(2e0 * tp / (act + prd) * act) / sum(act) as f1 from cl group by k) "
+    "select k, round(accuracy, 6) as accuracy, round(f1, 6) as f1_weighted, case when k = 1 then top when top = 'x0' then 'x0,x1' else 'x1,x0' end as features, "
+    "row_number() over (order by round(f1, 9) desc, k) = 1 as best from o, t"
+)
+
+
+@query("k_sweep_2d", SWEEP2)
+def _(spark, sf):
+    rows = stratified_folds(tb.vectors(spark, sf, 2), "id", "label", 10)
+    return _rounded(ops.k_sweep(rows, "label", tb.xs(2), [1, 2]), ["accuracy", "f1_weighted"])
+
+
 @query("k_sweep_leak_free")
 def _(spark, sf):
     out = ops.k_sweep(_folded(spark, sf), "label", tb.xs(VEC), list(range(1, VEC + 1)), leak_free=True)
@@ -187,6 +219,34 @@ def _(spark, sf):
     return _rounded(ops.pca(tb.vectors(spark, sf, 2), tb.xs(2), 2).drop("loadings"), ["variance", "explained_ratio"], 9)
 
 
+# Unit axes of two features; an axis points where its larger loading is positive.
+AXES2 = (
+    PCA2[:-1] + ", l as (select component, v, b / sqrt(b * b + (v - a) * (v - a)) as u0, (v - a) / sqrt(b * b + (v - a) * (v - a)) as u1 from p, c), "
+    "ax as (select component, v, u0 * s as u0, u1 * s as u1 from (select *, case when round(abs(u0), 9) >= round(abs(u1), 9) then sign(u0) else sign(u1) end as s from l)) "
+)
+
+
+@query(
+    "pca_loadings_2d",
+    AXES2 + "select component, 0 as dim, round(u0, 9) as loading from ax union all select component, 1, round(u1, 9) from ax",
+)
+def _(spark, sf):
+    out = ops.pca(tb.vectors(spark, sf, 2), tb.xs(2), 2).select("component", F.posexplode("loadings").alias("dim", "loading"))
+    return _rounded(out, ["loading"], 9)
+
+
+@query(
+    "pca_project_2d",
+    AXES2 + ", g as (select avg(x0) as g0, avg(x1) as g1 from vectors) "
+    "select id, label, round((x0 - g0) * max(u0) filter (where component = 1) + (x1 - g1) * max(u1) filter (where component = 1), 6) as pc1, "
+    "round((x0 - g0) * max(u0) filter (where component = 2) + (x1 - g1) * max(u1) filter (where component = 2), 6) as pc2 "
+    "from vectors, g, ax group by id, label, x0, x1, g0, g1",
+)
+def _(spark, sf):
+    out = ops.pca_project(tb.vectors(spark, sf, 2), tb.xs(2), 2)
+    return out.select("id", "label", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
+
+
 @query("pca_loadings")
 def _(spark, sf):
     out = ops.pca(tb.vectors(spark, sf, 64), tb.xs(64), 8)
@@ -210,6 +270,28 @@ def _(spark, sf):
     return ops.lda_coefficients(tb.vectors(spark, sf, 64), "label", tb.xs(64))
 
 
+@query(
+    "lda_coefficients_2d",
+    f"with {tb.vectors_sql(2)}, c as (select label, count(*) as n, avg(x0) as m0, avg(x1) as m1 from vectors group by label), "
+    "g as (select avg(x0) as g0, avg(x1) as g1 from vectors), k as (select count(*) as k from c), "
+    "w as (select sum((x0 - m0) * (x0 - m0)) / (count(*) - max(k)) as a, sum((x0 - m0) * (x1 - m1)) / (count(*) - max(k)) as b, "
+    "sum((x1 - m1) * (x1 - m1)) / (count(*) - max(k)) as d from vectors v join c on v.label = c.label, k), "
+    "s as (select sum(n * (m0 - g0) * (m0 - g0)) / (max(k) - 1) as p, sum(n * (m0 - g0) * (m1 - g1)) / (max(k) - 1) as q, "
+    "sum(n * (m1 - g1) * (m1 - g1)) / (max(k) - 1) as r from c, g, k), "
+    "m as (select *, (d * p - b * q) / (a * d - b * b) as m00, (d * q - b * r) / (a * d - b * b) as m01, (a * r - b * q) / (a * d - b * b) as m11, "
+    "(p * r - q * q) / (a * d - b * b) as det from w, s), "
+    "e as (select *, (m00 + m11) / 2 as h, sqrt((m00 + m11) * (m00 + m11) / 4 - det) as z from m), "
+    "v as (select unnest([1, 2]) as axis, unnest([h + z, h - z]) as l, * from e), "
+    "u as (select axis, l / (2 * h) as share, m01 / sqrt(a * m01 * m01 + 2 * b * m01 * (l - m00) + d * (l - m00) * (l - m00)) as u0, "
+    "(l - m00) / sqrt(a * m01 * m01 + 2 * b * m01 * (l - m00) + d * (l - m00) * (l - m00)) as u1 from v), "
+    "t as (select *, case when round(abs(u0), 9) >= round(abs(u1), 9) then sign(u0) else sign(u1) end as sg from u) "
+    "select 'x0' as feature, axis, round(u0 * sg, 6) as coefficient, round(share, 6) as trace_share from t "
+    "union all select 'x1', axis, round(u1 * sg, 6), round(share, 6) from t",
+)
+def _(spark, sf):
+    return _rounded(ops.lda_coefficients(tb.vectors(spark, sf, 2), "label", tb.xs(2)), ["coefficient", "trace_share"])
+
+
 @query("lda_coefficients_scaled")
 def _(spark, sf):
     return ops.lda_coefficients(impute_mean(tb.features(spark, sf), ["quantity"]), "label", tb.FEATS, scaled=True)
