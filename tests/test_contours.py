@@ -158,6 +158,18 @@ def test_chunks_give_the_same_path(spark, r):
     assert np.allclose(whole["log_prob"], cut["log_prob"], equal_nan=True)
 
 
+def test_rounds_do_not_grow_with_the_chunks(spark, monkeypatch):
+    """With a reinforcement chunks run at once and again only until their exits stay: far fewer rounds than chunks."""
+    rng = np.random.default_rng(9)
+    cands, emis = random_file(rng, 1000)
+    calls = []
+    keep = vt.checkpoint
+    monkeypatch.setattr(vt, "checkpoint", lambda df: calls.append(1) or keep(df))
+    out = vt.viterbi_path(frames_of(spark, {"f": (cands, emis)}), 1.15, chunk=80, run_frames=1).orderBy("frame_idx").toPandas()
+    assert out["state"].tolist() == scan(cands, emis, 1.15)
+    assert len(calls) < 12  # two per round, 13 chunks
+
+
 def test_ties_go_to_the_later_predecessor(spark):
     out = vt.viterbi_path(frames_of(spark, {"f": ([[100.0] * 3] * 3, [[1.0] * 3] * 3)}), 1.0)
     assert [r["state"] for r in out.orderBy("frame_idx").collect()] == [2, 2, 0]

@@ -302,20 +302,49 @@ def _scan_entries(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["file", "_chunk", "v", "log"])
 
 
-def _next_entry(n: int, vup: float, r: float):
+def _exits(n: int, vup: float, r: float):
+    """Exit scores of every chunk and the logarithm they gain, from the entries known or else guessed: its first row's emissions."""
+
     def run(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 0:
-            return _no_rows("file", "_chunk", "v", "log")
+            return _no_rows("file", "_chunk", "entry", "exit", "gain")
         runs = _Runs(pdf, n)
-        v, log = _entries(runs, state)
-        v, gain, _ = runs.forward(v, vup, r)
-        return pd.DataFrame(
-            {"file": runs.keys["file"], "_chunk": runs.keys["_chunk"] + 1, "v": v.tolist(), "log": log + gain}
-        )
+        known = dict(zip(zip(state["file"], state["_chunk"]), state["entry"]))
+        entry, first = _scaled(runs.emis[runs.first])
+        for i, key in enumerate(zip(runs.keys["file"], runs.keys["_chunk"])):
+            if key in known:
+                entry[i] = known[key]
+        v, gain, _ = runs.forward(entry.copy(), vup, r)
+        gain = np.where(runs.keys["_chunk"].to_numpy() == 0, gain + first, gain)  # a file's first scores are its emissions
+        return runs.keys.assign(entry=entry.tolist(), exit=v.tolist(), gain=gain)
 
     return run
 
 
+EXIT_SCHEMA = "file string, _chunk long, entry array<double>, exit array<double>, gain double"
+_SAME = 1e-12  # scores (the highest is 1) that count as unchanged
+
+
+def _converged_entries(beside, cut: DataFrame, n: int, r: float, vup: float) -> DataFrame:
+    """Entry scores of every chunk where steps are no products: all chunks run at once from guessed entries, then those whose
+    entry turns out to be another run again, until none does.
+
+    The best paths from different entries soon go through one state, and from there on the scores differ by a factor alone. So
+    after few rounds a chunk's exit no longer depends on what came before it; at worst there are as many rounds as chunks."""
+    spark = cut.sparkSession
+    state = checkpoint(beside(cut, spark.createDataFrame([], "file string, _chunk long, entry array<double>"), _exits(n, vup, r), EXIT_SCHEMA))
+    while True:
+        before = state.select("file", (F.col("_chunk") + 1).alias("_chunk"), F.col("exit").alias("_now"))
+        gap = F.array_max(F.zip_with("entry", "_now", lambda x, y: F.abs(x - y)))
+        todo = checkpoint(state.join(before, ["file", "_chunk"]).where(gap > _SAME).select("file", "_chunk", F.col("_now").alias("entry")))
+        if todo.isEmpty():
+            break
+        again = beside(cut.join(todo, ["file", "_chunk"], "left_semi"), todo, _exits(n, vup, r), EXIT_SCHEMA)
+        state = checkpoint(state.join(todo, ["file", "_chunk"], "left_anti").unionByName(again))
+    upto = Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)  # one row per chunk
+    return checkpoint(state.select("file", (F.col("_chunk") + 1).alias("_chunk"), F.col("exit").alias("v"), F.sum("gain").over(upto).alias("log")))
+
+
 def _origins(n: int, vup: float, r: float):
     def run(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 0:
@@ -351,7 +380,7 @@ def _trace_chunks(n: int, vup: float, r: float):
     return run
 
 
-def _long_paths(rows: DataFrame, seen, n: int, r: float, vup: float, chunk: int, bins: int) -> DataFrame:
+def _long_paths(rows: DataFrame, n: int, r: float, vup: float, chunk: int, bins: int) -> DataFrame:
     k = F.floor(F.col("frame_idx") / F.lit(chunk)).cast("long")
     last = F.pmod(F.col("frame_idx"), F.lit(chunk)) == chunk - 1
     copies = F.array_compact(
@@ -366,9 +395,9 @@ def _long_paths(rows: DataFrame, seen, n: int, r: float, vup: float, chunk: int,
     cut = rows.select("*", F.inline(copies)).join(sizes, "file").filter("_chunk <= _lastc").drop("_lastc")
     cut = cut.select("*", bin_of)
 
-    def beside(state: DataFrame, fn, schema: str) -> DataFrame:
+    def beside(chunks: DataFrame, state: DataFrame, fn, schema: str) -> DataFrame:
         side = state.select("*", bin_of)
-        return cut.groupBy("_bin").cogroup(side.groupBy("_bin")).applyInPandas(fn, schema)
+        return chunks.groupBy("_bin").cogroup(side.groupBy("_bin")).applyInPandas(fn, schema)
 
     if r == 1.0:
         transfers = cut.groupBy("_bin").applyInPandas(
@@ -376,22 +405,15 @@ def _long_paths(rows: DataFrame, seen, n: int, r: float, vup: float, chunk: int,
         )
         entries = checkpoint(transfers.groupBy("file").applyInPandas(_scan_entries, STATE_SCHEMA))
     else:
-        entries, state = None, rows.sparkSession.createDataFrame([], STATE_SCHEMA)
-        for c in range(-(-seen["longest"] // chunk) - 1):
-            here = cut.filter(F.col("_chunk") == c)
-            side = state.select("*", bin_of)
-            state = checkpoint(
-                here.groupBy("_bin").cogroup(side.groupBy("_bin")).applyInPandas(_next_entry(n, vup, r), STATE_SCHEMA)
-            )
-            entries = state if entries is None else entries.unionByName(state)
+        entries = _converged_entries(beside, cut, n, r, vup)
     origins = beside(
-        entries, _origins(n, vup, r), "file string, _chunk long, origin array<int>, best int, log double"
+        cut, entries, _origins(n, vup, r), "file string, _chunk long, origin array<int>, best int, log double"
     )
     exits = origins.groupBy("file").applyInPandas(
         _scan_exits, "file string, _chunk long, last int, total double"
     )
     known = exits.join(entries, ["file", "_chunk"], "left")
-    return beside(known, _trace_chunks(n, vup, r), PATH_SCHEMA)
+    return beside(cut, known, _trace_chunks(n, vup, r), PATH_SCHEMA)
 
 
 def viterbi_path(
@@ -427,10 +449,8 @@ def viterbi_path(
     sized = rows.join(sizes, "file")
     short = sized.filter(F.col("_n") <= chunk).drop("_n")
     long = sized.filter(F.col("_n") > chunk).drop("_n")
-    # With a reinforcement every chunk is one more round, so chunks stay large.
     run = max(run_frames, -(-seen["longest"] // RUN_CHUNKS))
-    cut = min(chunk, run) if r == 1.0 else chunk
-    return whole(short).unionByName(_long_paths(long, seen, n, r, vup, cut, bins))
+    return whole(short).unionByName(_long_paths(long, n, r, vup, min(chunk, run), bins))
 
 
 def viterbi_track(
