@@ -544,7 +544,7 @@ def test_vectors_against_brute_force(spark):
     for _ in range(len(m)):
         label = np.array([label[link[i]].min() for i in range(len(m))])
     want = [(i, int(link[i].sum()) - 1, int(label[i]), bool(label[i] == i)) for i in range(len(m))]
-    for chunk in (4096, 3):
+    for df, chunk in ((df, 4096), (df, 3), (df.withColumn("embedding", df["embedding"].cast("array<double>")), 3)):
         got = neardup_vectors.near_duplicate_vectors(df, chunk=chunk).collect()
         assert sorted(tuple(r) for r in got if r.vec_id is not None and r.vec_id < 900) == want
         assert all(r.n_links == 0 and r.kept and r.component_id == r.vec_id for r in got if r.vec_id is None or r.vec_id >= 900)

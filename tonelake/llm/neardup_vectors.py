@@ -19,7 +19,8 @@ from tonelake.llm.store import written
 COSINE = 0.95
 RECALL = 0.999
 SAMPLE = 20_000
-PROBES = 2_000  # sampled vectors whose true links set the bound
+PROBES = 2_000  # sampled vectors whose links to all vectors set the bound
+EDGES = np.append(0.0, np.geomspace(1e-9, 8.0, 4096))  # bounds are told apart this finely
 CELL_ROWS = 16  # vectors a cell should hold
 CENTROIDS_MAX = 1024
 CHUNK = 4096  # vectors of one cell that one task compares
@@ -55,26 +56,34 @@ class Grid:
         self.books = [np.unique(_means(h, min(k, len(x))), axis=0) for h in (x[:, : self.half], x[:, self.half :])]
         self.shape = tuple(len(b) for b in self.books)
         self.gaps = [np.sqrt(_squared(b, b)) for b in self.books]
-        self.bound = np.inf
-        # Links at the very cosine in any direction, and those that the sample has.
+        # Links at the very cosine in any direction; those that the data have come with ``measured``.
         rng = np.random.default_rng(1)
-        p = x[:PROBES]
+        self.probes = p = x[:PROBES]
         side = rng.standard_normal(p.shape)
         side -= (side * p).sum(axis=1, keepdims=True) * p
         length = np.linalg.norm(side, axis=1, keepdims=True)
-        other = cosine * p + np.sqrt(1 - cosine**2) * np.divide(side, length, out=np.zeros_like(side), where=length > 1e-9)
-        found = [self._need(p, unit(other))]
-        for lo in range(0, len(p), 500):
-            i, j = np.nonzero(p[lo : lo + 500] @ x.T >= cosine)
-            far = np.flatnonzero(i + lo != j)
-            if len(far):
-                found.append(self._need(p[i[far] + lo], x[j[far]]))
-        real = np.concatenate(found[1:]) if found[1:] else found[0]
-        self.bound = float(max(np.quantile(found[0], recall), np.quantile(real, recall))) + 1e-12
-
-    def _need(self, a, b):
-        """The bound at which either of two vectors visits the other's cell."""
-        return np.minimum(self.bounds_to(a, self.home(b)), self.bounds_to(b, self.home(a)))
+        other = unit(cosine * p + np.sqrt(1 - cosine**2) * np.divide(side, length, out=np.zeros_like(side), where=length > 1e-9))
+        need = np.minimum(self.bounds_to(p, self.home(other)), self.bounds_to(other, self.home(p)))
+        self.bound = float(np.quantile(need, recall)) + 1e-12
+
+    def needs(self, x: np.ndarray, cosine: float) -> np.ndarray:
+        """Of the links between the probes and the vectors ``x``, how many need a bound up to each of ``EDGES`` for one of the
+        two to visit the other's cell."""
+        p, s = self.probes, self.shape[1]
+        (pa_, pb), (xa, xb) = self.borders(p), self.borders(x)
+        hp, hx = self.home(p), self.home(x)
+        i, j = np.nonzero(p @ x.T >= cosine)
+        apart = (p[i] != x[j]).any(axis=1)
+        i, j = i[apart], j[apart]
+        need = np.minimum(pa_[i, hx[j] // s] + pb[i, hx[j] % s], xa[j, hp[i] // s] + xb[j, hp[i] % s])
+        return np.bincount(np.searchsorted(EDGES, need), minlength=len(EDGES) + 1)
+
+    def measured(self, counts: np.ndarray, recall: float) -> None:
+        """Raises the bound to the one that reaches the recall on the links counted."""
+        upto = np.cumsum(counts)
+        if upto[-1]:
+            at = int(np.searchsorted(upto, recall * upto[-1]))
+            self.bound = max(self.bound, float(EDGES[at]) + 1e-12 if at < len(EDGES) else np.inf)
 
     def _halves(self, x):
         return x[:, : self.half], x[:, self.half :]
@@ -118,16 +127,16 @@ class Grid:
         return np.concatenate(rows), np.concatenate(cells)
 
 
-def _matrix(column) -> np.ndarray:
-    """Fixed-size little-endian float32 binaries as a matrix of doubles."""
+def _matrix(column, kind: str) -> np.ndarray:
+    """Fixed-size little-endian floating-point binaries as a matrix of doubles."""
     raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, "<f4").reshape(len(column), -1).astype(np.float64)
+    return np.frombuffer(raw, kind).reshape(len(column), -1).astype(np.float64)
 
 
-def _compare(table: pa.Table, grid: Grid, cosine: float) -> pa.Table:
+def _compare(table: pa.Table, grid: Grid, cosine: float, kind: str) -> pa.Table:
     """Links of one cell's vectors to the vectors that visit it. Rows: link counts (b null) and links (n 0)."""
     visits = table["visit"].to_numpy()
-    x, ids, n = _matrix(table["v"]), table["gid"].to_numpy(), table["n"].to_numpy()
+    x, ids, n = _matrix(table["v"], kind), table["gid"].to_numpy(), table["n"].to_numpy()
     q, d = np.flatnonzero(visits), np.flatnonzero(~visits)
     length = np.linalg.norm(x, axis=1)
     found_i, found_j = [], []
@@ -172,13 +181,15 @@ def near_duplicate_vectors(
     * Equal vectors meet as one before the search and count as links of each other; repeated rows are copies.
     * Further columns are ignored; an empty table gives an empty one.
 
-    Every vector is indexed; the codebooks and the bound come from ``SAMPLE`` vectors, first by a hash of their number.
-    The number of cells grows with the vectors. A cell with over ``chunk`` vectors is cut on both sides,
-    so no task compares more than about ``chunk`` with its share of the visits; links between them are true
-    pairs, which the counts need, but only counts and one link per vector leave the task.
+    Every vector is indexed; the codebooks come from ``SAMPLE`` vectors, first by a hash of their number. The bound comes from
+    the links of ``PROBES`` of them to all vectors, found by comparing them with every one. The number of cells grows with
+    the vectors, up to ``CENTROIDS_MAX`` ** 2. A cell with over ``chunk`` vectors is cut, and so are the visits to a cell beyond
+    four times that, so no task compares more than about ``chunk`` vectors with four times as many; links between them
+    are true pairs, which the counts need, but only counts and one link per vector leave the task.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<float>").alias("e"))
+    single = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"
+    kind = "<f4" if single == "float" else "<f8"
+    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast(f"array<{single}>").alias("e"))
     finite = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     good = F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("e", lambda v: v != 0), F.lit(False))
     rows = written(rows.withColumn("good", good).withColumn("h", F.xxhash64("e")), "vectors")
@@ -191,41 +202,52 @@ def near_duplicate_vectors(
 
     def pack(batches):
         for b in batches:
-            m = b["e"].values.to_numpy(zero_copy_only=False)[b["e"].offsets[0].as_py() :].astype("<f4").reshape(b.num_rows, -1)
+            m = b["e"].values.to_numpy(zero_copy_only=False)[b["e"].offsets[0].as_py() :].astype(kind).reshape(b.num_rows, -1)
             yield pa.RecordBatch.from_arrays([b["gid"], b["n"], pa.array([r.tobytes() for r in m], pa.binary())], names=["gid", "n", "v"])
 
     packed = written(groups.select("gid", "n", "e").mapInArrow(pack, "gid long, n long, v binary"), "groups")
     sample = packed.orderBy(F.md5(F.col("gid").cast("string")), "gid").limit(SAMPLE).select("v").toArrow()
     total = packed.count()
     k = int(min(CENTROIDS_MAX, max(2, (total / CELL_ROWS) ** 0.5)))
-    grid = Grid(_matrix(sample["v"]), k, cosine, recall)
+    grid = Grid(_matrix(sample["v"], kind), k, cosine, recall)
+
+    def needs(batches):
+        total = np.zeros(len(EDGES) + 1, np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                total += grid.needs(unit(_matrix(b["v"].slice(lo, 1000), kind)), cosine)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["edge", "n"])
+
+    seen = packed.select("v").mapInArrow(needs, "edge long, n long").groupBy("edge").agg(F.sum("n").alias("n")).toArrow()
+    grid.measured(np.bincount(seen["edge"].to_numpy(), weights=seen["n"].to_numpy(), minlength=len(EDGES) + 1), recall)
 
     def place(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(grid.home(unit(_matrix(b["v"]))), pa.int64())], names=["gid", "n", "v", "cell"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(grid.home(unit(_matrix(b["v"], kind))), pa.int64())], names=["gid", "n", "v", "cell"])
 
     def visit(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 b = batch.slice(lo, 1000)
-                row, cell = grid.visits(unit(_matrix(b["v"])))
+                row, cell = grid.visits(unit(_matrix(b["v"], kind)))
                 t = b.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*t.columns, pa.array(cell, pa.int64())], names=["gid", "n", "v", "cell"])
 
     homes = packed.mapInArrow(place, "gid long, n long, v binary, cell long")
+    visits = written(packed.mapInArrow(visit, "gid long, n long, v binary, cell long"), "visits")
+    loads = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (4 * chunk)).cast("int").alias("askers"))
     pieces = homes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("pieces"))
-    pieces = written(pieces, "cells").withColumnRenamed("cell", "of")
-    visits = packed.mapInArrow(visit, "gid long, n long, v binary, cell long")
-    own = F.pmod(F.xxhash64("gid"), "pieces").cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    pieces = written(pieces.join(loads, "cell"), "cells").withColumnRenamed("cell", "of")
     sides = []
     for df, is_visit in ((homes, False), (visits, True)):
-        df = df.join(pieces, F.col("cell") == F.col("of")).withColumn("own", own).withColumn("other", every)
-        d, q = ("other", "own") if is_visit else ("own", "other")
-        sides.append(df.select("cell", F.col(d).alias("d"), F.col(q).alias("q"), "gid", "n", "v", F.lit(is_visit).alias("visit")))
+        mine, others, here, there = ("askers", "pieces", "q", "d") if is_visit else ("pieces", "askers", "d", "q")
+        df = df.join(pieces, F.col("cell") == F.col("of")).withColumn(here, F.pmod(F.xxhash64("gid"), mine).cast("int"))
+        df = df.withColumn(there, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        sides.append(df.select("cell", "d", "q", "gid", "n", "v", F.lit(is_visit).alias("visit")))
     met = sides[0].unionByName(sides[1]).groupBy("cell", "d", "q")
-    found = written(met.applyInArrow(lambda t: _compare(t, grid, cosine), "a long, b long, n long"), "vector-links")
+    found = written(met.applyInArrow(lambda t: _compare(t, grid, cosine, kind), "a long, b long, n long"), "vector-links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     linked = components(found.where("b is not null").select("a", "b"))
     ids = (
