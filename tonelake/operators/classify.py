@@ -113,13 +113,6 @@ def predict_by_fold(
     return df.withColumn("prediction", _best_label(mine, feats))
 
 
-def predict_each(models: dict[str, list[dict]], feats: Sequence[str]) -> Column:
-    """Array of every model's label for a row, in order of the keys 0..n-1."""
-    every = F.from_json(F.lit(json.dumps(models)), f"map<string,{MODEL_TYPE}>")
-    order = F.sequence(F.lit(0), F.lit(len(models) - 1))
-    return F.transform(order, lambda b: _best_label(F.try_element_at(every, b.cast("string")), feats))
-
-
 def _fit_predict(kind: str, train: DataFrame, test: DataFrame, label: str, feats: Sequence[str], id: str):
     parts = {k[0]: m for k, m in grouped_moments(train, [label], feats).items()}
     out = predict_label(test, MODELS[kind](parts), feats)

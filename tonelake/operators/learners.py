@@ -6,6 +6,8 @@ import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -22,9 +24,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.operators.classify import cross_val_predict, knn_classify, lda_model, predict_each
+from tonelake.operators.classify import cross_val_predict, knn_classify, lda_weights
 from tonelake.operators.evaluate import overall_scores
-from tonelake.operators.moments import grouped_moments
+from tonelake.operators.moments import Moments, moment_rows, total
 from tonelake.operators.neighbours import nearest_rows
 from tonelake.operators.sampling import sample_frames, stratified_folds
 from tonelake.session import checkpoint
@@ -95,8 +97,9 @@ POISSON_ONE = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(i + 1)) f
 
 
 def _bag_weight(id: str, bag: Column, seed: int) -> Column:
-    """How often a row is drawn into a bag: Poisson(1) from a hash of row and bag."""
-    u = F.pmod(F.xxhash64(F.col(id).cast("string"), bag, F.lit(seed)), F.lit(2**31)).cast("double") / float(2**31)
+    """How often a row is drawn into a bag: Poisson(1) from the md5 of seed, row and bag."""
+    draw = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id).cast("string"), F.lit("|"), bag.cast("string")))
+    u = F.conv(F.substring(draw, 1, 8), 16, 10).cast("long").cast("double") / float(2**32)
     return F.size(F.filter(F.array(*[F.lit(p) for p in POISSON_ONE]), lambda p: p <= u)).cast("double")
 
 
@@ -111,21 +114,13 @@ def bagging(train, test, label, feats, id="id", bags: int = 1000, base: str = "t
     """Models on weighted redraws of the rows, by majority vote.
 
     Trees bag inside one forest fit with every feature allowed. Discriminants
-    take all bags' moments in one pass. Other bases fit bag by bag.
+    take all bags' moments in one pass and are solved by the tasks. Other bases fit bag by bag.
     """
     if base == "tree":
         forest = RandomForestClassifier(numTrees=bags, maxDepth=depth, featureSubsetStrategy="all", seed=seed)
         return _learn(train, test, label, feats, id, forest)
     if base == "lda":
-        weights = F.transform(F.sequence(F.lit(0), F.lit(bags - 1)), lambda b: _bag_weight(id, b, seed))
-        parts = grouped_moments(train.withColumn("_w", weights), [label], feats, weights="_w")
-        labels = sorted({k[0] for k in parts})
-        models = {}
-        for b in range(bags):
-            mine = {c: m for (c, s), m in parts.items() if s == b and m.n > 1}
-            models[str(b)] = lda_model(mine)
-        preds = predict_each(models, feats)
-        return test.select(id, F.col(label).alias("label"), _vote(preds, labels).alias("prediction"))
+        return _bagged_discriminants(train, test, label, list(feats), id, bags, seed)
     if base in ("logistic", "knn"):
         prep = _prepared(train, label, feats)
         labels = _labels(prep)
@@ -144,6 +139,67 @@ def bagging(train, test, label, feats, id="id", bags: int = 1000, base: str = "t
     raise ValueError(f"unknown base {base!r}")
 
 
+MODEL_VALUES = 4_000_000  # weights of bagged discriminants sent to every task at once (32 MB)
+
+
+def _bagged_discriminants(train, test, label, feats: list[str], id, bags: int, seed: int) -> DataFrame:
+    """All bags' moments in one pass, each bag solved in a task of its own, and every row's votes counted where it stands.
+
+    Models go to the tasks in blocks of at most ``MODEL_VALUES`` numbers. Classes of one row or none in a bag are not in its model."""
+    d = len(feats)
+    weights = F.transform(F.sequence(F.lit(0), F.lit(bags - 1)), lambda b: _bag_weight(id, b, seed))
+    rows = moment_rows(train.withColumn("_w", weights), [label], feats, weights="_w")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = {c: total(Moments.unpacked(v, d) for v in g["v"]) for c, g in pdf.groupby("k0")}
+        parts = {c: m for c, m in parts.items() if m.n > 1}
+        if not parts:
+            return pd.DataFrame({"s": [], "label": [], "w": []})
+        centre, fits = lda_weights(parts)
+        # Around zero instead of the bag's mean: the constant takes up the difference.
+        return pd.DataFrame({"s": int(pdf["s"].iloc[0]), "label": list(fits), "w": [[b - w @ centre, *w] for w, b in fits.values()]})
+
+    models = checkpoint(rows.groupBy("s").applyInPandas(solve, "s int, label string, w array<double>"))
+    names = sorted(r["label"] for r in models.select("label").distinct().collect())  # one row per class
+    block = max(1, MODEL_VALUES // max(1, len(names) * (d + 1)))
+    votes = None
+    for lo in range(0, bags, block):
+        part = models.where((F.col("s") >= lo) & (F.col("s") < lo + block)).toPandas()
+        one = _votes(test, part, names, label, feats, id)
+        votes = one if votes is None else votes.unionByName(one)
+    if bags > block:
+        votes = votes.groupBy(id, "label").agg(F.array(*[F.sum(F.col("votes")[i]) for i in range(len(names))]).alias("votes"))
+    best = F.array_max(F.transform("votes", lambda n, i: F.struct(n.alias("n"), (-i).alias("i"))))
+    return votes.select(id, "label", F.get(F.array(*[F.lit(x) for x in names]), -best["i"]).alias("prediction"))
+
+
+def _votes(test: DataFrame, models: pd.DataFrame, names: list[str], label, feats: list[str], id) -> DataFrame:
+    """How many of the models name each class, for every row; a model's equal scores go to the smallest name."""
+    sets = sorted(set(models["s"]))
+    at = {s: i for i, s in enumerate(sets)}
+    table = np.zeros((len(sets), len(names), len(feats) + 1))
+    table[:, :, 0] = -np.inf
+    for s, c, w in zip(models["s"], models["label"], models["w"]):
+        table[at[s], names.index(c)] = w
+    sent = test.sparkSession.sparkContext.broadcast(table)
+
+    def count(batches):
+        table = sent.value
+        for b in batches:
+            x = b[feats].to_numpy(dtype=float)
+            found = np.zeros((len(b), len(names)), np.int64)
+            for lo in range(0, len(b), 64):
+                p = x[lo : lo + 64] @ table[:, :, 1:].reshape(-1, len(feats)).T + table[:, :, 0].ravel()
+                pick = p.reshape(-1, len(sets), len(names)).argmax(axis=2)
+                for c in range(len(names)):
+                    found[lo : lo + 64, c] = (pick == c).sum(axis=1)
+            yield pd.DataFrame({id: b[id], "label": b["label"], "votes": list(found)})
+
+    rows = test.select(id, F.col(label).cast("string").alias("label"), *[F.col(c).cast("double").alias(c) for c in feats]).dropna(subset=feats)
+    kind = dict(rows.dtypes)[id]
+    return rows.mapInPandas(count, f"{id} {kind}, label string, votes array<long>")
+
+
 def adaboost(
     train, test, label, feats, id="id", rounds: int = 1000, depth: int = 1, rate: float = 1.0, seed: int = 42
 ) -> DataFrame:

@@ -69,11 +69,22 @@ def total(parts) -> Moments:
 def grouped_moments(
     df: DataFrame, keys: Sequence[str], feats: Sequence[str], weights: str | None = None
 ) -> dict[tuple, Moments]:
-    """Moments of ``feats`` per group; rows with a missing feature are left out.
+    """Moments of ``feats`` per group on the driver; rows with a missing feature are left out.
 
     ``weights`` names an array column: entry b weighs the row in the b-th of that
     many sets, and b is appended to the group key.
     """
+    names = [*[f"k{i}" for i in range(len(list(keys)))], "s"]
+    found = moment_rows(df, keys, feats, weights).toPandas()  # one row per group
+    out = {}
+    for key, part in found.groupby(names, sort=True):
+        name = tuple(key[:-1]) + ((int(key[-1]),) if weights else ())
+        out[name] = total(Moments.unpacked(v, len(list(feats))) for v in part["v"])
+    return out
+
+
+def moment_rows(df: DataFrame, keys: Sequence[str], feats: Sequence[str], weights: str | None = None) -> DataFrame:
+    """The same as rows: the group's keys as text (``k0`` ...), the set ``s`` and the packed moments ``v``."""
     keys, feats = list(keys), list(feats)
     d = len(feats)
     cols = [F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]
@@ -108,15 +119,14 @@ def grouped_moments(
             yield table(acc, TaskContext.get().partitionId() % MERGE_WAYS)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = total(Moments.unpacked(v, d) for v in pdf["v"])
-        key = tuple(pdf[c].iloc[0] for c in group)
-        return table({key: m}, int(pdf["way"].iloc[0]))
+        acc: dict[tuple, Moments] = {}
+        for *key, v in zip(*[pdf[c] for c in group], pdf["v"]):
+            m = Moments.unpacked(v, d)
+            acc[tuple(key)] = acc[tuple(key)] + m if tuple(key) in acc else m
+        return table(acc, int(pdf["way"].iloc[0]))
 
+    # With many weighted sets the groups of a set are merged together: one call per set, not one per set and group.
+    by = ["s"] if weights else group
     schema = "".join(f"{k} string, " for k in key_names) + "s int, way int, v array<double>"
-    parts = rows.mapInPandas(add_up, schema).groupBy(*group, "way").applyInPandas(merge, schema)
-    found = parts.groupBy(*group).applyInPandas(merge, schema).toPandas()  # one row per group
-    out = {}
-    for key, part in found.groupby(group, sort=True):
-        name = tuple(key[:-1]) + ((int(key[-1]),) if weights else ())
-        out[name] = total(Moments.unpacked(v, d) for v in part["v"])
-    return out
+    parts = rows.mapInPandas(add_up, schema).groupBy(*by, "way").applyInPandas(merge, schema)
+    return parts.groupBy(*by).applyInPandas(merge, schema).drop("way")

@@ -128,7 +128,26 @@ _learner("decision_tree_depth3", ml.decision_tree, depth=3)
 _learner("random_forest", ml.random_forest, trees=20)
 _row_learner("gradient_boosting", ml.gradient_boosting, rounds=2)
 _learner("bagging", ml.bagging, bags=20)
-_learner("bagging_lda", ml.bagging, bags=20, base="lda")
+_learner("bagging_lda", ml.bagging, bags=100, base="lda")
+
+
+@query(
+    "bagging_lda_2d",
+    _split_cte(tb.vectors_sql(2), "vectors")
+    + ", b as (select *, cast(concat('0x', substr(md5(concat('42|', id, '|', b)), 1, 8)) as ubigint) / 4294967296e0 as u from tr, range(50) t(b)), "
+    f"wt as (select *, cast(len(list_filter([{', '.join(f'{p!r}::double' for p in ml.POISSON_ONE)}], lambda p: p <= u)) as double) as w from b), "
+    "c as (select b, label, sum(w) as n, sum(w * x0) / sum(w) as m0, sum(w * x1) / sum(w) as m1 from wt group by all having sum(w) > 1), "
+    "p as (select t.b, sum(w * (x0 - m0) * (x0 - m0)) / (sum(w) - count(distinct t.label)) as a, "
+    "sum(w * (x0 - m0) * (x1 - m1)) / (sum(w) - count(distinct t.label)) as bb, "
+    "sum(w * (x1 - m1) * (x1 - m1)) / (sum(w) - count(distinct t.label)) as d, sum(w) as total from wt t join c on t.b = c.b and t.label = c.label group by t.b), "
+    "w as (select c.*, total, (d * m0 - bb * m1) / (a * d - bb * bb) as w0, (a * m1 - bb * m0) / (a * d - bb * bb) as w1 from c join p on c.b = p.b), "
+    "sc as (select te.id, te.label, b, w.label as prediction, w0 * x0 + w1 * x1 - 5e-1 * (w0 * m0 + w1 * m1) + ln(n / total) as s from te, w), "
+    "pr as (select id, label, prediction from (select *, row_number() over (partition by id, b order by s desc, prediction) as rn from sc) where rn = 1), "
+    "v as (select id, label, prediction, count(*) as n from pr group by all) "
+    "select id, label, prediction from (select *, row_number() over (partition by id order by n desc, prediction) as rn from v) where rn = 1",
+)
+def _(spark, sf):
+    return ml.bagging(*_vectors(spark, sf, 2), "label", tb.xs(2), bags=50, base="lda")
 _learner("adaboost", ml.adaboost, rounds=5)
 _row_learner("logistic_regression", ml.logistic_regression, rounds=20)
 _row_learner("linear_svm", ml.linear_svm, rounds=5)
