@@ -261,7 +261,7 @@ def exchange_rest(encoded: DataFrame, buckets: int, symbols: _Frequent, of: np.n
     # What a bigram with a class before, or behind, is worth to each class.
     behind = np.log(table[:, :classes] + 0.5) - np.log(row[:, None] + 0.5 * classes) - np.log(col[None, :classes] + 0.5 * kinds)
     front = np.log(table[:classes] + 0.5) - np.log(row[:classes, None] + 0.5 * kinds) - np.log(col[None] + 0.5 * classes)
-    worth = np.concatenate([behind, front.T]) + math.log(table.sum() + 1)
+    worth = (np.concatenate([behind, front.T]) + math.log(table.sum() + 1)).astype(np.float32)
 
     def ask(batches):
         for b in batches:
@@ -294,14 +294,24 @@ def exchange_rest(encoded: DataFrame, buckets: int, symbols: _Frequent, of: np.n
     def tell(table: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(x, "<u8") for x in table["dict"].to_pylist()]
         known, back = np.unique(np.concatenate(hashes), return_inverse=True)
-        number = np.concatenate([_unzip(x, "<u4") for x in table["number"].to_pylist()])
-        beside = np.concatenate([_unzip(x, "<u2") for x in table["beside"].to_pylist()])
         gain = np.zeros((len(known), classes))
-        word = np.repeat(back, number)
-        for lo in range(0, len(word), 1 << 16):
-            np.add.at(gain, word[lo : lo + (1 << 16)], worth[beside[lo : lo + (1 << 16)]])
+        seen = np.zeros(len(known), bool)
+        at = 0
+        for h, number, beside in zip(hashes, table["number"].to_pylist(), table["beside"].to_pylist()):
+            # A batch's words come once each, with their neighbours side by side.
+            word, number, beside = back[at : at + len(h)], _unzip(number, "<u4").astype(np.int64), _unzip(beside, "<u2")
+            at += len(h)
+            word, number = word[number > 0], number[number > 0]
+            seen[word] = True
+            ends = np.cumsum(number)
+            lo = 0
+            while lo < len(word):  # so many neighbours at once
+                first = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, first + (1 << 16), side="right")))
+                part = worth[beside[first : int(ends[hi - 1])]]
+                gain[word[lo:hi]] += np.add.reduceat(part, ends[lo:hi] - number[lo:hi] - first, axis=0)
+                lo = hi
         cls = gain.argmax(axis=1)
-        seen = np.bincount(word, minlength=len(known)) > 0
         cls[~seen] = np.bincount(cls[seen], minlength=classes).argmax()
         at = symbols.of(known)[:-1]
         cls = np.where(at < symbols.other, of[at], cls)

@@ -21,7 +21,7 @@ import zlib
 
 import numpy as np
 
-LANES = 2048
+LANES = 4096
 LANE_IDS = 256  # a lane has no fewer, so what closes it stays a small share
 MAGIC = b"TIDC"
 _HEAD = "<4sIIIQII"  # magic, documents, ids, vocabulary, payload bytes, crc of ids, crc of payload

@@ -24,7 +24,7 @@ from tonelake.llm.texts import chunks
 from tonelake.llm.tokens import default_vocabulary, encoder
 from tonelake.session import scratch_path
 
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 21
 VOCABULARY = 49_408
 _TEXT_BYTES = 2_000_000
 

@@ -26,6 +26,7 @@ CACHE_PARTS = 200_000
 #: runs of letters, single digits, runs of anything else.
 _PLAIN = re.compile("[\x21-\x26\x28-\x3b\x3d-\x7eÀ-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_ENDS = frozenset(".,;:!?")
 _PART = re.compile("[a-zß-öø-ÿ]+|[0-9]|[\x21-\x26\x28-\x2f\x3a\x3b\x3d-\x40\x5b-\x60\x7b-\x7e]+")
 
 
@@ -61,28 +62,52 @@ class WordEncoder:
         parts, whole = self.parts, _PLAIN.fullmatch
         if len(parts) > CACHE_PARTS:
             parts.clear()
+        model = self.library.model.tokenize
+        ids: list[list[int]] = [None] * len(found)  # of each word
+        hard = []
+        for i, w in enumerate(found):
+            # Most words are letters alone, or with one sign behind: already what the cutting would make of them.
+            tail = None
+            if w[-1] in _ENDS:
+                w, tail = w[:-1], w[-1]
+            if not w.isalpha() or not (w.isascii() or whole(w)):
+                hard.append(i)
+                continue
+            w = w.lower()
+            known = parts.get(w)
+            if known is None:
+                known = parts[w] = [t.id for t in model(w if w.isascii() else w.translate(self.alphabet))]
+            if tail is not None:
+                if tail not in parts:
+                    parts[tail] = self.library.encode(tail, add_special_tokens=False).ids
+                known = known + parts[tail]
+            ids[i] = known
+        if hard:
+            self._learn_hard([found[i] for i in hard], ids, hard)
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        need = self.used + int(lens.sum())
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat) // 2), np.uint32)])
+        self.flat[self.used : need] = np.fromiter(chain.from_iterable(ids), np.uint32, need - self.used)
+        starts = self.used + np.cumsum(lens) - lens
+        self.used = need
+        return starts, lens
+
+    def _learn_hard(self, found: list[str], ids: list, places: list[int]) -> None:
+        """The ids of words with other characters, cut into parts as the vocabulary's own pattern cuts them, or left to the library."""
+        parts, whole = self.parts, _PLAIN.fullmatch
         cut = [_PARTS.findall(w.lower()) if whole(w) else [w] for w in found]
-        flat = list(chain.from_iterable(cut))
         odd = []
         model = self.library.model.tokenize
-        for p in set(flat).difference(parts):
+        for p in set(chain.from_iterable(cut)).difference(parts):
             if _PART.fullmatch(p):  # already what the normaliser and the cutting would make of it
                 parts[p] = [t.id for t in model(p if p.isascii() else p.translate(self.alphabet))]
             else:
                 odd.append(p)
         for p, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
             parts[p] = e.ids
-        ids = list(map(parts.__getitem__, flat))
-        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-        ends = sizes[np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))]
-        lens = np.diff(ends, prepend=0)
-        need = self.used + int(sizes[-1])
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat) // 2), np.uint32)])
-        self.flat[self.used : need] = np.fromiter(chain.from_iterable(ids), np.uint32, need - self.used)
-        starts = self.used + ends - lens
-        self.used = need
-        return starts, lens
+        for i, ps in zip(places, cut):
+            ids[i] = parts[ps[0]] if len(ps) == 1 else list(chain.from_iterable(parts[p] for p in ps))
 
     def _remember(self, *found: np.ndarray) -> None:
         def joined(a, b):
