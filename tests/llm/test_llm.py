@@ -170,6 +170,19 @@ def test_coder_round_trip_and_checksums():
         idcoder.decode_block(block[:10])
 
 
+def test_coded_ids_are_smaller_than_order_0():
+    """On ids of real texts orders 1 and 2 have to earn more than lanes and adaptation cost."""
+    import pyarrow.parquet as pq
+
+    column = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"]
+    ids, _ = encoder(VOCABULARY).encode(column)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    order_0 = -(share * np.log2(share)).sum()  # without the cost of telling the shares
+    block = idcoder.encode_block(ids.astype(np.int64), np.array([1]), np.array([len(ids)]), 49_408)
+    assert (idcoder.decode_block(block)[2] == ids).all()
+    assert 8 * len(block) / len(ids) < order_0 - 0.2
+
+
 def test_token_files_read_back(spark, docs, none):
     folder = scratch_path(spark, "t")
     manifest = token_files.write_token_files(docs, folder, VOCABULARY, block_ids=300)
@@ -489,6 +502,21 @@ def test_quality_held_out(spark, docs, none):
     assert {r.score for r in quality.score_documents(docs, bare).collect()} == {0.5}
 
 
+def test_repeated_numbers_are_learned_from_in_any_order(spark):
+    """Of a number with several texts the one of the smallest hash counts, however the rows come."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words[: 30 + 30 * (i % 2)], 12))) for i in range(60) for _ in range(2)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    scores = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        scores.append(sorted((r.doc_id, r.score) for r in quality.score_documents(df, quality.fit(df, marks)).collect()))
+    assert all(a == b and abs(x - y) < 1e-5 for (a, x), (b, y) in zip(*scores))  # single precision
+    few = quality.fit(df, marks, max_cells=100)
+    assert 0 < len(few.labels) < 10 and len(quality.fit(df, marks, max_cells=1).labels) == 1
+
+
 def test_votes_are_exact():
     rng = np.random.default_rng(0)
     w = np.abs(rng.standard_normal((60, quality.TERMS))).astype(np.float32) * (rng.random((60, quality.TERMS)) < 0.01)
@@ -718,3 +746,21 @@ def test_word_hashes_depend_on_every_byte(n):
         other[i] ^= 1
         seen.add(int(texts.word_hashes(other, np.array([0]), np.array([n]))[0]))
     assert len(seen) == n + 1
+
+
+# Every stage on odd rows
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, docs):
+    """Nulls in every column, blanks, very long texts, repeated rows and further columns of clashing names."""
+    odd = docs.drop("n_words").unionByName(docs.drop("n_words").where("doc_id is null or doc_id in (4, 5, 9)"))
+    odd = odd.selectExpr("*", "cast(null as string) as mark", "1L as spans", "text as kept_text", "1 as _id")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        rows = out.collect()
+        if stage is not corpus_pipeline.packing:
+            assert out.columns == list(corpus_pipeline.COLUMNS), name
+            assert {r.doc_id for r in rows} <= {r.doc_id for r in odd.collect()}
+        else:
+            assert sum(r.length for r in rows if r.piece == 0) > 0 and len(rows) >= odd.count()
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
