@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = near_duplicates(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("least"))
     first = rows.select(F.col("least.doc_id").alias("_of"), F.col("least.mark").alias("_kept"))
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    marked = docs.select(*COLUMNS).withColumn("_mark", F.xxhash64("text"))
     left = marked.join(first, marked["doc_id"].eqNullSafe(first["_of"]) & (marked["_mark"] == first["_kept"]), "left_semi")
     one = left.groupBy("doc_id", "_mark").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("row"))
     return one.select("doc_id", "row.*").select(*COLUMNS)
@@ -56,7 +56,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix_documents(docs).where("taken > 0")
     taken = taken.select(F.col("doc_id").alias("_of"), "mark", F.col("source").alias("_from"), F.col("nth").alias("_nth"), "spans", "size")
     equal = Window.partitionBy("doc_id", "_mark", "source").orderBy("lang", "n_chars")
-    rows = docs.withColumn("_mark", F.xxhash64("text")).withColumn("_number", F.row_number().over(equal))
+    rows = docs.select(*COLUMNS).withColumn("_mark", F.xxhash64("text")).withColumn("_number", F.row_number().over(equal))
     same = rows["doc_id"].eqNullSafe(taken["_of"]) & (rows["_mark"] == taken["mark"]) & rows["source"].eqNullSafe(taken["_from"])
     joined = rows.join(taken, same & (rows["_number"] == taken["_nth"])).select("doc_id", "text", "lang", "source", "spans", "size")
 
