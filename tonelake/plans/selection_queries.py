@@ -14,6 +14,7 @@ from tonelake.plans.sampling_queries import folds_sql
 from tonelake.plans.stats_queries import LONG, _rounded
 
 VEC = 30  # leading dimensions used as features of an embedding
+SWEEP = 8  # and those of the sweeps
 D3 = ["price", "discount", "tax"]
 
 
@@ -53,12 +54,12 @@ def _(spark, sf):
 
 
 def _folded(spark, sf, k=10):
-    return stratified_folds(tb.vectors(spark, sf, VEC), "id", "label", k)
+    return stratified_folds(tb.vectors(spark, sf, SWEEP), "id", "label", k)
 
 
 @query("k_sweep")
 def _(spark, sf):
-    out = ops.k_sweep(_folded(spark, sf), "label", tb.xs(VEC), list(range(1, VEC + 1)))
+    out = ops.k_sweep(_folded(spark, sf), "label", tb.xs(SWEEP), list(range(1, SWEEP + 1)))
     return _rounded(out, ["accuracy", "f1_weighted"])
 
 
@@ -95,13 +96,13 @@ def _(spark, sf):
 
 @query("k_sweep_leak_free")
 def _(spark, sf):
-    out = ops.k_sweep(_folded(spark, sf), "label", tb.xs(VEC), list(range(1, VEC + 1)), leak_free=True)
+    out = ops.k_sweep(_folded(spark, sf), "label", tb.xs(SWEEP), list(range(1, SWEEP + 1)), leak_free=True)
     return _rounded(out, ["accuracy", "f1_weighted"])
 
 
 @query("k_sweep_one_vs_rest")
 def _(spark, sf):
-    out = ops.k_sweep(_folded(spark, sf), "label", tb.xs(VEC), list(range(1, VEC + 1)), target="3")
+    out = ops.k_sweep(_folded(spark, sf), "label", tb.xs(SWEEP), list(range(1, SWEEP + 1)), target="3")
     return _rounded(out, ["accuracy", "f1_weighted", "f1_binary"])
 
 
