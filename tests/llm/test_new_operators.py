@@ -247,6 +247,15 @@ def test_weights_are_a_penalised_fit():
     assert (np.abs(slope[w > 0] - 1) < 0.01).all() and (slope[w == 0] <= 1.01).all()
 
 
+def test_a_beginning_is_judged_without_its_surer_words():
+    # Feature 0: a toxic word; 1: its beginning, which 40 clean texts have too; 2: always with 0; 3: rare.
+    rows = np.concatenate([np.arange(100), np.arange(140), np.arange(100), np.arange(3)])
+    features = np.repeat([0, 1, 2, 3], [100, 140, 100, 3])
+    labels = np.array([1.0] * 100 + [0.0] * 100)
+    share = toxicity.feature_shares(rows, features, labels, np.ones(200), 4, 0.5)
+    assert share[0] > 0.9 and share[2] > 0.9 and share[1] < 0.1 and share[3] < 0.7
+
+
 def test_toxicity_of_odd_rows(spark):
     rng = np.random.default_rng(2)
     plain = ["river", "stone", "garden", "window", "table", "paper", "yellow", "morning", "winter", "sudden"]

@@ -29,6 +29,7 @@ FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 SAMPLE_PER_LABEL = 8_000
 FEATURES = 1_000
+RESIDUE = 5  # texts that have a feature and no surer one, from which it is judged by these
 DOUBT = 3.0  # texts of the usual share of label 1 that are added to those with a feature
 BEGINNINGS = (4, 5, 6)  # bytes of a word's beginnings that count as features
 _TEXT_BYTES = 2_000_000
@@ -418,6 +419,31 @@ class ToxicityModel:
         return out
 
 
+def feature_shares(rows: np.ndarray, features: np.ndarray, labels: np.ndarray, times: np.ndarray, size: int, base: float) -> np.ndarray:
+    """The share of label 1 among the texts with a feature, as low as chance may have it, with ``DOUBT`` texts of the usual share added.
+
+    A feature that often stands beside a surer one proves nothing by that: where there are ``RESIDUE`` texts without any surer
+    feature, these alone tell (the beginning of a toxic word may begin many others)."""
+    order = np.argsort(features, kind="stable")
+    columns = np.split(rows[order], np.searchsorted(features[order], np.arange(1, size))) if size else []
+
+    def least(on) -> tuple[float, float]:
+        n, ones = times[on].sum(), (times[on] * labels[on]).sum()
+        share = (ones + DOUBT * base) / (n + DOUBT)
+        return max(0.0, share - 2 * math.sqrt(share * (1 - share) / (n + DOUBT))), n
+
+    out = np.array([least(c)[0] for c in columns])
+    covered = np.zeros(len(labels), bool)
+    for j in np.argsort(-out, kind="stable").tolist():
+        alone = columns[j][~covered[columns[j]]]
+        share, n = least(alone)
+        if n >= RESIDUE:
+            out[j] = min(out[j], share)
+        if out[j] >= THRESHOLD:
+            covered[columns[j]] = True
+    return out
+
+
 def _sample(labels: DataFrame, id_col: str, label_col: str, per_label: int) -> tuple[DataFrame, dict[int, int]]:
     clean = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).dropna()
     clean = clean.where(F.col("label").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT))
@@ -498,11 +524,8 @@ def fit(
     if n0 and there.get(0) and there.get(1):
         ratio = (there[0] / n0) / (there[1] / n1)
         constant -= math.log(ratio)
-    b = np.array([r["b"] for r in chosen], float)
-    a = np.array([r["a"] for r in chosen], float) * ratio
-    base = n1 / (n1 + n0 * ratio)
-    shares = (b + DOUBT * base) / (a + b + DOUBT)
-    shares = np.maximum(0.0, shares - 2 * np.sqrt(shares * (1 - shares) / (a + b + DOUBT)))  # what it is at least, but for chance
+    labelled, times = table["label"].to_numpy().astype(float), table["count"].to_numpy() * np.where(table["label"].to_numpy() == 0, ratio, 1.0)
+    shares = feature_shares(at, feats, labelled, times, len(names), n1 / (n1 + n0 * ratio))
     keep = np.flatnonzero(weights > 0)
     return ToxicityModel(letters, wanted[keep], weights[keep], shares[keep], constant)
 
