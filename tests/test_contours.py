@@ -167,7 +167,7 @@ def test_rounds_do_not_grow_with_the_chunks(spark, monkeypatch):
     monkeypatch.setattr(vt, "checkpoint", lambda df: calls.append(1) or keep(df))
     out = vt.viterbi_path(frames_of(spark, {"f": (cands, emis)}), 1.15, chunk=80, run_frames=1).orderBy("frame_idx").toPandas()
     assert out["state"].tolist() == scan(cands, emis, 1.15)
-    assert len(calls) < 12  # two per round, 13 chunks
+    assert len(calls) < 30  # two per round; 1,000 chunks of one frame each
 
 
 def test_ties_go_to_the_later_predecessor(spark):
