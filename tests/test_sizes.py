@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonelake.operators import sampling
+from tonelake.operators.quantiles import exact_quantiles
 
 
 def plan(df):
@@ -32,3 +33,11 @@ def test_first_rows_of_repeated_ids(spark, n):
     assert sampling.sample_frames(df, "id", n).count() == min(n, 20)
     parts = sampling.stratified_split(df, "id", "label", 0.33).groupBy("label", "part").count().collect()
     assert {(r["label"], r["part"]): r["count"] for r in parts} == {(x, p): c for x in "ab" for p, c in (("train", math.floor(3.3)), ("test", 7))}
+
+
+def test_quantiles_of_a_few_groups_move_no_rows(spark):
+    df = spark.range(50_000).select((F.col("id") % 2).alias("k"), F.xxhash64("id").cast("double").alias("v"))
+    got = exact_quantiles(df, ["k"], "v", [0.5], ["m"], accuracy=1000)
+    assert "SortMergeJoin" not in plan(got) and plan(got).count("hashpartitioning(k") <= 2
+    p = df.toPandas()
+    assert {r["k"]: r["m"] for r in got.collect()} == p.groupby("k")["v"].median().to_dict()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tonelake.operators.ordering import _join_summary
+from tonelake.operators.ordering import _join_summary, sent_if_small
 from tonelake.session import checkpoint
 
 ROW_BOUND = 200_000  # values of one bracket that may be sorted
@@ -72,7 +72,7 @@ def exact_quantiles(
         if not keys:
             return _interpolated(selected, keys, probs, names, moments)
     if keys:
-        joined = _join_summary(rows, brackets, keys)
+        joined = _join_summary(rows, sent_if_small(brackets), keys)
     else:
         only = brackets.first()
         if only["n"] == 0:
@@ -155,7 +155,7 @@ def _selected(rows: DataFrame, large: DataFrame, keys: list[str], probs, moments
     """Per group of ``large`` the order statistics ``_a0``, ``_b0``, ... and with ``moments`` the sums, by rounds of histograms."""
     k = len(probs)
     if keys:
-        joined = _join_summary(rows, large, keys)
+        joined = _join_summary(rows, sent_if_small(large), keys)
     else:
         joined = rows.crossJoin(F.broadcast(large))  # one row
     middle = f"_lo{k // 2}"
@@ -183,7 +183,7 @@ def _selected(rows: DataFrame, large: DataFrame, keys: list[str], probs, moments
         state = state.where("_lo < _hi")
         if state.isEmpty():
             break
-        near = _join_summary(values, state, [*keys, "_i"]).where("_v >= _lo AND _v <= _hi")
+        near = _join_summary(values, sent_if_small(state), [*keys, "_i"]).where("_v >= _lo AND _v <= _hi")
         cells = near.groupBy(*keys, "_i", "_t", "_k", _digit(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_d")).agg(
             F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
         )
