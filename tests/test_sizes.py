@@ -4,10 +4,11 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tonelake.operators import sampling
+from tonelake.operators import neighbours, sampling
 from tonelake.operators.quantiles import exact_quantiles
 
 
@@ -41,3 +42,34 @@ def test_quantiles_of_a_few_groups_move_no_rows(spark):
     assert "SortMergeJoin" not in plan(got) and plan(got).count("hashpartitioning(k") <= 2
     p = df.toPandas()
     assert {r["k"]: r["m"] for r in got.collect()} == p.groupby("k")["v"].median().to_dict()
+
+
+@pytest.mark.parametrize("power", [1, 2])
+def test_near_ties_copies_and_odd_values_are_found_exactly(power):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (400, 6)) + 1000
+    x[100:200] = x[0]  # copies
+    x[200:300] = x[1] + rng.normal(0, 1e-7, (100, 6))  # apart by less than single precision tells
+    names = [f"x{i}" for i in range(6)]
+    ids = np.array([f"r{i:03d}" for i in range(400)])
+    for odd in (None, np.nan, 1e30):
+        if odd is not None:
+            x[7, 3] = odd
+        points = neighbours._Points(pd.DataFrame(x, columns=names).assign(id=ids), "id", names, power)
+        assert points.small == (odd is None)
+        for skip in (False, True):
+            qi, pi, d = neighbours._top(ids, x, points, 5, skip)
+            every = neighbours._distances(x, x, power)
+            if skip:
+                np.fill_diagonal(every, np.inf)
+            for i in range(400):
+                order = [j for j in np.lexsort((np.arange(400), every[i])) if np.isfinite(every[i, j])][:5]
+                assert pi[qi == i].tolist() == order and (d[qi == i] == every[i][order]).all()
+
+
+def test_queries_go_once_to_each_block_and_no_features_come_back(spark):
+    df = spark.range(300).select(F.col("id").cast("string").alias("id"), F.rand(5).alias("x"), F.rand(6).alias("y"))
+    got = neighbours.nearest_rows(df, df, "id", ["x", "y"], 3, values=False, broadcast_values=0, block_rows=150, pivots=40)
+    assert set(got.columns) == {"query_id", "point_id", "distance", "rank"}
+    whole = neighbours.nearest_rows(df, df, "id", ["x", "y"], 3)
+    assert {(r.query_id, r.rank, r.point_id) for r in got.collect()} == {(r.query_id, r.rank, r.point_id) for r in whole.collect()}
