@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tonelake.operators import neighbours, sampling
+from tonelake.operators import forest, learners, neighbours, sampling
 from tonelake.operators.quantiles import exact_quantiles
 
 
@@ -73,3 +73,39 @@ def test_queries_go_once_to_each_block_and_no_features_come_back(spark):
     assert set(got.columns) == {"query_id", "point_id", "distance", "rank"}
     whole = neighbours.nearest_rows(df, df, "id", ["x", "y"], 3)
     assert {(r.query_id, r.rank, r.point_id) for r in got.collect()} == {(r.query_id, r.rank, r.point_id) for r in whole.collect()}
+
+
+def test_forests_grow_alike_whatever_a_task_may_hold(spark):
+    rng = np.random.default_rng(11)
+    n, names = 600, [f"x{i}" for i in range(6)]
+    x = rng.normal(0, 1, (n, 6)).round(2)
+    y = np.where(x[:, 0] + 0.3 * x[:, 1] > 0.2, "a", np.where(x[:, 2] > 0, "b", "c"))
+    p = pd.DataFrame(x, columns=names).assign(id=[f"r{i}" for i in range(n)], label=y)
+    df = spark.createDataFrame(p).cache()
+    train, test = df.where(F.xxhash64("id") % 4 != 0), df.where(F.xxhash64("id") % 4 == 0)
+    draws = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda b: learners._bag_weight("id", b, 42))
+    for per_node in (6, 3):
+        whole, cut = (
+            {r.id: r.prediction for r in forest.forest(train, test, "label", names, "id", ["a", "b", "c"], draws, 30, per_node, 42, rows).collect()}
+            for rows in (20_000, 40)
+        )
+        assert whole == cut
+        truth = test.toPandas().set_index("id")["label"]
+        assert set(whole) == set(truth.index) and np.mean([whole[i] == truth[i] for i in whole]) > 0.85
+
+
+def test_a_forest_split_is_the_best_of_all():
+    rng = np.random.default_rng(2)
+    for n in (2, 9, 30, 47, 48, 200):
+        x, y, w = rng.integers(0, 7, (n, 4)).astype(np.uint8), rng.integers(0, 3, n), rng.integers(1, 4, n).astype(float)
+
+        def gini(rows):
+            c = np.bincount(y[rows], w[rows], 3)
+            return c.sum() - (c * c).sum() / c.sum()
+
+        gains = {
+            (f, b): gini(x[:, f] >= 0) - gini(x[:, f] <= b) - gini(x[:, f] > b)
+            for f in range(4) for b in range(7) if 0 < (x[:, f] <= b).sum() < n
+        }
+        got = forest._split(x, y, w)
+        assert (got is None and max(gains.values(), default=0) < 1e-9) or gains[got] > max(gains.values()) - 1e-9
