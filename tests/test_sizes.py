@@ -109,3 +109,12 @@ def test_a_forest_split_is_the_best_of_all():
         }
         got = forest._split(x, y, w)
         assert (got is None and max(gains.values(), default=0) < 1e-9) or gains[got] > max(gains.values()) - 1e-9
+
+
+def test_learners_read_their_rows_without_moving_them(spark):
+    df = spark.range(4000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3).cast("string").alias("label"), F.rand(1).alias("x"))
+    parts = sampling.stratified_split(df, "id", "label", 0.75)
+    train = parts.where("part = 'train'").drop("part")
+    rows = learners._prepared(train, "label", ["x"]).transform(train)
+    assert "Sort" not in plan(rows) and "hashpartitioning" not in plan(rows)
+    assert rows.count() == sum(int(0.75 * n) for n in (1334, 1333, 1333))
