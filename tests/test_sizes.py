@@ -118,3 +118,19 @@ def test_learners_read_their_rows_without_moving_them(spark):
     rows = learners._prepared(train, "label", ["x"]).transform(train)
     assert "Sort" not in plan(rows) and "hashpartitioning" not in plan(rows)
     assert rows.count() == sum(int(0.75 * n) for n in (1334, 1333, 1333))
+
+
+@pytest.mark.parametrize("copies", [5, 40])
+def test_a_split_of_repeated_ids_moves_only_the_rows_of_the_last_id(spark, copies):
+    ids = F.when(F.col("id") % 50 != 0, (F.col("id") % 70).cast("string")).alias("id")  # some are missing
+    df = spark.range(70 * copies).select(ids, (F.col("id") % 3).alias("label"), F.floor(F.col("id") / 9).alias("x"))
+    got = sampling.stratified_split(df, "id", "label", 0.75)
+    assert "Sort" not in plan(got) and "hashpartitioning" not in plan(got)
+    p = got.toPandas()
+    assert sorted(map(str, p[["id", "label", "x"]].to_numpy().tolist())) == sorted(map(str, df.toPandas().to_numpy().tolist()))
+    sizes = p.groupby("label").size()
+    assert (p[p.part == "train"].groupby("label").size() == (sizes * 0.75).astype(int)).all()
+    p["h"] = [hashlib.md5(f"42|{i}".encode()).hexdigest() if isinstance(i, str) else "" for i in p["id"]]
+    for _, rows in p.groupby("label"):
+        assert rows[rows.part == "train"]["h"].max() <= rows[rows.part == "test"]["h"].min()
+        assert (rows.groupby("h")["part"].nunique() > 1).sum() <= 1
