@@ -134,3 +134,23 @@ def test_a_split_of_repeated_ids_moves_only_the_rows_of_the_last_id(spark, copie
     for _, rows in p.groupby("label"):
         assert rows[rows.part == "train"]["h"].max() <= rows[rows.part == "test"]["h"].min()
         assert (rows.groupby("h")["part"].nunique() > 1).sum() <= 1
+
+
+def test_a_learners_task_reads_no_more_rows_of_a_larger_file(spark, monkeypatch):
+    monkeypatch.setattr(learners, "TASK_VALUES", 22 * 500)
+    seen = []
+
+    class Learner(learners.DecisionTreeClassifier):
+        def _fit(self, dataset):
+            seen.append((dataset.storageLevel.useMemory, learners._row_counts(dataset), sorted(r["_x"][0] for r in dataset.select("_x").collect())))
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(learners, "DecisionTreeClassifier", Learner)
+    for n in (4000, 16_000):
+        df = spark.range(n, numPartitions=8).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3).cast("string").alias("label"), F.col("id").cast("double").alias("x"))
+        odd = df.withColumn("y", F.when(F.col("id") != "7", F.lit(0.0)))
+        got = learners.decision_tree(odd, df.withColumn("y", F.lit(0.0)), "label", ["x", "y"], depth=3)
+        assert got.count() == n
+        cached, counts, xs = seen.pop()
+        assert cached and xs == [float(i) for i in range(n) if i != 7]
+        assert len(counts) >= 8 and max(counts) <= 600
