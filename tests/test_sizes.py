@@ -154,3 +154,21 @@ def test_a_learners_task_reads_no_more_rows_of_a_larger_file(spark, monkeypatch)
         cached, counts, xs = seen.pop()
         assert cached and xs == [float(i) for i in range(n) if i != 7]
         assert len(counts) >= 8 and max(counts) <= 600
+
+
+@pytest.mark.parametrize("name, params", [("linear_svm", {"rounds": 2}), ("gradient_boosting", {"rounds": 1})])
+def test_classes_of_many_rows_are_fitted_one_after_the_other(spark, monkeypatch, name, params):
+    seen = []
+
+    class Rest(learners.OneVsRest):
+        def _fit(self, dataset):
+            seen.append((self.getParallelism(), dataset.storageLevel.useMemory))
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(learners, "OneVsRest", Rest)
+    df = spark.range(900).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3).cast("string").alias("label"), (F.col("id") % 3 + F.rand(2)).alias("x"))
+    few = getattr(learners, name)(df, df, "label", ["x"], **params).collect()
+    monkeypatch.setattr(learners, "TASK_VALUES", 1000)
+    many = getattr(learners, name)(df, df, "label", ["x"], **params).collect()
+    assert seen == [(4, True), (1, True)]
+    assert len(few) == len(many) == 900
