@@ -172,3 +172,29 @@ def test_classes_of_many_rows_are_fitted_one_after_the_other(spark, monkeypatch,
     many = getattr(learners, name)(df, df, "label", ["x"], **params).collect()
     assert seen == [(4, True), (1, True)]
     assert len(few) == len(many) == 900
+
+
+@pytest.mark.parametrize("per_task", [20_000_000, 21 * 300])
+def test_boosting_fits_its_classes_on_kept_rows_that_were_moved_once_at_most(spark, monkeypatch, per_task):
+    monkeypatch.setattr(learners, "TASK_VALUES", per_task)
+    seen = []
+
+    class Boosted(learners.GBTClassifier):
+        def _fit(self, dataset):
+            seen.append(plan(dataset))
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(learners, "GBTClassifier", Boosted)
+    copies = 6  # of every id, so that the split cuts through the rows of one
+    df = spark.range(600 * copies, numPartitions=8).select(
+        (F.col("id") % 600).cast("string").alias("id"), (F.col("id") % 3).cast("string").alias("label"), (F.col("id") % 3 + F.rand(2)).alias("x")
+    )
+    parts = sampling.stratified_split(df, "id", "label", 0.7512)  # 901 of 1200 rows
+    train, test = (parts.where(F.col("part") == p).drop("part") for p in ("train", "test"))
+    got = learners.gradient_boosting(train, test, "label", ["x"], rounds=2)
+    assert got.count() == 3 * 299 and len(seen) == 3
+    for p in seen:
+        kept = p.split("InMemoryRelation")
+        assert len(kept) == 2 and "Exchange" not in kept[0]  # every pass reads what is kept
+        moved = kept[1].split("Initial Plan")[0].count("Exchange hashpartitioning")
+        assert "Window" not in kept[1] and moved == (per_task < 20_000_000)
