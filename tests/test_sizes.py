@@ -198,3 +198,38 @@ def test_boosting_fits_its_classes_on_kept_rows_that_were_moved_once_at_most(spa
         assert len(kept) == 2 and "Exchange" not in kept[0]  # every pass reads what is kept
         moved = kept[1].split("Initial Plan")[0].count("Exchange hashpartitioning")
         assert "Window" not in kept[1] and moved == (per_task < 20_000_000)
+
+
+def test_a_search_keeps_its_rows_once_and_fits_many_rows_one_candidate_after_the_other(spark, monkeypatch):
+    seen, open_fits = [], []
+
+    class Learner(learners.LogisticRegression):
+        def _fit(self, dataset):
+            open_fits.append(1)
+            kept = plan(dataset).split("InMemoryRelation")
+            seen.append((len(open_fits), dataset.storageLevel.useMemory, len(kept), "vector" in kept[1] or "struct<type" in kept[1], kept[1].split("StorageLevel(")[1][:12], max(learners._row_counts(dataset))))
+            try:
+                return super()._fit(dataset)
+            finally:
+                open_fits.pop()
+
+    monkeypatch.setitem(learners.ESTIMATORS, "logistic", lambda: Learner(maxIter=3))
+    df = spark.range(3000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3).cast("string").alias("label"), (F.col("id") % 3 + F.rand(2)).alias("x"))
+    grid = {"regParam": [0.01, 0.1]}
+    few = learners.grid_search(df, "logistic", grid, "label", ["x"], folds=3).collect()
+    assert {s[4] for s in seen} == {"disk, memory"} and len(seen) == 6
+    seen.clear()
+    monkeypatch.setattr(learners, "TASK_VALUES", 21 * 200)
+    many = learners.grid_search(df, "logistic", grid, "label", ["x"], folds=3).collect()
+    assert [r.params for r in few] == [r.params for r in many] and np.allclose([r.mean_test_score for r in few], [r.mean_test_score for r in many], atol=0.01)
+    # One fit at a time, of rows kept once, as plain numbers on disk alone, none of them in a large partition.
+    assert len(seen) == 6
+    for at_once, again, relations, vectors, level, most in seen:
+        assert at_once == 1 and not again and relations == 2 and not vectors and level == "disk, 1 repl" and most < 250
+
+
+def test_a_search_needs_rows_in_every_fold(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 2.0), ("c", "y", 3.0)], "id string, label string, v double")
+    for folds in (1, 5):
+        with pytest.raises(ValueError):
+            learners.grid_search(df, "logistic", {"regParam": [0.1]}, "label", ["v"], folds=folds)
