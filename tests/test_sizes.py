@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tonelake.operators import forest, learners, neighbours, sampling
 from tonelake.operators.quantiles import exact_quantiles
 
@@ -233,3 +234,27 @@ def test_a_search_needs_rows_in_every_fold(spark):
     for folds in (1, 5):
         with pytest.raises(ValueError):
             learners.grid_search(df, "logistic", {"regParam": [0.1]}, "label", ["v"], folds=folds)
+
+
+def test_the_forest_query_grows_all_its_trees_on_all_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(learners, "forest", lambda train, test, label, feats, id, names, draws, *_: seen.append((train, test, feats, draws)) or test)
+    sf = "/root/testdata/sf0.001"
+    entry.queries()["random_forest"](spark, sf)
+    [(train, test, feats, draws)] = seen
+    sizes = train.select(F.size(draws).alias("trees")).distinct().collect()
+    assert [r.trees for r in sizes] == [1000]  # as the reference's forest of this table
+    assert len(feats) == 64 and train.count() + test.count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
+def test_a_forests_draws_are_kept_as_bytes(spark, monkeypatch):
+    seen, coded = [], forest._coded
+
+    def watched(rows, feats, cuts, keep):
+        seen.extend(t for c, t in rows.dtypes if c == "ws")
+        return coded(rows, feats, cuts, keep)
+
+    monkeypatch.setattr(forest, "_coded", watched)
+    df = spark.range(90).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3).cast("string").alias("label"), (F.col("id") % 3).cast("double").alias("x"))
+    got = learners.random_forest(df, df, "label", ["x"], trees=3)
+    assert all(r.label == r.prediction for r in got.collect()) and seen == ["array<tinyint>"]
