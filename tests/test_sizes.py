@@ -258,3 +258,20 @@ def test_a_forests_draws_are_kept_as_bytes(spark, monkeypatch):
     df = spark.range(90).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3).cast("string").alias("label"), (F.col("id") % 3).cast("double").alias("x"))
     got = learners.random_forest(df, df, "label", ["x"], trees=3)
     assert all(r.label == r.prediction for r in got.collect()) and seen == ["array<tinyint>"]
+
+
+def test_large_nodes_count_only_the_features_they_are_offered(spark, monkeypatch):
+    df = spark.range(300).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3).cast("string").alias("label"), *[F.rand(i).alias(f"x{i}") for i in range(9)])
+    names, passes, counted = [f"x{i}" for i in range(9)], [], forest._counted
+
+    def watched(drawn, now, *args):
+        passes.append(len(now))
+        return counted(drawn, now, *args)
+
+    monkeypatch.setattr(forest, "_counted", watched)
+    draws = F.array(F.lit(1), F.lit(1))
+    got = [forest.forest(df, df, "label", names, "id", ["0", "1", "2"], draws, 30, 3, 42, 200).collect()]
+    monkeypatch.setattr(forest, "OPEN_VALUES", 2 * 3 * forest.BINS * 4)  # counts of two nodes of three features
+    passes.clear()
+    got.append(forest.forest(df, df, "label", names, "id", ["0", "1", "2"], draws, 30, 3, 42, 200).collect())
+    assert passes[0] == 2 and sorted(got[0]) == sorted(got[1])
